@@ -109,7 +109,7 @@ def read_csr(spark: SparkSession, path: str, numbering: int = 0, header: bool |
 
 def is_cluto(spark: SparkSession, path: str) -> bool:
     """Whether the first line is a header of three numbers (rows of pairs have an even count)."""
-    first = spark.read.text(path).first()
+    first = _numbered(spark, path).orderBy("n").first()
     return bool(first) and len(first.value.split()) == 3
 
 
