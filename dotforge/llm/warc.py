@@ -13,9 +13,11 @@ and carry no payload but keep its digest and length.  The smallest id of each di
 is combined on the map side, so a payload that a third of all pages share makes no hot task.
 
 Reading.  Archives are read back as binary files, parsed segment by segment by
-Content-Length into rows of the chunked record table (record_id, chunk, data), sorted
-by record and chunk, and streamed through incremental SHA-256 and length counters that
-carry over from row to row and batch to batch.
+Content-Length into rows of the chunked record table (record_id, chunk, data).  A
+record of one chunk is checked where it is parsed and its data goes no further; the
+chunks of segmented records are shuffled, sorted by record and chunk, and streamed
+through incremental SHA-256 and length counters that carry over from row to row and
+batch to batch.
 
 Defined results: null payload counts as empty; a null page_id is written as such and
 read back as null (and is smallest only if all of its group are null: then all are
@@ -97,7 +99,7 @@ def write(recs: DataFrame, path: str, chunk: int = CHUNK, rows_per_file: int = 2
     segments(recs, chunk).write.option("lineSep", END).option("maxRecordsPerFile", rows_per_file).text(path)
 
 
-_CHUNKS = "record_id string, chunk int, page_id long, record_type string, refers_to long, length long, digest string, data binary"
+_CHUNKS = "record_id string, chunk int, page_id long, record_type string, refers_to long, length long, digest string, whole boolean, data binary"
 
 
 def parse(data: memoryview) -> Iterator[tuple[dict, memoryview]]:
@@ -116,7 +118,7 @@ def parse(data: memoryview) -> Iterator[tuple[dict, memoryview]]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = [f.split()[0] for f in _CHUNKS.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     num = lambda h, k: int(h[k]) if k in h else None
     for batch in batches:
         for file in batch.column(0):
@@ -124,7 +126,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h, block in parse(memoryview(file.as_py())):
                 origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])
                 digest = h.get("WARC-Payload-Digest")
-                rows.append((origin, int(h.get("WARC-Segment-Number", 1)), num(h, "WARC-Page-ID"), h["WARC-Type"], num(h, "WARC-Refers-To-Page"), num(h, "WARC-Payload-Length"), digest and digest.removeprefix("sha256:"), bytes(block)))
+                rows.append((origin, int(h.get("WARC-Segment-Number", 1)), num(h, "WARC-Page-ID"), h["WARC-Type"], num(h, "WARC-Refers-To-Page"), num(h, "WARC-Payload-Length"), digest and digest.removeprefix("sha256:"), "WARC-Segment-Number" not in h, bytes(block)))
                 size += len(block)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema)
@@ -138,6 +140,27 @@ def chunk_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_parse, _CHUNKS)
 
 
+def _check(record: str, kind: str, due: tuple[int, str], got: tuple[int, str]) -> None:
+    """A revisit carries its payload's figures, not the payload; any other record must match its own."""
+    if kind != "revisit" and got != due:
+        raise ValueError(f"record {record}: payload does not match its digest")
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Checks the records of one chunk and drops their data; other rows pass through."""
+    for batch in batches:
+        data, keep = batch.column("data"), []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("record_id", "record_type", "length", "digest", "whole")))
+        for i, (rid, kind, length, digest, whole) in enumerate(rows):
+            if whole:
+                block = data[i].as_buffer()
+                _check(rid, kind, (length, digest), (block.size, hashlib.sha256(block).hexdigest()))
+            keep.append(None if whole else data[i].as_py())
+        names = batch.schema.names
+        cols = [batch.column(c) for c in names[:-1]]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(keep, pa.binary())], names)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (record, chunk): one row a record, with digest and length of all its chunks."""
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
@@ -145,27 +168,26 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current, state, size, head, due = None, None, 0, None, 1
 
     def closed():
-        page, kind, refers, length, digest = head
-        if kind == "revisit":  # carries its payload's figures, not the payload
-            return page, kind, refers, length, digest
-        if (size, state.hexdigest()) != (length, digest):
-            raise ValueError(f"record {current}: payload does not match its digest")
-        return page, kind, refers, size, state.hexdigest()
+        page, kind, refers, length, digest, whole = head
+        if not whole:
+            _check(current, kind, (length, digest), (size, state.hexdigest()))
+        return page, kind, refers, length, digest
 
     for batch in batches:
         out = []
-        cols = [batch.column(i).to_pylist() for i in range(7)]
-        for i, (rid, nth, page, kind, refers, length, digest) in enumerate(zip(*cols)):
+        cols = [batch.column(i).to_pylist() for i in range(8)]
+        for i, (rid, nth, page, kind, refers, length, digest, whole) in enumerate(zip(*cols)):
             if rid != current:
                 if current is not None:
                     out.append(closed())
-                current, state, size, head, due = rid, hashlib.sha256(), 0, (page, kind, refers, length, digest), 1
+                current, state, size, head, due = rid, hashlib.sha256(), 0, (page, kind, refers, length, digest, whole), 1
             if nth != due:
                 raise ValueError(f"record {rid}: chunk {due} is missing")
             due += 1
-            block = batch.column(7)[i].as_buffer()
-            state.update(block)
-            size += block.size
+            if not whole:
+                block = batch.column(8)[i].as_buffer()
+                state.update(block)
+                size += block.size
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
     if current is not None:
@@ -174,7 +196,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest of every record; digests are checked."""
-    rows = chunk_table(spark, path).repartition("record_id").sortWithinPartitions("record_id", "chunk")
+    rows = chunk_table(spark, path).mapInArrow(_settle, _CHUNKS).repartition("record_id").sortWithinPartitions("record_id", "chunk")
     return rows.mapInArrow(_digest, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string")
 
 
