@@ -12,7 +12,10 @@ from dotforge.llm.common import scratch, table
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the network learns from all documents' labels."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out_col="_toxic_score").where(F.col("_toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = "_toxic_score"
+    while score in {c.lower() for c in docs.columns}:
+        score = f"_{score}"
+    return toxicity.score(docs, model, out_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +26,10 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut from all but their first document; a text that had nothing else goes."""
     out = substring_dedup.drop_repeats(docs)
-    out = out.where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    removed = substring_dedup.added_names(docs.columns)[1]
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

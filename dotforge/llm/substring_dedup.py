@@ -21,7 +21,8 @@ carries digests and positions, never text.  Memory is bounded by a partition of
 Defined results: null text counts as empty and stays null; texts below 16 words
 never change; rows repeated in full (same doc_id and text) count as one text and
 both stay as they are with respect to each other; a null doc_id is an ordinary
-value; extra columns pass through.
+value; extra columns pass through, and the two added columns take one more leading
+underscore as long as the input has a column of their name.
 """
 
 from __future__ import annotations
@@ -219,12 +220,20 @@ def _cut(text_at: int):
     return run
 
 
+def added_names(names: list[str]) -> tuple[str, str]:
+    """The names under which drop_repeats adds the words of a text and the words removed from it."""
+    own, lead = {n.lower() for n in names}, "_"
+    while {f"{lead}words", f"{lead}removed"} & own:
+        lead += "_"
+    return f"{lead}words", f"{lead}removed"
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages cut out of the text, plus _words (-1: no repeat found) and _removed."""
+    """docs with repeated passages cut out of the text, plus _words (-1: no repeat found) and _removed, see added_names."""
     names = docs.columns
     tagged = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], text_key(id_col, text_col).alias("key"))
     found = repeats(docs, id_col, text_col)
     joined = tagged.join(found, "key", "left").drop("key")
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     out = joined.mapInArrow(_cut(names.index(text_col)), f"{schema}, _words long, _removed long")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "_words", "_removed")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *[F.col(x).alias(y) for x, y in zip(("_words", "_removed"), added_names(names))])
