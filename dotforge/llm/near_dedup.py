@@ -13,8 +13,14 @@ diagonals apart, so the band loses nothing.
 
 Scale.  Exact copies collapse first (combined on the map side).  In a band bucket
 of any size each member is compared with two centres of the bucket (one global
-order, one order of the bucket's own), never with all others: candidates grow with
-the members, and sixteen bands with independent centres tie a group together.
+order, one order of the bucket's own); sixteen bands with independent centres tie
+most groups together.  Where members that are no centre still lie in different
+components, their texts meet once more by an exact prefix filter: ordered by rarity,
+two texts with a similarity of 0.8 share one of the rarest 20 % of their labelled
+k-mers, early enough that 0.8 can still be reached.  So no pair that shares a band
+key and could join two components goes unverified, and a k-mer whose texts are all
+in one component makes no pair.  The order comes from k-mer counts in SLOTS slots;
+slots that collide change only the order, never the result.
 Stars are salted, so a hot centre is spread over tasks.  Groups are
 connected components found by distributed star contraction.
 
@@ -41,6 +47,8 @@ K = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 2
+SLOTS_LOG = 20  # the k-mer counts that order the prefixes: 2 ** SLOTS_LOG of them, 8 MB
+RARE = 8  # counts up to here are not told apart
 STAR = 256  # members that one task-side star holds next to its centre
 
 
@@ -156,21 +164,107 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(centre, member) pairs of distinct texts that share a band key; linear in the members."""
-    keys = texts.select("tid", F.posexplode("bands").alias("band", "key"))
-    keys = keys.select("tid", "key")
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, tid, c1, c2): the members of every band bucket of two texts or more, and its two centres."""
+    keys = texts.select("tid", F.explode("bands").alias("key"))
     own = F.struct(F.xxhash64("key", "tid").alias("o"), F.col("tid").alias("t"))
     every = F.struct(F.xxhash64("tid").alias("o"), F.col("tid").alias("t"))
     hubs = (
         keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(own)["t"].alias("c1"), F.min(every)["t"].alias("c2"))
         .where("n > 1").drop("n")
     )
-    pairs = keys.join(hubs, "key").select("tid", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("centre"))
+    return keys.join(hubs, "key")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's centres; linear in the members."""
+    pairs = met.select("tid", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("centre"))
     pairs = pairs.where(F.col("tid") != F.col("centre"))
     return pairs.select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct()
 
 
+def open_texts(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tid, comp) of the texts that share a bucket with a text of another component, neither of them a centre of it."""
+    crowd = met.where((F.col("tid") != F.col("c1")) & (F.col("tid") != F.col("c2"))).select("key", "tid")
+    crowd = crowd.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("comp"))
+    mixed = crowd.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return crowd.join(mixed, "key", "left_semi").select("tid", "comp").distinct()
+
+
+def _marks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, labelled k-mers) of the texts of a batch."""
+    for lo, hi, data, off in tc.batches_of(batch):
+        h, first = tc.words(data, off)
+        for i in range(hi - lo):
+            yield lo + i, labelled(h[first[i] : first[i + 1]])
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_slot(x) for _, x in _marks(batch)]
+        slot, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+
+def _prefixes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            at, tokens, places, sizes = [], [], [], []
+            for i, x in _marks(batch):
+                n = len(x)
+                x = x[np.lexsort((x, counts[_slot(x)]))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                at.append(np.full(len(x), i))
+                tokens.append(x)
+                places.append(np.arange(len(x), dtype=np.int32))
+                sizes.append(np.full(len(x), n, np.int32))
+            if at:
+                take = pa.array(np.concatenate(at))
+                cols = [batch.column(0).take(take), batch.column(1).take(take)]
+                cols += [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))]
+                yield pa.RecordBatch.from_arrays(cols, ["tid", "comp", "token", "place", "size"])
+
+    return run
+
+
+def prefix_pairs(opened: DataFrame) -> DataFrame:
+    """(a, b): texts of (tid, comp, text) in different components whose similarity can reach SIMILARITY; loses none."""
+    counts = np.zeros(1 << SLOTS_LOG, np.int64)
+    seen = opened.select("text").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > RARE).toArrow()
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+    shared = opened.sparkSession.sparkContext.broadcast(counts)
+    schema = "tid binary, comp binary, token long, place int, size int"
+    tokens = materialize(opened.select("tid", "comp", "text").mapInArrow(_prefixes(shared), schema))
+    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    tokens = materialize(tokens.join(mixed, "token", "left_semi"))
+    # of two components that meet in a token, one at least is not the token's largest
+    main = tokens.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    few = tokens.join(main, "token").where(F.col("comp") != F.col("main")).alias("x")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    reach = F.least(x("size") - x("place"), y("size") - y("place")) >= SIMILARITY / (1 + SIMILARITY) * (x("size") + y("size")) - 1e-9
+    once = (y("comp") == x("main")) | (x("tid") < y("tid"))
+    pairs = few.join(tokens.alias("y"), (x("token") == y("token")) & (x("comp") != y("comp")) & once & reach)
+    return pairs.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()
+
+
+def grouped(rows: DataFrame, slim: DataFrame, bands: DataFrame) -> DataFrame:
+    """(node, root) of all texts with a link: the centres first, then what they left open."""
+    met = materialize(buckets(bands))
+    roots = components(links(rows, slim, candidates(met)))
+    left = materialize(open_texts(met, roots))
+    if left.isEmpty():
+        return roots
+    left = left.join(slim.select("tid", "own_min"), "tid").select(F.col("tid").alias("left_tid"), "comp", "own_min")
+    opened = rows.join(left, (F.col("tid") == F.col("left_tid")) & F.col("id").eqNullSafe(F.col("own_min")))
+    opened = materialize(opened.select("tid", "id", "comp", "text").dropDuplicates(["tid"]))
+    found = links(opened.select("tid", "id", "text"), slim, prefix_pairs(opened))
+    return components(found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+
 def links(rows: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
     """Verified links (u, v) of the candidate pairs; rows: (tid, id, text), slim: the smallest id of each text.
 
@@ -210,8 +304,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     slim = materialize(rows.groupBy("tid").agg(F.min("id").alias("own_min"), F.count(F.lit(1)).alias("own_rows")))
     bands = rows.select("tid", "text").mapInArrow(_bands, "tid binary, bands array<bigint>")
     bands = bands.groupBy("tid").agg(F.first("bands").alias("bands"))
-    found = materialize(links(rows, slim, candidates(materialize(bands))))
-    roots = components(found)
+    roots = grouped(rows, slim, materialize(bands))
     slim = slim.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     classes = slim.groupBy("root").agg(F.min("own_min").alias("class_id"), F.sum("own_rows").alias("class_size"))
     return slim.join(classes, "root").select("tid", "class_id", "class_size", "own_min", "own_rows")

@@ -84,6 +84,20 @@ def test_near_dedup_equals_brute_force(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low.values())) and len(kept.columns) == 7
 
 
+def test_near_dedup_finds_pairs_that_no_centre_is_alike_to(spark):
+    rng = np.random.default_rng(8)
+    common, texts = prose(rng, 150), []
+    for _ in range(40):  # 40 pairs of 0.83 that share most band keys with 78 texts of 0.79
+        own = rng.choice(WORDS, 20)
+        other = own.copy()
+        other[[9, 12, 16]] = ["one", "two", "three"]
+        texts += [f"{common} {' '.join(own)}", f"{common} {' '.join(other)}"]
+    want = brute_classes(texts)
+    assert len(set(want)) == 40
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame(spark, texts)).collect()}
+    assert got == {i: want.index(c) for i, c in enumerate(want)}
+
+
 def test_near_dedup_odd_rows(spark):
     texts = ["a b c d e f", "a b c d e f", "other words here", "a b c d e f", None]
     docs = frame(spark, texts, [None, 7, 8, 7, None])
