@@ -27,7 +27,9 @@ connected components found by distributed star contraction.
 Defined results: null text counts as empty; texts below five words have one k-mer
 made of all their words; empty texts are copies of each other; a null doc_id is
 kept and is never a class id unless its class has no other; rows repeated in full
-share a class, and one of them is kept; extra columns pass through untouched.
+share a class, and one of them is kept; of unlike texts that tie for the smallest id,
+or that all have a null one, the one with the smallest digest stays; extra columns
+pass through untouched.
 """
 
 from __future__ import annotations
@@ -294,10 +296,11 @@ def links(rows: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(tid, class_id, class_size, first_rows): one row per distinct text.
+    """(tid, class_id, class_size, own_min, own_rows, stays): one row per distinct text.
 
     class_id is the smallest id of the connected class; class_size counts rows;
-    own_min is the smallest id of the text and own_rows the rows that carry it.
+    own_min is the smallest id of the text and own_rows the rows that carry it;
+    stays marks the one text of the class that is kept.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(text_digest().alias("tid"), "id", "text")
@@ -306,15 +309,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     bands = bands.groupBy("tid").agg(F.first("bands").alias("bands"))
     roots = grouped(rows, slim, materialize(bands))
     slim = slim.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    classes = slim.groupBy("root").agg(F.min("own_min").alias("class_id"), F.sum("own_rows").alias("class_size"))
-    return slim.join(classes, "root").select("tid", "class_id", "class_size", "own_min", "own_rows")
+    first = F.min(F.struct(F.col("own_min").isNull(), "own_min", "tid"))["tid"]
+    classes = slim.groupBy("root").agg(F.min("own_min").alias("class_id"), F.sum("own_rows").alias("class_size"), first.alias("first"))
+    stays = (F.col("tid") == F.col("first")).alias("stays")
+    return slim.join(classes, "root").select("tid", "class_id", "class_size", "own_min", "own_rows", stays)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, class_id, class_size and whether it is the one that stays."""
     ids = docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("tid"))
-    out = ids.join(groups(docs, id_col, text_col), "tid")
-    keep = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    # rows repeated in full are counted, and numbered when they are dealt out again
+    ids = ids.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    out = ids.join(groups(docs, id_col, text_col), "tid").withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
+    keep = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("nth") == 1)
     return out.select("doc_id", "class_id", "class_size", keep.alias("kept"))
 
 
@@ -323,9 +330,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key, cid, dup = "_near_tid", "_near_class", "_near_root"
     tagged = docs.withColumn(key, text_digest(text_col))
     slim = materialize(groups(docs, id_col, text_col)).select(
-        F.col("tid").alias(key), F.col("class_id").alias(cid), "own_min", (F.col("own_rows") > 1).alias(dup)
+        F.col("tid").alias(key), F.col("class_id").alias(cid), "stays", (F.col("own_rows") > 1).alias(dup)
     )
-    slim = slim.where(F.col("own_min").eqNullSafe(F.col(cid))).drop("own_min")
+    slim = slim.where("stays").drop("stays")
     kept = tagged.join(slim, key).where(F.col(id_col).eqNullSafe(F.col(cid)))
     single = kept.where(~F.col(dup))
     tied = kept.where(dup).dropDuplicates([key])

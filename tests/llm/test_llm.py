@@ -106,6 +106,18 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_one_of_unlike_texts_with_one_id(spark):
+    rng = np.random.default_rng(9)
+    a, b = prose(rng, 80), prose(rng, 80)
+    docs = frame(spark, [a, f"{a} end", b, f"{b} end", f"{b} end", "alone", "alone"], [None, None, 4, 4, 4, 9, 9])
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {None, 4, 9}
+    out = near_dedup.near_classes(docs).collect()
+    assert sorted((r.class_id or 0, r.class_size, r.kept) for r in out) == sorted(
+        [(0, 2, False), (0, 2, True), *[(4, 3, False)] * 2, (4, 3, True), (9, 2, False), (9, 2, True)]
+    )
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
