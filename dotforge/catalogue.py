@@ -81,8 +81,8 @@ def _flag(found: DataFrame, exact: DataFrame, least: float, name: str = "reached
 
 TRUE = "SELECT true AS reached"
 for _m in joins.APPROXIMATE:
-    add(f"above_theta_{_m}", lambda s, d, m=_m: _flag(joins.above_theta(*sides(s, d), HIGH, m), joins.above_theta(*sides(s, d), HIGH, "dense"), 0.8), TRUE)
-for _m, _least in (("lsh", 0.9), ("blsh", 0.8), ("simple_lsh", 0.3), ("pca_tree", 0.3)):
+    add(f"above_theta_{_m}", lambda s, d, m=_m: _flag(joins.above_theta(*sides(s, d), HIGH, m), joins.above_theta(*sides(s, d), HIGH, "dense"), 0.9), TRUE)
+for _m, _least in (("lsh", 0.9), ("blsh", 0.9), ("simple_lsh", 0.9), ("pca_tree", 0.9)):
     add(f"top_k_{_m}", lambda s, d, m=_m, w=_least: _flag(joins.row_top_k(*sides(s, d), K, m), joins.row_top_k(*sides(s, d), K, "dense"), w), TRUE)
 
 

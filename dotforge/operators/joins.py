@@ -216,7 +216,14 @@ def row_top_k(
         check_dims(queries, probes)
     q, p = prepare(queries, "q"), prepare(probes, "p")
     if method in ("simple_lsh", "pca_tree"):
-        pairs = lsh.simple_lsh(q, p, k, recall) if method == "simple_lsh" else lsh.pca_tree(q, p, k, depth)
+        q = top_k_bounds(q, p, k)
+        if method == "pca_tree":
+            pairs = lsh.pca_tree(q, p, k, depth)
+        else:
+            pairs, left = lsh.simple_lsh(q, p, k, recall)
+            rest = candidates(left, p, "length")
+            rest = rest.select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"))
+            pairs = pairs.union(rest).dropDuplicates(["query_id", "probe_id"])
     else:
         q = top_k_bounds(q, p, k)
         pruned = q.withColumn("bound", relax(F.col("bound"), F.col("qn"), approx, epsilon))

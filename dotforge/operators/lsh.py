@@ -87,14 +87,23 @@ def _first(p: DataFrame, k: int) -> DataFrame:
     return p.orderBy("pid").limit(k)
 
 
-def simple_lsh(q: DataFrame, p: DataFrame, k: int, recall: float, tables: int = 64) -> DataFrame:
-    """Top-k candidates from one set of tables over unit-length transforms of both sides, scored by ip."""
+def simple_lsh(q: DataFrame, p: DataFrame, k: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(top-k candidates scored by ip, queries left to a scan); q carries the bound that its k-th best score reaches.
+
+    One set of tables over unit-length transforms of both sides, in which a pair's cosine
+    is ip / (|q| M): each query uses as many tables as find its bound with the recall.
+    Queries for which TABLES do not suffice are left.
+    """
     longest = p.agg(F.max("pn").alias("m"))
     pt = p.crossJoin(F.broadcast(longest)).select("pid", V.lsh_probe("pv", F.col("m")).alias("t"))
-    ps = signatures(pt, "pid", "t").select("pid", F.posexplode(F.slice("codes", 1, tables)).alias("t", "code"))
-    qs = signatures(q.select("qid", V.lsh_query("qv").alias("t")), "qid", "t").select("qid", F.posexplode(F.slice("codes", 1, tables)).alias("t", "code"))
+    local = F.coalesce(F.try_divide("bound", F.col("qn") * F.col("m")), F.lit(0.0))
+    needed = q.crossJoin(F.broadcast(longest)).withColumn("need", tables_needed(local, recall)).drop("m")
+    hashed, left = needed.where(F.col("need") <= TABLES), needed.where(F.col("need") > TABLES).drop("need")
+    ps = signatures(pt, "pid", "t").select("pid", F.posexplode("codes").alias("t", "code"))
+    qs = signatures(hashed.select("qid", V.lsh_query("qv").alias("t")), "qid", "t").join(hashed.select("qid", "need"), "qid")
+    qs = qs.select("qid", F.posexplode(F.slice("codes", F.lit(1), F.col("need"))).alias("t", "code"))
     met = qs.join(ps, ["t", "code"]).select("qid", "pid").union(q.select("qid").crossJoin(F.broadcast(_first(p, k).select("pid")))).distinct()
-    return _score(met, q, p)
+    return _score(met, q, p), left
 
 
 def _score(met: DataFrame, q: DataFrame, p: DataFrame) -> DataFrame:
@@ -153,21 +162,29 @@ def descend(df: DataFrame, coords: str, step: DataFrame, level: int) -> DataFram
 
 
 def pca_tree(q: DataFrame, p: DataFrame, k: int, depth: int) -> DataFrame:
-    """Top-k candidates from the query's leaf of a PCA tree and the leaves one bit away, scored by ip.
+    """Top-k candidates from the leaves of a PCA tree that can hold them, scored by ip; q carries the bound of its k-th best score.
 
     Distances in the transformed space are |q|^2 + M^2 - 2 ip, so ranking by ip is
-    ranking by distance.
+    ranking by distance, and the bound gives the radius within which the top k lie.  The
+    axes are orthonormal and each level splits another one: the squared gaps to the
+    medians on a query's way to a leaf add up, and a leaf is visited unless their sum
+    passes the squared radius.  So no leaf with a top-k probe is left out.
     """
     longest = p.agg(F.max("pn")).first()[0] or 0.0
     lift = F.sqrt(F.greatest(F.lit(0.0), F.lit(longest * longest) - F.col("pn") * F.col("pn")))
     pt = p.select("pid", F.concat(F.array(lift), F.col("pv")).alias("t"))
     mean, axes = principal_axes(pt, "t", depth)
     pr = pt.select("pid", _rotate(F.col("t"), mean, axes).alias("x"))
-    qr = q.select("qid", _rotate(F.concat(F.array(F.lit(0.0)), F.col("qv")), mean, axes).alias("x"), F.lit(0).cast("long").alias("leaf"))
+    size = F.col("qn") * F.col("qn") + F.lit(longest * longest)
+    radius = (size - 2 * F.col("bound") + 1e-9 * (1 + size)).alias("radius")
+    qr = q.select("qid", radius, _rotate(F.concat(F.array(F.lit(0.0)), F.col("qv")), mean, axes).alias("x"), F.lit(0).cast("long").alias("leaf"), F.lit(0.0).alias("gap"))
     leaves, splits = median_leaves(pr, "x", depth)
     for level in range(depth):
-        qr = descend(qr, "x", splits.where(F.col("level") == level), level)
-    near = F.array(F.col("leaf"), *[F.col("leaf").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(depth)])
-    met = qr.select("qid", F.explode(near).alias("leaf")).join(leaves.select("pid", "leaf"), "leaf").select("qid", "pid")
+        step = F.broadcast(splits.where(F.col("level") == level).select(F.col("path").alias("leaf"), "median"))
+        away = F.element_at("x", level + 1) - F.col("median")
+        sides = F.array(*[F.struct(F.lit(b).alias("bit"), (F.col("gap") + F.when(over, away * away).otherwise(0.0)).alias("gap")) for b, over in ((0, away > 0), (1, away <= 0))])
+        qr = qr.join(step, "leaf").withColumn("side", F.explode(sides)).where(F.col("side.gap") <= F.col("radius"))
+        qr = qr.select("qid", "radius", "x", (F.col("leaf") * 2 + F.col("side.bit")).cast("long").alias("leaf"), F.col("side.gap").alias("gap"))
+    met = qr.select("qid", "leaf").join(leaves.select("pid", "leaf"), "leaf").select("qid", "pid")
     met = met.union(q.select("qid").crossJoin(F.broadcast(_first(p, k).select("pid")))).distinct()
     return _score(met, q, p)

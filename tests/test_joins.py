@@ -80,3 +80,13 @@ def test_empty_sides(spark):
     for method in ("dense", "li", "naive", "tree", "ta_rr"):
         assert joins.above_theta(none, a, 1.0, method).count() == 0
         assert joins.above_theta(a, none, 1.0, method).count() == 0
+
+
+@pytest.mark.parametrize("method", ["simple_lsh", "pca_tree"])
+def test_transformed_top_k_reaches_recall(spark, method):
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((700, 16)) * rng.uniform(0.5, 2, (700, 1))
+    q, p = (spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(part)], "id long, vec array<double>") for part in (m[:60], m[60:]))
+    got = joins.row_top_k(q, p, 10, method).collect()
+    want = {(i, j) for i, row in enumerate(m[:60] @ m[60:].T) for j in np.argsort(-row)[:10]}
+    assert len(got) == 600 and len({(r.query_id, r.probe_id) for r in got} & want) >= 0.9 * len(want)
