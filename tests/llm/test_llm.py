@@ -334,12 +334,41 @@ def test_warc_round_trip(spark, tmp_path):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if first == i else ("revisit", first))
-    warc.write(warc.records(pages), path := f"file://{tmp_path}/w")
-    parts = warc.payloads(spark, path).where("page_id is not null or chunk > 1").collect()
-    assert max(len(r.data.decode(errors="replace")) for r in parts) <= warc.CHUNK
+    warc.write(warc.records(pages), path := f"file://{tmp_path}/w", chunk=1000)
+    parts = warc.payloads(spark, path).collect()
+    assert max(len(r.data) for r in parts) <= 1000
+    whole = {}
+    for r in sorted(parts, key=lambda r: (r.record_id, r.chunk)):
+        whole[r.record_id] = whole.get(r.record_id, b"") + bytes(r.data)
+        r.data.decode()  # no cut inside a code point
+    assert Counter(whole.values()) == Counter([(h or "").encode() for h in {*html[:4], *html[5:]}] + [b"tiny", b"z" * 200])
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_hot_and_rare_copies_keep_their_payloads_apart(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 5)  # payloads of a fifth of all rows or more count as hot
+    rng = np.random.default_rng(21)
+    shared, pairs = "h" * 500, [prose(rng, 40) for _ in range(60)]
+    html = [shared] * 100 + [p for p in pairs for _ in range(2)] + [prose(rng, 40) for _ in range(100)] + ["q" * 3_000_000]
+    order = rng.permutation(len(html)).tolist()
+    docs = spark.createDataFrame([(i, "u", html[j], None) for i, j in enumerate(order)], PAGES).repartition(6)
+    lead = {}
+    for i, j in enumerate(order):
+        lead.setdefault(html[j], i)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(docs).collect()}
+    assert got == {i: ("response", None, len(html[j])) if lead[html[j]] == i else ("revisit", lead[html[j]], len(html[j])) for i, j in enumerate(order)}
+
+
+def test_warc_stream_gives_records_back_whatever_the_pieces():
+    rng = np.random.default_rng(22)
+    blocks = ["".join(rng.choice(["\r", "\n", "\r\n", "a", "WARC/1.1"], 60)).encode() for _ in range(50)] + [b""]
+    raw = b"".join(warc._header(("WARC-Type", "response"), ("Content-Length", len(b))) + b + b"\r\n\r\n" for b in blocks)
+    for size in (1, 7, 1000):
+        assert [b for _, b in warc.parse(raw[i : i + size] for i in range(0, len(raw), size))] == blocks
+    with pytest.raises(ValueError):
+        list(warc.parse([raw[:-8]]))
+
+
 def test_url_parts_and_rules(spark):
     urls = [
         (1, "HTTP://WWW.Example.NET/en/x?q#f"), (2, "http://example.net/fr"), (3, "http://sub.org/fr/1"), (4, "http://example.com/de/?a"), (5, "http://example.com"),
