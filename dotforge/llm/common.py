@@ -38,6 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """name with as many leading underscores as it takes to differ from all names taken."""
+    own = {c.lower() for c in taken}
+    while name.lower() in own:
+        name = f"_{name}"
+    return name
+
+
 def text_digest(text: str = "text") -> Column:
     """16-byte identity of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))

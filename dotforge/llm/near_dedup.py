@@ -17,18 +17,24 @@ order, one order of the bucket's own); sixteen bands with independent centres ti
 most groups together.  Where members that are no centre still lie in different
 components, their texts meet once more by an exact prefix filter: ordered by rarity,
 two texts with a similarity of 0.8 share one of the rarest 20 % of their labelled
-k-mers, early enough that 0.8 can still be reached.  So no pair that shares a band
-key and could join two components goes unverified, and a k-mer whose texts are all
-in one component makes no pair.  The order comes from k-mer counts in SLOTS slots;
-slots that collide change only the order, never the result.
+k-mers, early enough that 0.8 can still be reached.  A k-mer whose texts lie in
+several components first compares them with one text of its largest component, in
+ROUNDS rounds with other texts, which is linear and joins what belongs together; the
+pairs that then still lie in different components are verified one by one.  So no pair
+that shares a band key and could join two components goes unverified, and a k-mer
+whose texts are all in one component makes no pair.  The order comes from k-mer counts
+in SLOTS slots; slots that collide change only the order, never the result.
 Stars are salted, so a hot centre is spread over tasks.  Groups are
-connected components found by distributed star contraction.
+connected components found by distributed star contraction.  Texts that make up one
+row in HOT or more (HOT of them at most) hand out their class by broadcast, so a text
+that a third of all rows share is never gathered in one task.
 
 Defined results: null text counts as empty; texts below five words have one k-mer
 made of all their words; empty texts are copies of each other; a null doc_id is
 kept and is never a class id unless its class has no other; rows repeated in full
 share a class, and one of them is kept; of unlike texts that tie for the smallest id,
-or that all have a null one, the one with the smallest digest stays; extra columns
+or that all have a null one, the one with the smallest digest stays; texts of any length
+are read as a whole; an empty table gives an empty result; extra columns of any name
 pass through untouched.
 """
 
@@ -42,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import materialize, text_digest
+from .common import fresh_name, materialize, text_digest
 from .components import components
 
 K = 5
@@ -51,6 +57,8 @@ BANDS = 16
 ROWS = 2
 SLOTS_LOG = 20  # the k-mer counts that order the prefixes: 2 ** SLOTS_LOG of them, 8 MB
 RARE = 8  # counts up to here are not told apart
+ROUNDS = 4  # star rounds over k-mers before pairs are verified one by one
+HOT = 1000
 STAR = 256  # members that one task-side star holds next to its centre
 
 
@@ -135,7 +143,13 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, text) -> (tid, band keys); copies within a batch are sketched once."""
     for batch in batches:
+        seen: dict[bytes, int] = {}
+        for i, t in enumerate(batch.column(0).to_pylist()):
+            seen.setdefault(t, i)
+        if len(seen) < batch.num_rows:
+            batch = batch.take(pa.array(list(seen.values()), pa.int64()))
         keys = []
         for lo, hi, data, off in tc.batches_of(batch):
             h, first = tc.words(data, off)
@@ -225,53 +239,95 @@ def _prefixes(shared):
                 places.append(np.arange(len(x), dtype=np.int32))
                 sizes.append(np.full(len(x), n, np.int32))
             if at:
-                take = pa.array(np.concatenate(at))
-                cols = [batch.column(0).take(take), batch.column(1).take(take)]
+                cols = [batch.column(0).take(pa.array(np.concatenate(at)))]
                 cols += [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))]
-                yield pa.RecordBatch.from_arrays(cols, ["tid", "comp", "token", "place", "size"])
+                yield pa.RecordBatch.from_arrays(cols, ["tid", "token", "place", "size"])
 
     return run
 
 
-def prefix_pairs(opened: DataFrame) -> DataFrame:
-    """(a, b): texts of (tid, comp, text) in different components whose similarity can reach SIMILARITY; loses none."""
+def prefixes(opened: DataFrame) -> DataFrame:
+    """(tid, token, place, size): the rarest k-mers of the texts (tid, text), one of which alike texts share."""
     counts = np.zeros(1 << SLOTS_LOG, np.int64)
     seen = opened.select("text").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > RARE).toArrow()
     counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
     shared = opened.sparkSession.sparkContext.broadcast(counts)
-    schema = "tid binary, comp binary, token long, place int, size int"
-    tokens = materialize(opened.select("tid", "comp", "text").mapInArrow(_prefixes(shared), schema))
-    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    tokens = materialize(tokens.join(mixed, "token", "left_semi"))
+    return opened.select("tid", "text").mapInArrow(_prefixes(shared), "tid binary, token long, place int, size int")
+
+
+def _reach(x: str, y: str):
+    """Whether two texts that share a token at these places can still reach SIMILARITY."""
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    return F.least(a("size") - a("place"), b("size") - b("place")) >= SIMILARITY / (1 + SIMILARITY) * (a("size") + b("size")) - 1e-9
+
+
+def mixed_tokens(tokens: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tid, token, place, size, comp) of the tokens whose texts lie in several components."""
+    crowd = tokens.join(comps, "tid")
+    mixed = crowd.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return materialize(crowd.join(mixed, "token", "left_semi"))
+
+
+def _main(crowd: DataFrame, order: str) -> DataFrame:
+    """(token, main, lead): the component that holds most texts of each token, and its first text by an order."""
+    own = crowd.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.expr(order).alias("o"), "tid", "place", "size")).alias("lead"))
+    return own.groupBy("token").agg(F.max(F.struct("n", "comp", "lead")).alias("m")).select("token", F.col("m.comp").alias("main"), F.col("m.lead").alias("y"))
+
+
+def star_pairs(crowd: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the texts of each token with one text of its largest component; linear in the tokens."""
+    lead = _main(crowd, "place" if turn == 0 else f"xxhash64(tid, {turn})")
+    pairs = crowd.alias("x").join(lead, "token").where((F.col("comp") != F.col("main")) & _reach("x", "y"))
+    return pairs.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()
+
+
+def prefix_pairs(crowd: DataFrame) -> DataFrame:
+    """(a, b): texts in different components that share a token and can reach SIMILARITY; loses none."""
     # of two components that meet in a token, one at least is not the token's largest
-    main = tokens.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    few = tokens.join(main, "token").where(F.col("comp") != F.col("main")).alias("x")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    reach = F.least(x("size") - x("place"), y("size") - y("place")) >= SIMILARITY / (1 + SIMILARITY) * (x("size") + y("size")) - 1e-9
-    once = (y("comp") == x("main")) | (x("tid") < y("tid"))
-    pairs = few.join(tokens.alias("y"), (x("token") == y("token")) & (x("comp") != y("comp")) & once & reach)
+    few = crowd.join(_main(crowd, "place").select("token", "main"), "token").where(F.col("comp") != F.col("main")).alias("x")
+    once = (F.col("y.comp") == F.col("x.main")) | (F.col("x.tid") < F.col("y.tid"))
+    pairs = few.join(crowd.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _reach("x", "y"))
     return pairs.select(F.least("x.tid", "y.tid").alias("a"), F.greatest("x.tid", "y.tid").alias("b")).distinct()
 
 
-def grouped(rows: DataFrame, slim: DataFrame, bands: DataFrame) -> DataFrame:
+def merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """(tid, comp) after the links (u, v) between texts have joined components."""
+    one, two = comps.select(F.col("tid").alias("u"), F.col("comp").alias("cu")), comps.select(F.col("tid").alias("v"), F.col("comp").alias("cv"))
+    roots = components(found.join(one, "u").join(two, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    out = comps.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left")
+    return materialize(out.select("tid", F.coalesce("root", "comp").alias("comp")))
+
+
+def grouped(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """(node, root) of all texts with a link: the centres first, then what they left open."""
     met = materialize(buckets(bands))
-    roots = components(links(rows, slim, candidates(met)))
-    left = materialize(open_texts(met, roots))
-    if left.isEmpty():
+    roots = components(links(rows, candidates(met)))
+    comps = materialize(open_texts(met, roots))
+    if comps.isEmpty():
         return roots
-    left = left.join(slim.select("tid", "own_min"), "tid").select(F.col("tid").alias("left_tid"), "comp", "own_min")
-    opened = rows.join(left, (F.col("tid") == F.col("left_tid")) & F.col("id").eqNullSafe(F.col("own_min")))
-    opened = materialize(opened.select("tid", "id", "comp", "text").dropDuplicates(["tid"]))
-    found = links(opened.select("tid", "id", "text"), slim, prefix_pairs(opened))
-    return components(found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    opened = materialize(one_each(rows).join(comps.select("tid"), "tid"))
+    tokens = materialize(prefixes(opened))
+    every = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    turn = 0
+    while not (crowd := mixed_tokens(tokens, comps)).isEmpty():
+        found = materialize(links(opened, star_pairs(crowd, turn) if turn < ROUNDS else prefix_pairs(crowd)))
+        every = every.union(found)
+        if turn >= ROUNDS:
+            break
+        if found.isEmpty():
+            turn = ROUNDS
+        else:
+            comps, turn = merged(comps, found), turn + 1
+    return components(every)
 
 
-def links(rows: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Verified links (u, v) of the candidate pairs; rows: (tid, id, text), slim: the smallest id of each text.
+def one_each(rows: DataFrame) -> DataFrame:
+    """(tid, text) once a text; copies are combined on the map side."""
+    return rows.groupBy("tid").agg(F.first("text").alias("text"))
 
-    Only the row with that id gives the text, so copies of a text do not multiply its stars.
-    """
+
+def links(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Verified links (u, v) of the candidate pairs (a, b); rows: (tid, text), copies of a text allowed."""
     pairs = materialize(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     # the endpoint with more pairs is the centre: its text is shipped once per STAR members
@@ -289,10 +345,8 @@ def links(rows: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
     need = star.select("tid", "star", F.lit(False).alias("centre")).union(
         star.select(F.col("c").alias("tid"), "star", F.lit(True).alias("centre")).distinct()
     )
-    need = need.join(slim.select("tid", F.col("own_min").alias("need_id")), "tid").withColumnRenamed("tid", "need_tid")
-    met = need.join(rows, (F.col("tid") == F.col("need_tid")) & F.col("id").eqNullSafe(F.col("need_id")))
-    rows = met.select("star", "tid", "centre", "text").repartition("star").sortWithinPartitions("star", F.desc("centre"))
-    return rows.mapInArrow(_verify, "u binary, v binary")
+    met = need.join(one_each(rows), "tid").select("star", "tid", "centre", "text")
+    return met.repartition("star").sortWithinPartitions("star", F.desc("centre")).mapInArrow(_verify, "u binary, v binary")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,9 +359,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(text_digest().alias("tid"), "id", "text")
     slim = materialize(rows.groupBy("tid").agg(F.min("id").alias("own_min"), F.count(F.lit(1)).alias("own_rows")))
-    bands = rows.select("tid", "text").mapInArrow(_bands, "tid binary, bands array<bigint>")
+    rows = rows.select("tid", "text")
+    bands = rows.mapInArrow(_bands, "tid binary, bands array<bigint>")
     bands = bands.groupBy("tid").agg(F.first("bands").alias("bands"))
-    roots = grouped(rows, slim, materialize(bands))
+    roots = grouped(rows, materialize(bands))
     slim = slim.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     first = F.min(F.struct(F.col("own_min").isNull(), "own_min", "tid"))["tid"]
     classes = slim.groupBy("root").agg(F.min("own_min").alias("class_id"), F.sum("own_rows").alias("class_size"), first.alias("first"))
@@ -317,23 +372,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, class_id, class_size and whether it is the one that stays."""
+    found = materialize(groups(docs, id_col, text_col)).select("tid", "class_id", "class_size", "own_rows", "stays")
+    total = found.agg(F.sum("own_rows")).first()[0] or 0
     ids = docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("tid"))
     # rows repeated in full are counted, and numbered when they are dealt out again
     ids = ids.groupBy("doc_id", "tid").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    out = ids.join(groups(docs, id_col, text_col), "tid").withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
+    hot = found.where(F.col("own_rows") * HOT >= total)  # HOT texts at most
+    known = [F.col(c).alias(f"hot_{c}") for c in ("class_id", "class_size", "stays")]
+    ids = ids.join(F.broadcast(hot.select("tid", *known)), "tid", "left")
+    given = F.col("hot_class_size").isNotNull()
+    same = ids.where(given).select("doc_id", "times", *[F.col(f"hot_{c}").alias(c) for c in ("class_id", "class_size", "stays")])
+    rest = ids.where(~given).select("doc_id", "tid", "times").join(found.where(F.col("own_rows") * HOT < total), "tid")
+    out = same.unionByName(rest.select(*same.columns)).withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
     keep = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("nth") == 1)
     return out.select("doc_id", "class_id", "class_size", keep.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: the one with the smallest id; among rows that tie, any one."""
-    key, cid, dup = "_near_tid", "_near_class", "_near_root"
+    names = docs.columns
+    key, tid, cid, dup = (fresh_name(n, names) for n in ("near_key", "near_tid", "near_class", "near_dup"))
     tagged = docs.withColumn(key, text_digest(text_col))
-    slim = materialize(groups(docs, id_col, text_col)).select(
-        F.col("tid").alias(key), F.col("class_id").alias(cid), "stays", (F.col("own_rows") > 1).alias(dup)
-    )
-    slim = slim.where("stays").drop("stays")
-    kept = tagged.join(slim, key).where(F.col(id_col).eqNullSafe(F.col(cid)))
+    slim = materialize(groups(docs, id_col, text_col)).where("stays")
+    slim = slim.select(F.col("tid").alias(tid), F.col("class_id").alias(cid), (F.col("own_rows") > 1).alias(dup))
+    # the id is part of the key, so copies of a text do not meet in one task
+    kept = tagged.join(slim, (F.col(key) == F.col(tid)) & F.col(f"`{id_col}`").eqNullSafe(F.col(cid)))
     single = kept.where(~F.col(dup))
-    tied = kept.where(dup).dropDuplicates([key])
-    return single.union(tied).select(*docs.columns)
+    tied = kept.where(F.col(dup)).dropDuplicates([key])
+    return single.union(tied).select(*[F.col(f"`{c}`") for c in names])
