@@ -235,13 +235,13 @@ def test_classifiers_on_held_out_rows(spark, module, label, bad):
 
 def test_gru_gradient_is_right():
     rng = np.random.default_rng(7)
-    model = {f"{k}{d}": rng.normal(0, 0.5, s) for d in (0, 1) for k, s in (("in", (12, 24)), ("rec", (8, 24)), ("bias", 24))}
+    model = {"in": rng.normal(0, 0.5, (2, 12, 24)), "rec": rng.normal(0, 0.5, (2, 8, 24)), "bias": rng.normal(0, 0.5, (2, 24))}
     model |= {"look": rng.normal(size=16), "out": rng.normal(size=16), "base": np.zeros(1)}
     x, mask = rng.normal(size=(5, 3, 12)), np.ones((5, 3))
     mask[3:, 1] = 0
     _, kept = toxicity.run(model, x, mask, keep=True)
     grads, _ = toxicity.back(model, x, mask, kept, np.array([1.0, -2.0, 0.5]))
-    for name in ("in0", "rec1", "look", "out"):
+    for name in ("in", "rec", "bias", "look", "out"):
         at = tuple(int(rng.integers(s)) for s in model[name].shape)
         before, step = model[name][at], 1e-2
         total = []
