@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize, scratch  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -15,29 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that the whole cluster shares.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a local folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_dotforge_scratch", None)
-        if base is None:
-            base = spark._dotforge_scratch = f"file://{tempfile.mkdtemp(prefix='spark-dotforge-')}"
-    return f"{base.rstrip('/')}/dotforge-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage: written once to the shared folder, then read from there."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def fresh_name(name: str, taken: list[str]) -> str:
     """name with as many leading underscores as it takes to differ from all names taken."""
     own = {c.lower() for c in taken}

@@ -5,25 +5,29 @@ share the words of all documents by weight; a source stops at three times its ow
 size and its excess is shared again by weight until none is above.
 
 Takes.  A source is read in passes over its documents in a fixed pseudo-random
-order (md5 of the id) until its target is reached; the document at which the
-target falls is cut there.  So a document's take is (full passes) * size plus what
+order (md5 of the id and the text) until its target is reached; the document at which
+the target falls is cut there.  So a document's take is (full passes) * size plus what
 the last, partial pass takes of it.
 
 Curriculum.  Each source has a linear weight schedule over training time t in
 [0, 1], proportional to 1 + g (2 t - 1) with g = -0.8, 0, 0.8 repeating; it
 integrates to the source's target, so demand up to t is target * (g t^2 + (1 - g) t).
-The word at which a document's first take starts is inverted to its t, t is turned
-into a position in words by the summed demand of all sources, and documents are
-range-sorted by that position (those not taken come last).
+The word at which a take starts, earlier passes over its source included, is inverted to
+its t, and t is turned into a position in words by the summed demand of all sources.
+Each take has its own position; documents are range-sorted by that of their first take
+(those not taken come last), and takes() lists one row a take in training order.
 
 Scale.  A source of any size is cut into hash buckets: sums per (source, bucket)
 first, running totals over those, then a running total inside each bucket, so no
-task holds a source.  Only one row per source is ever ordered in one task.
+task holds a source, and rows without ids are spread by their texts.  Sources are
+numbered range by range.
 
 Defined results: null text has size 0; a source without words has target 0; null
-source is a source of its own; null ids are ordered first; repeated rows are separate documents whose order
-among themselves is arbitrary without changing the result as a whole; empty input gives
-an empty result; extra columns pass through.
+source is a source of its own; documents of size 0 take no words and have no position;
+rows of equal id and text are separate documents whose order among themselves is
+arbitrary without changing the result as a whole; texts of any length are counted as a
+whole; empty input gives an empty result; extra columns pass through with keep, and an
+added column takes as many leading underscores as it needs to differ from the input's.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from ..plans.shared import numbered
+from .common import WORD, fresh_name, materialize
 
 CYCLE = 3
 MOST = 3
@@ -46,8 +51,8 @@ def word_count(text: str) -> Column:
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, size) -> (source, source_size, weight, tilt, target); one row per source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.select("source", "source_size", (rank % CYCLE + 1).alias("weight"), F.array(*map(F.lit, TILT))[rank % len(TILT)].alias("tilt"))
+    per = numbered(per, F.col("source").asc_nulls_last(), name="nth")
+    per = per.select("source", "source_size", (F.col("nth") % CYCLE + 1).cast("int").alias("weight"), F.get(F.array(*map(F.lit, TILT)), (F.col("nth") % len(TILT)).cast("int")).alias("tilt"))
     per = materialize(per)
     capped = F.lit(False)
     total = per.agg(F.sum("source_size")).first()[0] or 0
@@ -67,16 +72,20 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return per.withColumn("target", F.least((MOST * F.col("source_size")).cast("double"), F.lit(level) * F.col("weight")))
 
 
+ADDED = ("size", "source_size", "target", "taken", "position", "positions")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position, passes (and with keep, the columns of docs), range-sorted by position.
+    """doc_id, size, source_size, target, taken, position, positions, range-sorted by position; with keep, docs plus the last six.
 
-    position is where the first take starts, in words of the whole mix (null if nothing is taken).
+    positions are where the takes of a document start, in words of the whole mix, one a
+    pass; position is the first of them (null if nothing is taken).
     """
     names = docs.columns
+    order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     base = docs.select(
         *([F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row")] if keep else []),
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("ord"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), order.alias("ord"),
     )
     slim = materialize(base.drop("row"))
     rows = slim.count()
@@ -104,17 +113,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     full = F.when(F.col("source_size") > 0, F.floor(aim / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), aim - full * F.col("source_size") - at))
     taken = (full * F.col("size") + rest).cast("long")
-    share = F.when(F.col("target") > 0, at / F.col("target")).otherwise(0.0)
+    passes = F.when(F.col("size") > 0, full + F.when(rest > 0, 1).otherwise(0)).otherwise(0).cast("int")
     lead = 1 - F.col("tilt")
-    t = 2 * share / (lead + F.sqrt(lead * lead + 4 * F.col("tilt") * share))
+
+    def start(k: Column) -> Column:
+        share = (k * F.col("source_size") + at) / F.col("target")
+        t = 2 * share / (lead + F.sqrt(lead * lead + 4 * F.col("tilt") * share))
+        return F.lit(a) * t * t + F.lit(b) * t
+
     out = placed.select(
         *(["row"] if keep else []), "doc_id", "size", "source_size", "target", taken.alias("taken"),
-        F.when(taken > 0, F.lit(a) * t * t + F.lit(b) * t).alias("position"),
-        (full + F.when(rest > 0, 1).otherwise(0)).cast("long").alias("passes"),
+        F.when(passes > 0, F.transform(F.sequence(F.lit(0), passes - 1), start)).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
+    out = out.withColumn("position", F.try_element_at("positions", F.lit(1)))
     out = out.repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
-    if keep:
-        added = ["size", "source_size", "target", "taken", "position", "passes"]
-        own = {c.lower() for c in names}
-        out = out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], *[F.col(c).alias(f"mix_{c}" if c in own else c) for c in added])
-    return out
+    if not keep:
+        return out.select("doc_id", *ADDED)
+    taken_names = list(names)
+    added = []
+    for c in ADDED:
+        added.append(fresh_name(c, taken_names))
+        taken_names.append(added[-1])
+    return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)], *[F.col(c).alias(n) for c, n in zip(ADDED, added)])
+
+
+def takes(mixed: DataFrame) -> DataFrame:
+    """(doc_id, pass, words, position), one row a take in training order, of what mix() gave without keep."""
+    one = mixed.select("doc_id", "size", "taken", F.posexplode("positions").alias("pass", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    return one.select("doc_id", "pass", words.alias("words"), "position").orderBy("position", "doc_id", "pass")

@@ -26,7 +26,12 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    out = mixing.mix(table(spark, d, "documents"))
+    last = F.try_element_at("positions", F.lit(-1))
+    return out.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("passes"),
+        F.round("position", 2).alias("position"), F.round(last, 2).alias("last_position"),
+    )
 
 
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:

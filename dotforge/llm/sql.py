@@ -3,7 +3,7 @@
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM {docs}),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
 c AS (SELECT *, coalesce(sum(3 * source_size) OVER b, 0) AS held_before, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open_weight,
@@ -12,12 +12,19 @@ c AS (SELECT *, coalesce(sum(3 * source_size) OVER b, 0) AS held_before, sum(wei
 l AS (SELECT max((total - held_before)::BIGINT::DOUBLE / open_weight::BIGINT) AS level FROM c
       WHERE 3 * source_size > (total - held_before)::BIGINT::DOUBLE / open_weight::BIGINT * weight),
 t AS (SELECT w.source, w.source_size, least((3 * source_size)::DOUBLE, coalesce(level, 1e300) * weight) AS target FROM w, l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS aim,
+g AS (SELECT t.*, (weight - 2) * 0.8::DOUBLE AS tilt FROM (SELECT w.source, w.weight, t.source_size, t.target FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source) t),
+ab AS (SELECT sum(target * tilt) AS a, sum(target * (1 - tilt)) AS b FROM g),
+p AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.tilt, a, b, floor(g.target)::BIGINT AS aim,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN aim // source_size * size + greatest(0, least(size, aim - aim // source_size * source_size - pos)) ELSE 0 END)::BIGINT AS taken
-FROM p
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, ab),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN aim // source_size ELSE 0 END AS whole FROM p),
+r AS (SELECT *, greatest(0, least(size, aim - whole * source_size - pos)) AS rest FROM k),
+n AS (SELECT *, CASE WHEN size > 0 THEN whole + (rest > 0)::BIGINT ELSE 0 END AS passes FROM r),
+x AS (SELECT *, pos / target AS s1, ((passes - 1) * source_size + pos) / target AS s2 FROM n),
+y AS (SELECT *, 2 * s1 / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * s1)) AS t1, 2 * s2 / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * s2)) AS t2 FROM x)
+SELECT doc_id, size, source_size, target, (whole * size + rest)::BIGINT AS taken, passes::BIGINT AS passes,
+  CASE WHEN passes > 0 THEN round(a * t1 * t1 + b * t1, 2) END AS position, CASE WHEN passes > 0 THEN round(a * t2 * t2 + b * t2, 2) END AS last_position
+FROM y
 """
 
 _TOKENS = r"""

@@ -10,6 +10,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dotforge.llm import components, decontaminate, fingerprint, language_model, mixing, near_dedup, quality, queries, sql, substring_dedup, toxicity, url_filter, warc
 
@@ -189,15 +190,17 @@ def test_mixing_equals_sql_and_targets(spark):
     texts = [prose(rng, int(n)) for n in rng.integers(1, 60, 300)] + [None, ""]
     sources = [str(s) for s in rng.choice(["b", "a", "é", "z", "tiny"], 300, p=[0.5, 0.2, 0.2, 0.09, 0.01])] + [None, "empty"]
     docs = frame(spark, texts, sources=sources)
-    got = sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    mixed = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("passes"), F.round("position", 2), F.round(F.try_element_at("positions", F.lit(-1)), 2))
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted(map(tuple, mixed.collect()), key=key)
     pdf = docs.toPandas()
     con = duckdb.connect()
     con.register("documents", pdf)
-    assert got == sorted(con.sql(sql.MIX.format(docs="documents")).fetchall())
+    assert got == sorted(con.sql(sql.MIX.format(docs="documents")).fetchall(), key=key)
     full = mixing.mix(docs, keep=True)
-    assert {"mix_size", "mix_target"} & set(full.columns) == set() and full.count() == len(texts)
+    assert full.columns == [*docs.columns, *mixing.ADDED] and full.count() == len(texts)
     by = {}
-    for _, size, _, target, taken in got:
+    for _, size, _, target, taken, *_ in got:
         assert taken <= 3 * size
     for r in full.collect():
         by.setdefault(r.source, [0, r.target])[0] += r.taken
@@ -205,6 +208,39 @@ def test_mixing_equals_sql_and_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_takes_follow_the_integrated_schedules(spark):
+    rng = np.random.default_rng(15)
+    names = ["a", "b", "c", "d"]
+    sources = [str(x) for x in rng.choice(names, 2000, p=[0.6, 0.3, 0.06, 0.04])]
+    texts = [prose(rng, int(n)) for n in rng.integers(5, 40, 2000)]
+    docs = frame(spark, texts, sources=sources)
+    mixed = mixing.mix(docs)
+    rows = {r.doc_id: r for r in mixed.collect()}
+    targets = {sources[i]: r.target for i, r in rows.items()}
+    assert max(len(r.positions) for r in rows.values()) == 3  # small sources are read three times
+    tilt = dict(zip(names, [-0.8, 0.0, 0.8, -0.8]))
+    taken = mixing.takes(mixed).collect()
+    assert [r.position for r in taken] == sorted(r.position for r in taken)
+    assert sum(r.words for r in taken) == sum(r.taken for r in rows.values())
+    for i, r in rows.items():
+        assert (r.position is None) == (r.taken == 0) and r.positions == sorted(r.positions)
+    demand = lambda s, t: targets[s] * (tilt[s] * t * t + (1 - tilt[s]) * t)
+    for t in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
+        upto = sum(demand(s, t) for s in names)
+        for s in names:
+            got = sum(r.words for r in taken if sources[r.doc_id] == s and r.position <= upto)
+            assert abs(got - demand(s, t)) <= 45, (s, t)
+
+
+def test_mixing_spreads_rows_without_ids_and_keeps_clashing_columns(spark):
+    rng = np.random.default_rng(16)
+    rows = [(None, prose(rng, 8), "a", 1, 2.0, "x") for _ in range(50)] + [(1, "w w", "b", 3, 4.0, "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, _size double, positions string")
+    out = mixing.mix(docs, keep=True)
+    assert out.columns == [*docs.columns, "__size", "source_size", "target", "taken", "position", "_positions"]
+    assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
 @pytest.mark.parametrize("module,label,bad", [(toxicity, "toxic", 1), (quality, "quality", 0)])
 def test_classifiers_on_held_out_rows(spark, module, label, bad):
     rng = np.random.default_rng(6)
