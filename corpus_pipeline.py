@@ -10,21 +10,30 @@ from dotforge.llm.common import scratch, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the network learns from all documents' labels."""
+    """Documents that score as toxic go; the network learns from all documents' labels.
+
+    Null and empty texts are scored as an empty window, texts of any length window by window; equal texts and repeated
+    rows go or stay together; an empty table stays empty; columns of any name pass through.
+    """
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    score = "_toxic_score"
-    while score in {c.lower() for c in docs.columns}:
-        score = f"_{score}"
-    return toxicity.score(docs, model, out_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: that with the smallest id, among rows that tie any one.
+
+    Null texts count as empty and are copies of each other; a null id stays only if its class has no other; texts are
+    compared as a whole; an empty table stays empty; columns of any name pass through.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut from all but their first document; a text that had nothing else goes."""
+    """Repeated passages are cut from all but their first document; a text that had nothing else goes.
+
+    Null, empty and short texts stay as they are, and so do rows that are equal in id and text with respect to each
+    other; n_chars follows a text that was cut; an empty table stays empty; columns of any name pass through.
+    """
     out = substring_dedup.drop_repeats(docs)
     removed = substring_dedup.added_names(docs.columns)[1]
     out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -34,13 +43,22 @@ def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts and items match nothing; texts of any length are searched as a whole; equal texts go or stay
+    together; an empty table on either side leaves docs as they are; columns of any name pass through.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document that is left, in training order."""
-    return mixing.mix(docs)
+    """The documents in training order, with what the mix takes of each and where its takes start.
+
+    A document that the mix does not take stays, last, with taken 0 and no position; null texts have size 0, a null
+    source is a source of its own; repeated rows are separate documents; an empty table stays empty; the added columns
+    give way to columns of the same name.
+    """
+    return mixing.mix(docs, keep=True)
 
 
 STAGES = [
