@@ -313,12 +313,80 @@ def test_language_model_counts_and_probabilities(spark, corpus):
     assert language_model.score(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one():
+def test_tables_are_seated_one_by_one():
     rng = np.random.default_rng(9)
-    count = rng.integers(0, 50, (4, 10))
-    tables = language_model.seat(count.ravel(), np.full(40, 5), np.full(40, 0.1), 0.5, rng).reshape(4, 10)
-    assert ((tables >= (count > 0)) & (tables <= count)).all()
-    assert np.allclose(language_model.predictive(count, tables, np.full(10, 0.1), 0.5).sum(1), 1)
+    for c, other, parent, d, s in ((2, 0, 0.5, 0.3, 1.0), (40, 7, 0.02, 0.8, 2.0), (300, 50, 0.001, 0.5, 0.1), (500, 20, 0.4, 0.9, 0.5)):
+        plain = []
+        for _ in range(2000):
+            t = 1
+            for j in range(1, c):
+                a = (s + d * (other + t)) * parent
+                t += rng.random() < a / (a + j - d * t)
+            plain.append(t)
+        got = language_model.seat(np.full(2000, c), np.full(2000, other), np.full(2000, parent), d, s, rng)
+        assert got.min() >= 1 and got.max() <= c
+        assert abs(got.mean() - np.mean(plain)) < 4 * np.std(plain) / 2000**0.5 * 1.5 + 0.01 * np.mean(plain)
+        print(c, got.mean(), np.mean(plain), got.std(), np.std(plain))
+        assert abs(got.std() - np.std(plain)) < 0.15 * np.std(plain) + 0.02
+    x = np.array([0.05, 0.7, 3.0, 25.5])
+    assert np.allclose(language_model.digamma(x), [(math.lgamma(v + 1e-6) - math.lgamma(v - 1e-6)) / 2e-6 for v in x], atol=1e-4)
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+@pytest.mark.parametrize("split", [False, True])
+def test_probabilities_of_each_context_sum_to_one(bits, split):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    vocabulary = WORDS[:25]
+    train = [" ".join(rng.choice(vocabulary, 30, p=np.arange(25, 0, -1) / 325)) for _ in range(40)]
+    asked = [f"{u} {w}" for u in vocabulary for w in vocabulary] + ["", "unheard", "unheard " + vocabulary[0]] + vocabulary
+    asked += [f"{u} unheard" for u in vocabulary]
+    word = lambda w: language_model.text_tokens(pa.array([w]))[0][0]
+    hot = type("Hot", (), {"value": np.array(sorted([word(vocabulary[0]), language_model.END]), np.uint64) if split else np.zeros(0, np.uint64)})
+    texts = [train, asked]
+    tables = [pa.table({"block": [i] * len(t), "text": t, "held_out": [i == 1] * len(t)}) for i, t in enumerate(texts)]
+    by = lambda t, c, f: pa.concat_tables([f(t.filter(pa.compute.equal(t[c], v))) for v in t[c].unique().to_pylist()])
+    sent = pa.concat_tables([language_model._message(hot, bits)(t) for t in tables])
+    seated = by(sent, "part", language_model._seat(hot, bits))
+    total = sum(len(t.split()) + 1 for t in train)
+    answers = by(seated, "part", language_model._answer(total, bits))
+    b = language_model.Block(pa.chunked_array([asked]), hot.value)
+    p, n = language_model.pair_probabilities(b, answers.filter(pa.compute.equal(answers["block"], 1)))
+    counts = Counter(w for t in train for w in [*t.split(), None])
+    assert {int(w): c for w, c in zip(b.words, n) if c} == {int(word(w)) if w else int(language_model.END): c for w, c in counts.items()}
+    # the unknown word has the same hash in each text; other parts' unknown words share their mass evenly
+    unheard = np.flatnonzero(b.words == word("unheard"))[0]
+    dish = np.zeros(len(p), np.int64)
+    dish[b.pair] = b.word
+    for u in range(len(b.words)):
+        of = b.context_of == u
+        if of.sum() < 27:  # contexts that were asked for all words and the end
+            continue
+        known = p[of & (dish != unheard)].sum()
+        assert 0.9 < known < 1 if bits else abs(p[of].sum() - 1) < 1e-5
+    pairs = Counter(x for t in train for x in zip([None, *t.split()], [*t.split(), None]))
+    hash_of = {int(word(w)): w for w in vocabulary} | {int(language_model.END): None, int(word("unheard")): "unheard"}
+    ml = [pairs[hash_of[int(b.words[u])], hash_of[int(b.words[d])]] / max(1, n[u]) for u, d in zip(b.context_of, dish)]
+    often = n[b.context_of] >= 60
+    assert np.abs(p - ml)[often].max() < 0.1 and np.corrcoef(p[often], np.array(ml)[often])[0, 1] > 0.9
+
+
+def test_model_beats_single_words_on_held_out_texts(spark):
+    rng = np.random.default_rng(12)
+    after = {w: rng.choice(WORDS, 3) for w in WORDS}
+    texts = []
+    for _ in range(400):
+        w = [str(rng.choice(WORDS))]
+        while len(w) < 40:
+            w.append(str(rng.choice(after[w[-1]])))
+        texts.append(" ".join(w))
+    one, many = ({r.doc_id: r for r in language_model.score(frame(spark, texts), block_bytes=b, part_bytes=p).collect()} for b, p in ((1 << 30, 1 << 30), (20_000, 20_000)))
+    for got in (one, many):
+        held = [r for r in got.values() if r.held_out]
+        assert len(held) > 40 and sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)  # 3 followers of 84 words each
+    assert all(one[i].base_score == pytest.approx(many[i].base_score, abs=1e-9) and one[i].n_known == many[i].n_known for i in one)
+    assert max(abs(one[i].score - many[i].score) / abs(one[i].score) for i in one) < 0.05
 
 
 def test_fingerprints_of_neighbours(spark, corpus):
