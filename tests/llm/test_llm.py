@@ -141,6 +141,48 @@ def test_repeats_are_cut_once(spark):
     assert again == {i: r.text for i, r in out.items()}
 
 
+def test_repeats_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    passages = [prose(rng, int(n)) for n in rng.integers(51, 90, 40)]
+    texts = []
+    for i in range(300):
+        parts = [prose(rng, int(rng.integers(5, 60)))]
+        for p in rng.choice(40, int(rng.integers(0, 3)), replace=False):
+            parts += [passages[p], prose(rng, int(rng.integers(5, 60)))]
+        texts.append(" ".join(parts))
+    line = prose(rng, 12)
+    texts += [" ".join([line] * 30), "x " * 40_000, "x " * 40_000]  # a text that repeats itself; two equal ones
+    docs = frame(spark, texts)
+    key = {r.doc_id: (r.key, r.code) for r in docs.select("doc_id", *substring_dedup.text_key("doc_id", "text")).collect()}
+    first, where, want = {}, [], {}
+    for i in sorted(key, key=key.get):  # plain: every piece of every text, in the order of keys
+        raw = texts[i].encode()
+        _, pos, size, _, _ = substring_dedup.pieces(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        words = texts[i].split()
+        gone = np.zeros(len(words), bool)
+        for p, n in zip(pos, size):
+            if first.setdefault(" ".join(words[p : p + n]), i) != i:
+                gone[p : p + n] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+        want[i] = int(sum(b - a for a, b in edges.reshape(-1, 2) if b - a >= substring_dedup.LEAST_WORDS))
+    monkeypatch.setattr(substring_dedup, "FLUSH", 50)
+    for deal in (1, 9):
+        got = {r.doc_id: r._removed for r in substring_dedup.drop_repeats(docs.repartition(deal)).collect()}
+        assert got == want
+    assert want[300] == 0 and {want[301], want[302]} > {0}
+
+
+def test_passages_of_51_words_are_found(spark):
+    rng = np.random.default_rng(32)
+    passages = [prose(rng, 51) for _ in range(600)]
+    texts = [f"{prose(rng, int(rng.integers(1, 30)))} {p} {prose(rng, int(rng.integers(1, 30)))}" for p in passages for _ in range(2)]
+    out = {r.doc_id: r._removed for r in substring_dedup.drop_repeats(frame(spark, texts)).collect()}
+    gone = np.array([max(out[2 * i], out[2 * i + 1]) for i in range(600)])
+    print("missed", (gone == 0).sum(), "words left", (51 - gone[gone > 0]).mean())
+    assert (gone == 0).sum() <= 2 and (51 - gone[gone > 0]).mean() < 12
+    assert all(min(out[2 * i], out[2 * i + 1]) == 0 for i in range(600))
+
+
 def test_cuts_do_not_depend_on_neighbours():
     a = prose(np.random.default_rng(3), 300).encode()
     alone = substring_dedup.pieces(np.frombuffer(a, np.uint8), np.array([0, len(a)]))
