@@ -10,16 +10,19 @@ probability equal to their generalised Jaccard similarity, so the share of equal
 samples estimates it.  A sample is kept as 16 bits; equal texts have equal prints.
 
 Neighbours.  near_edited and near_next need the next document in descending id
-order.  Ids are cut into ranges of about RANGE_ROWS rows; each range goes to one task
-that walks its rows in order, and the first document of a range also travels, as a
-guest, to the range before it (from the first range to the last).  Texts cross one
-shuffle, once.
+order.  Ids, texts' hashes and lengths alone are put in order first, range by range, and
+cut where another RANGE_BYTES of text are reached (more of it if there would be more than
+MOST_RANGES ranges); the first row of each cut is broadcast.  Each of these ranges is a
+partition of its own, whose task walks its rows in order, a batch at a time, and the first
+document of a range also travels, as a guest, to the range before it (from the first range
+to the last).  Texts cross one shuffle, once.
 
 Defined results: null text counts as empty; empty texts have an all-zero print, and
 two of them are alike (1.0); null ids come last in the order; rows with equal ids are
-ordered by text, and rows repeated in full are each other's neighbours; a single row
-is its own next document; empty input gives an empty result; columns other than
-the id and the text are not read.
+ordered by a hash of the text, so many rows of one id, or of none, are spread over ranges;
+rows repeated in full are each other's neighbours, in one range; texts of any length are
+read as a whole; a single row is its own next document; empty input gives an empty
+result; columns other than the id and the text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .common import materialize
 
 SAMPLES = 64
-RANGE_ROWS = 8192
+RANGE_BYTES = 8 << 20
+MOST_RANGES = 50_000
 LAST = -(1 << 63)  # stands for a null id in the order
 _SEEDS = tc.seeds(SAMPLES, 501)[:, None]
 
@@ -145,12 +150,12 @@ def _emit(rows: list, nxt: list, new: list, own: np.ndarray, alter: np.ndarray,
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, guest, k, text) in order: each row that is no guest meets the row after it."""
+    """Rows (range, guest, k, h, text) in order: each row that is no guest meets the row after it."""
     held = []  # the last row, not emitted yet
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            rows = held + list(zip(*(part.column(i).to_pylist() for i in range(4))))
+            rows = held + list(zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 4))))
             ok = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
             after = [rows[i + 1][3] for i in ok]
             new = [edited(rows[i][3], o) for i, o in zip(ok, after)]
@@ -162,44 +167,54 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = rows[-1:]
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
+def heads_of(rows: DataFrame, range_bytes: int, most: int = MOST_RANGES) -> tuple[np.ndarray, np.ndarray]:
+    """(~k, h) of the first row of every range of (k, h, text), in order; at most about `most` ranges."""
+    order = (F.desc("k"), "h")
+    slim = rows.select("k", "h", F.octet_length("text").cast("long").alias("size")).repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = materialize(slim.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+    sums = slim.groupBy("part").agg(F.sum("size").alias("bytes"))
+    total = sums.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    width = max(1, range_bytes, -(-total // most))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    ahead = sums.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    cut = slim.join(F.broadcast(ahead), "part").select("k", "h", "place", "part", F.floor(at / width).alias("range"))
+    heads = cut.groupBy("range").agg(F.min(F.struct("part", "place", "k", "h")).alias("f")).orderBy("range").select("f.k", "f.h").toArrow()
+    k, h = ~heads["k"].to_numpy(), heads["h"].to_numpy()
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])  # a range of rows repeated in full is not cut
+    return k[new], h[new]
+
+
+def range_of(heads: tuple[np.ndarray, np.ndarray], k: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the range that each row (~k, h) falls in, whether it is the first row of it)."""
+    hk, hh = heads
+    lo, hi = np.searchsorted(hk, k), np.searchsorted(hk, k, "right")
+    for i in np.flatnonzero(hi > lo).tolist():  # ranges that start within the same id
+        hi[i] = lo[i] + np.searchsorted(hh[lo[i] : hi[i]], h[i], "right")
+    at = np.maximum(hi - 1, 0)
+    return at, (hk[at] == k) & (hh[at] == h)
+
+
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The fingerprints of every text and of its edited text, and how near they are; see the module's text."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, -(-n // range_rows))
-    steps = [i / ranges for i in range(1, ranges)]
-    # bounds are only guides for even ranges: any list of ids gives the same result
-    bounds = np.unique(np.array(rows.stat.approxQuantile("k", steps, max(1e-4, 0.25 / ranges)) if steps else [], np.float64).astype(np.int64))
-    shared = spark.sparkContext.broadcast(bounds)
-
-    def number(k: np.ndarray) -> np.ndarray:
-        return len(shared.value) - np.searchsorted(shared.value, k)  # 0: the largest ids
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column(0).to_numpy()
-            p = number(k)
-            top = np.full(len(shared.value) + 1, LAST)
-            np.maximum.at(top, p, k)
-            seen = np.unique(p)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(top[seen])], ["range", "top"])
-
-    # one row a range
-    heads = rows.select("k").mapInArrow(count, "range int, top long").groupBy("range").agg(F.max("top").alias("top")).orderBy("range").collect()
-    before = {h.top: heads[i - 1].range for i, h in enumerate(heads)}
-    guests = spark.sparkContext.broadcast(before)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    heads = heads_of(rows, range_bytes)
+    shared, ranges = spark.sparkContext.broadcast(heads), max(1, len(heads[0]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["range", "guest", "k", "h", "text"]
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            names = ["range", "guest", "k", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(number(k).astype(np.int32)), pa.array(np.zeros(len(k), bool)), *batch.columns], names)
-            also = np.flatnonzero(np.isin(k, list(guests.value)))
+            at, is_head = range_of(shared.value, ~batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), bool)), *batch.columns], names)
+            also = np.flatnonzero(is_head)
             if len(also):
                 part = batch.take(pa.array(also))
-                yield pa.RecordBatch.from_arrays([pa.array([guests.value[x] for x in k[also].tolist()], pa.int32()), pa.array(np.ones(len(also), bool)), *part.columns], names)
+                yield pa.RecordBatch.from_arrays([pa.array(((at[also] - 1) % ranges).astype(np.int32)), pa.array(np.ones(len(also), bool)), *part.columns], names)
 
-    dealt = rows.mapInArrow(deal, "range int, guest boolean, k long, text string")
-    dealt = dealt.repartition(max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))), "range").sortWithinPartitions("range", "guest", F.desc("k"), "text")
+    dealt = rows.mapInArrow(deal, "range int, guest boolean, k long, h long, text string")
+    dealt = dealt.repartitionById(ranges, "range").sortWithinPartitions("range", "guest", F.desc("k"), "h", "text")
     return dealt.mapInArrow(_walk, _OUT)

@@ -434,8 +434,9 @@ def test_model_beats_single_words_on_held_out_texts(spark):
 
 def test_fingerprints_of_neighbours(spark, corpus):
     docs = frame(spark, corpus)
-    rows = {r.doc_id: r for r in fingerprint.neighbours(docs, range_rows=7).collect()}
-    assert len(rows) == len(corpus)
+    rows = {r.doc_id: r for r in fingerprint.neighbours(docs, range_bytes=3000).collect()}
+    whole = {r.doc_id: r for r in fingerprint.neighbours(docs).collect()}
+    assert len(rows) == len(corpus) and rows == whole
     plain = {r.doc_id: r.fingerprint for r in fingerprint.fingerprint(docs).collect()}
     for i, t in enumerate(corpus):
         t, nxt = t or "", corpus[(i - 1) % len(corpus)] or ""
@@ -446,9 +447,30 @@ def test_fingerprints_of_neighbours(spark, corpus):
     assert plain[1] == plain[46] and plain[48] == plain[49]
     odd = frame(spark, ["a b", "a b", "c"], [None, 3, 3])
     assert fingerprint.neighbours(odd).count() == 3
+    many = frame(spark, corpus, [None] * len(corpus))  # one id holds all rows: still cut into ranges, and all the same rows
+    got, want = (sorted(map(str, fingerprint.neighbours(many, range_bytes=b).collect())) for b in (2000, 1 << 30))
+    assert got == want and len(got) == len(corpus)
+    head = fingerprint.heads_of(many.select(F.lit(0).cast("long").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text")), 2000)
+    assert len(head[0]) > 5
     assert fingerprint.neighbours(docs.limit(0)).count() == 0
 
 
+def test_likeness_of_neighbours_follows_weighted_jaccard(spark, corpus):
+    docs = frame(spark, corpus)
+    rows = {r.doc_id: r for r in fingerprint.neighbours(docs).collect()}
+    gaps = []
+    for i, t in enumerate(corpus):
+        t, nxt = t or "", corpus[(i - 1) % len(corpus)] or ""
+        m = len(t) // 3
+        for got, other in ((rows[i].near_next, nxt), (rows[i].near_edited, t[: len(t) - m] + nxt[:m])):
+            a, b = (Counter(x.lower().split()) for x in (t, other))
+            weigh = lambda w, n: n * len(w.encode()) ** 2
+            top = sum(max(weigh(w, a[w]), weigh(w, b[w])) for w in a | b)
+            want = sum(min(weigh(w, a[w]), weigh(w, b[w])) for w in a & b) / top if top else 1.0
+            gaps.append(got - want)
+    assert abs(np.mean(gaps)) < 0.03 and np.max(np.abs(gaps)) < 0.3
+
+
 def test_fingerprint_collisions_follow_weighted_jaccard():
     import pyarrow as pa
 
