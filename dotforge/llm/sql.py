@@ -46,7 +46,7 @@ b AS (SELECT doc_id AS page_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality,
 r AS (SELECT row_number() OVER () AS id, url, bad FROM pages JOIN b USING (page_id)),
 n AS (SELECT count(*) AS n FROM r),
 f AS (SELECT token, count(*) AS c FROM r JOIN t USING (url) GROUP BY 1 HAVING count(*) >= (SELECT greatest(n * 0.005, 5) FROM n)),
-k AS (SELECT * FROM (SELECT id, bad, token, row_number() OVER (PARTITION BY id ORDER BY c, token) AS nth FROM r JOIN t USING (url) JOIN f USING (token)) WHERE nth <= 12),
+k AS (SELECT id, bad, token FROM r JOIN t USING (url) JOIN f USING (token)),
 i AS (SELECT [token] AS tokens, bad FROM k UNION ALL
       SELECT [a.token, b.token], a.bad FROM k a JOIN k b ON a.id = b.id AND a.token < b.token UNION ALL
       SELECT [a.token, b.token, c.token], a.bad FROM k a JOIN k b ON a.id = b.id AND a.token < b.token JOIN k c ON b.id = c.id AND b.token < c.token),

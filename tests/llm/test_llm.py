@@ -555,6 +555,33 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(pages, labels.limit(0)).count() == len(urls)
 
 
+def test_rules_of_urls_with_many_tokens_equal_brute_force(spark):
+    rng = np.random.default_rng(41)
+    rows, bad = [], []
+    for i in range(150):
+        segments = sorted(rng.choice(26, int(rng.integers(10, 24)), replace=False))  # up to 23 tokens of a path
+        rows.append((i, "http://h.org/" + "/".join("abcdefghijklmnopqrstuvwxyz"[j] * 2 for j in segments)))
+        bad.append((i, 1, int({3, 11, 24} <= set(segments) or rng.random() < 0.02)))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame(bad, "doc_id long, quality int, toxic int")
+    sets = [{t[2:] for t in r.t} for r in url_filter.labelled(pages, labels, 0.05)[0].orderBy("row").collect()]
+    assert max(map(len, sets)) > 3 * url_filter.GROUP
+    rules = {tuple(sorted(r.tokens)): (r.freq, r.hits) for r in url_filter.mine(pages, labels, 0.05, 0.6).collect()}
+    held = url_filter.labelled(pages, labels, 0.05)[0].collect()
+    want = {}
+    vocabulary = sorted({t for r in held for t in r.t})
+    has = {t: np.array([t in r.t for r in held]) for t in vocabulary}
+    y = np.array([r.bad for r in held])
+    least = max(url_filter.LEAST_HITS, math.ceil(0.05 * len(held)))
+    for k in (1, 2, 3):
+        for c in combinations(vocabulary, k):
+            on = np.logical_and.reduce([has[t] for t in c])
+            hits = int(y[on].sum())
+            if hits >= least and hits / on.sum() >= 0.6 and not any(set(w) < set(c) and h / f >= hits / on.sum() for w, (f, h) in want.items()):
+                want[c] = (int(on.sum()), hits)
+    assert want and rules == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     d = "/root/testdata/sf0.001"
