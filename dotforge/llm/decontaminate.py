@@ -16,14 +16,17 @@ Before embedding, windows that cannot match are skipped without loss: k edits br
 at most 3k of the n - 2 three-word runs, and a shift of k words loses k more, so a
 window with fewer than n - 2 - 4k runs known from any item is out.
 
-Scale.  Items go out in blocks of bounded size (BLOCK_WORDS), each block against
+Scale.  Items, a stated query set, go out in blocks of bounded size (BLOCK_WORDS), each block against
 all rows; texts are never shuffled, and a row needs only itself, so hot sources or
 copies make no hot task.
 
 Defined results: null or blank texts match nothing; items without words match
 nothing; items of up to six words match exactly only; repeated rows and repeated
-items each give their own rows; a null id is reported as null; extra columns of
-docs pass through drop_contaminated untouched.
+items each give their own rows; of places where an item is equally near the first is
+given; texts and items of any length are read as a whole; a null id is reported as null;
+ids of items keep their numbers, and are strings if the table has no numbers; an empty
+table on either side matches nothing; extra columns of docs, whatever their names, are
+not read, and pass through drop_contaminated untouched.
 """
 
 from __future__ import annotations
@@ -35,17 +38,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import textcore as tc
 
 EDITS = 0.15
 RECALL = 0.95
-KEPT = 0.25  # share of embedded positions that survive at the edit bound
+KEPT = 0.25  # share of embedded positions that survive at the edit bound in items of up to KEPT_WORDS words
+KEPT_WORDS = 250  # beyond, walks drift apart as random walks do, and the share falls with the root of the length
 SAMPLED = 2
 BLOCK_WORDS = 1_000_000
 
 
-def repetitions(recall: float = RECALL, kept: float = KEPT, sampled: int = SAMPLED) -> int:
+def repetitions(words: int, recall: float = RECALL, sampled: int = SAMPLED) -> int:
+    """Walks that find a match of an item of so many words with probability `recall`."""
+    kept = KEPT * min(1.0, math.sqrt(KEPT_WORDS / words))
     return math.ceil(math.log(1 - recall) / math.log(1 - kept**sampled))
 
 
@@ -96,7 +103,6 @@ class Items:
     """A block of benchmark items, indexed by length and LSH key."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.reps = repetitions()
         data, off = tc.utf8(pa.array(texts, pa.string()))
         h, first = tc.words(data, off)
         self.words = [h[first[i] : first[i + 1]] for i in range(len(texts))]
@@ -108,7 +114,7 @@ class Items:
         self.lengths = {}
         self.known = {}
         for n, members in sorted(by.items()):
-            keys = walk_keys(np.stack([self.words[i] for i in members]), self.reps)
+            keys = walk_keys(np.stack([self.words[i] for i in members]), repetitions(n))
             order = np.argsort(keys, axis=0, kind="stable")
             self.lengths[n] = (np.array(members), np.take_along_axis(keys, order, 0), order)
         self.runs = {n: np.unique(np.concatenate([tc.grams(self.words[i], min(3, n)) for i in members])) for n, members in by.items()}
@@ -165,8 +171,8 @@ class Items:
                 part, tx = s[lo : lo + 8192], text[lo : lo + 8192]
                 x = padded[part[:, None] + np.arange(n)]
                 x = np.where(part[:, None] + np.arange(n) < first[tx + 1][:, None], x, np.uint64(0))
-                mine = walk_keys(x, self.reps)
-                for r in range(self.reps):
+                mine = walk_keys(x, keys.shape[1])
+                for r in range(keys.shape[1]):
                     col = keys[:, r]
                     left = np.searchsorted(col, mine[:, r])
                     right = np.searchsorted(col, mine[:, r], "right")
@@ -203,7 +209,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield Items(ids, texts)
 
 
-def _find(shared):
+def _find(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items.of(shared.value)
         for batch in batches:
@@ -215,7 +221,7 @@ def _find(shared):
                     dist.append(d)
                     end.append(e)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([items.ids[i] for i in which], pa.int64()), pa.array([len(items.words[i]) for i in which], pa.int64()), pa.array(dist, pa.int64()), pa.array(end, pa.int64())],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([items.ids[i] for i in which], kind), pa.array([len(items.words[i]) for i in which], pa.int64()), pa.array(dist, pa.int64()), pa.array(end, pa.int64())],
                 ["doc_id", "item_id", "item_words", "distance", "end_word"],
             )
 
@@ -226,10 +232,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, item_words, distance, end_word): every text and item that match, at the best place."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, item_words long, distance long, end_word long"
+    number = isinstance(items.schema["item_id"].dataType, IntegralType)
+    items = items.select(F.col("item_id").cast("long" if number else "string").alias("item_id"), "text")
+    schema = f"doc_id long, item_id {'long' if number else 'string'}, item_words long, distance long, end_word long"
     out = spark.createDataFrame([], schema)
     for block in item_blocks(items):
-        out = out.union(slim.mapInArrow(_find(spark.sparkContext.broadcast(vars(block))), schema))
+        found = _find(spark.sparkContext.broadcast(vars(block)), pa.int64() if number else pa.string())
+        out = out.union(slim.mapInArrow(found, schema))
     return out
 
 

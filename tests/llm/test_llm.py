@@ -227,6 +227,30 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in got} and len(clean.columns) == 7
 
 
+@pytest.mark.parametrize("n", [40, 120, 400, 900])
+def test_walks_find_matches_at_the_edit_bound(n):
+    rng = np.random.default_rng(n)
+    texts, items = [], [" ".join(f"w{v}" for v in rng.integers(0, 10**9, n)) for _ in range(40)]
+    for item in items:
+        w = item.split()
+        for e in range(decontaminate.bound(n)):
+            at = int(rng.integers(len(w)))
+            w[at : at + 1] = [["new"], [], [w[at], "more"]][e % 3]
+        texts.append(" ".join(["before"] * 20 + w + ["after"] * 20))
+    import pyarrow as pa
+
+    index = decontaminate.Items([f"id{i}" for i in range(40)], items)
+    found = index.search(*decontaminate.tc.words(*decontaminate.tc.utf8(pa.array(texts))))
+    assert {(t, i) for t, i, *_ in found} <= {(i, i) for i in range(40)}
+    assert len(found) >= decontaminate.RECALL * 40
+
+
+def test_items_may_have_names(spark):
+    docs = frame(spark, ["a b c d e f g h", "x y z"])
+    bench = spark.createDataFrame([("first", "b c d e f g"), (None, "x y z")], "item_id string, text string")
+    assert {tuple(r)[:2] for r in decontaminate.contaminated(docs, bench).collect()} == {(0, "first"), (1, None)}
+
+
 def test_mixing_equals_sql_and_targets(spark):
     rng = np.random.default_rng(5)
     texts = [prose(rng, int(n)) for n in rng.integers(1, 60, 300)] + [None, ""]
