@@ -423,8 +423,7 @@ def test_probabilities_of_each_context_sum_to_one(bits, split):
     assert {int(w): c for w, c in zip(b.words, n) if c} == {int(word(w)) if w else int(language_model.END): c for w, c in counts.items()}
     # the unknown word has the same hash in each text; other parts' unknown words share their mass evenly
     unheard = np.flatnonzero(b.words == word("unheard"))[0]
-    dish = np.zeros(len(p), np.int64)
-    dish[b.pair] = b.word
+    dish = b.dish_of
     for u in range(len(b.words)):
         of = b.context_of == u
         if of.sum() < 27:  # contexts that were asked for all words and the end
