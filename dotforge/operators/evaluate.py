@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,16 @@ def relative_error_estimate(found: DataFrame, bounds: DataFrame) -> DataFrame:
     return low.agg(F.avg(F.greatest(F.lit(0.0), F.try_divide(F.col("bound") - F.col("low"), F.abs("bound")))).alias("error"))
 
 
+def hybrid_error_estimate(found: DataFrame, k: int, next_length: Column, recall: float) -> DataFrame:
+    """(error): mean over queries and ranks of what a hybrid top-k may miss; next_length: the bound of what was not looked at.
+
+    A score that reaches the bound can only be missing by the recall; one below it may fall short by as much as it is below.
+    """
+    short = F.when(F.col("score") >= next_length, F.lit(1 - recall)).otherwise(1 - F.try_divide("score", next_length))
+    per = found.groupBy("query_id").agg((F.sum(short) / k).alias("e"))
+    return per.agg(F.avg("e").alias("error"))
+
+
 def comparisons(candidates: DataFrame) -> DataFrame:
     """(comparisons): candidate pairs that a method verifies."""
     return candidates.agg(F.count(F.lit(1)).alias("comparisons"))

@@ -5,9 +5,13 @@ score) with score >= theta; row_top_k returns (query_id, probe_id, score, rank),
 best probes of each query, ties by the smaller probe id, and min(k, n) rows if there
 are fewer probes.  Every method turns into the same plan: probes are cut into norm
 buckets, a small table of bucket bounds pairs each query with the buckets that can
-still reach its bound, an equi-join on the bucket brings the probes, the method's
-filter thins the candidates, and one shared verification decides.  Exact methods
-therefore return the same rows, whatever they prune.
+still reach its bound, an equi-join brings the probes, the method's filter thins the
+candidates, and one shared verification decides.  Exact methods therefore return the
+same rows, whatever they prune.
+
+The equi-join is on the bucket, a chunk of at most about BLOCK of its probes and a part of
+at most about BLOCK queries, so no task meets more, also where all vectors have one length
+and lie in one bucket.
 
 The bound is theta, or in top-k the k-th best score against the probes of
 greatest length (a set of fixed size, so it may be broadcast).
@@ -27,6 +31,7 @@ SLACK = 1 + 1e-12
 EPS = 1e-9
 BUCKET_FACTOR = 0.9
 SEEDS = 10  # top-k bounds come from SEEDS * k longest probes
+BLOCK = 4096
 FOCUS = 3  # coordinates that coordinate methods look at
 CUT = 0.5  # mixed methods use the coordinate filter from this local threshold on
 EXACT = ("naive", "length", "bucketed", "coord", "incr", "lc", "li", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "tree", "ap", "dense")
@@ -66,6 +71,28 @@ def pair_buckets(q: DataFrame, stats: DataFrame) -> DataFrame:
     return out.withColumn("local", F.when(span > 0, F.col("bound") / span).otherwise(F.lit(0.0)))
 
 
+def in_blocks(q: DataFrame, p: DataFrame, stats: DataFrame, queries: int) -> DataFrame:
+    """Rows of q (with bucket) joined with the probes of their bucket, block by block; queries: about how many there are."""
+    parts = math.ceil(max(1, queries) / BLOCK)
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("probes") / BLOCK)).cast("int")
+    sized = F.broadcast(stats.select("bucket", chunks.alias("chunks")))  # one row a bucket
+    left = q.join(sized, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    right = p.join(sized, "bucket").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int")).drop("chunks")
+    keys = ["bucket", "chunk"]
+    if parts > 1:
+        left = left.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        keys.append("part")
+    return left.join(right, keys).drop("chunk", "part")
+
+
+def all_pairs(q: DataFrame, p: DataFrame) -> DataFrame:
+    """Every query with every probe, block by block."""
+    one = lambda d: d.withColumn("bucket", F.lit(0))
+    stats = one(p).groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"))
+    return in_blocks(one(q), one(p), stats, q.count()).select(*q.columns, *p.columns)
+
+
 def feasible(qi: Column, t: Column) -> tuple[Column, Column]:
     """Where a coordinate of a unit probe must lie if its cosine with the query is t or more (0 < t <= 1)."""
     half = F.sqrt(F.greatest((1 - t * t) * (1 - qi * qi), F.lit(0.0)))
@@ -99,15 +126,18 @@ def residual_filter() -> Column:
     return (F.col("bound") <= 0) | (gap <= 0) | (rest * size * size >= gap * gap)
 
 
-def tree_candidates(q: DataFrame, p: DataFrame, clusters: int = 64) -> DataFrame:
-    """Ball partition: clusters around hash-picked probes; a ball is visited if its bound reaches the query's."""
+def tree_candidates(q: DataFrame, p: DataFrame, most: int = 4096) -> DataFrame:
+    """Ball partition: clusters around hash-picked probes, as many as the root of the probes and `most` at most; a ball is visited if its bound reaches the query's."""
+    clusters = max(16, min(most, math.isqrt(p.count())))
     centres = p.orderBy(F.xxhash64("pid"), "pid").limit(clusters).select(F.col("pid").alias("cid"), F.col("pv").alias("cv"))
     near = F.min(F.struct(V.l2_squared("pv", "cv").alias("d"), "cid"))
+    # `most` centres at most are met by each probe, and by each query
     member = p.crossJoin(F.broadcast(centres)).groupBy("pid").agg(near.alias("m")).select("pid", F.col("m.cid").alias("cid"), F.sqrt("m.d").alias("far"))
-    balls = member.groupBy("cid").agg(F.max("far").alias("radius")).join(centres, "cid")
+    balls = member.groupBy("cid").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("probes")).join(centres, "cid")
     reach = V.ip("qv", "cv") + F.col("qn") * F.col("radius")
-    visits = q.join(F.broadcast(balls), reach + EPS * (1 + F.abs(reach)) >= F.col("bound")).drop("cv", "radius")
-    return visits.join(member.select("pid", "cid").join(p, "pid"), "cid")
+    visits = q.join(F.broadcast(balls), reach + EPS * (1 + F.abs(reach)) >= F.col("bound")).drop("cv", "radius", "probes")
+    held = member.select("pid", F.col("cid").alias("bucket")).join(p, "pid")
+    return in_blocks(visits.withColumnRenamed("cid", "bucket"), held, balls.select(F.col("cid").alias("bucket"), "probes"), q.count())
 
 
 def prefix_candidates(q: DataFrame, p: DataFrame) -> DataFrame:
@@ -128,7 +158,7 @@ def prefix_candidates(q: DataFrame, p: DataFrame) -> DataFrame:
     met = met.groupBy("qid", "pid").agg(F.sum(F.col("qval") * F.col("pval")).alias("part"), F.first("qn").alias("n"), F.first("bound").alias("b"))
     kept = met.join(rest, "pid").where(F.col("part") + F.col("n") * F.col("rest") + EPS * (1 + F.abs("b")) >= F.col("b")).select("qid", "pid")
     # pairs without a common indexed coordinate have ip <= what the head gives; for bounds <= 0 they may qualify
-    free = q.where("bound <= 0").crossJoin(p)
+    free = all_pairs(q.where("bound <= 0"), p)
     out = kept.join(q, "qid").join(p, "pid")
     return out.where("bound > 0").select(*q.columns, *p.columns).union(free.select(*q.columns, *p.columns))
 
@@ -136,7 +166,7 @@ def prefix_candidates(q: DataFrame, p: DataFrame) -> DataFrame:
 def candidates(q: DataFrame, p: DataFrame, method: str, recall: float = 0.97) -> DataFrame:
     """Joined (q.*, p.*) rows that the method cannot rule out."""
     if method == "naive":
-        return q.crossJoin(p)
+        return all_pairs(q, p)
     if method == "tree":
         return tree_candidates(q, p)
     if method == "ap":
@@ -147,7 +177,7 @@ def candidates(q: DataFrame, p: DataFrame, method: str, recall: float = 0.97) ->
         return lsh.candidates(active, p, recall, bayes=method == "blsh")
     if method not in ("length", "bucketed"):
         active = active.withColumn("top", V.top_coords("qu", FOCUS))  # once a query, before the join
-    joined = active.join(p, "bucket")
+    joined = in_blocks(active.drop("probes"), p, stats, q.count())
     joined = joined.where(F.col("qn") * F.col("pn") * SLACK >= F.col("bound"))
     if method in ("length", "bucketed"):
         return joined
@@ -163,7 +193,7 @@ def _kernel(method: str) -> bool:
     return method in ("dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max")
 
 
-def above_theta(queries: DataFrame, probes: DataFrame, theta: float, method: str = "li", recall: float = 0.97, check: bool = False) -> DataFrame:
+def above_theta(queries: DataFrame, probes: DataFrame, theta: float, method: str = "dense", recall: float = 0.97, check: bool = False) -> DataFrame:
     """(query_id, probe_id, score) of every pair with inner product theta or more."""
     if check:
         check_dims(queries, probes)
@@ -201,7 +231,7 @@ def relax(bound: Column, qn: Column, approx: str | None, epsilon: float) -> Colu
 
 
 def row_top_k(
-    queries: DataFrame, probes: DataFrame, k: int, method: str = "li", score: str = "ip", recall: float = 0.97,
+    queries: DataFrame, probes: DataFrame, k: int, method: str = "dense", score: str = "ip", recall: float = 0.97,
     approx: str | None = None, epsilon: float = 0.0, depth: int = 5, check: bool = False,
 ) -> DataFrame:
     """(query_id, probe_id, score, rank) of the k best probes of each query.

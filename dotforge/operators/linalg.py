@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +28,47 @@ def center(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).select("id", F.zip_with("vec", "m", lambda x, m: x - m).alias("vec"))
 
 
+def _gram(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(i, j, n, sx, sy, sxy): sums of both vectors' coordinates and of their products, one matrix a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns)
+                part = np.hstack([np.ones((len(a), 1)), a]).T @ np.hstack([np.ones((len(b), 1)), b])
+                total = part if total is None else total + part
+        if total is not None:
+            i, j = np.indices(total[1:, 1:].shape)
+            cols = [i.ravel().astype(np.int32), j.ravel().astype(np.int32), np.full(i.size, total[0, 0]), total[1:, 0][i].ravel(), total[0, 1:][j].ravel(), total[1:, 1:].ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "n", "sx", "sy", "sxy"])
+
+    sums = df.select(F.col(x).cast("array<double>"), F.col(y).cast("array<double>").alias("other")).mapInArrow(run, "i int, j int, n double, sx double, sy double, sxy double")
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+
+
+def _cov(sums: DataFrame, sample: bool) -> DataFrame:
+    return sums.select("i", "j", F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - int(sample)).alias("cov"))
+
+
 def covariance(df: DataFrame, sample: bool = True) -> DataFrame:
-    """(i, j, cov) of coordinates i <= j."""
-    e = entries(df)
-    a, b = e.select("id", F.col("coord").alias("i"), F.col("val").alias("x")), e.select("id", F.col("coord").alias("j"), F.col("val").alias("y"))
-    how = F.covar_samp if sample else F.covar_pop
-    return a.join(b, "id").where("i <= j").groupBy("i", "j").agg(how("x", "y").alias("cov"))
+    """(i, j, cov) of coordinates i <= j, from one matrix of products a task."""
+    return _cov(_gram(df, "vec", "vec").where("i <= j"), sample)
 
 
 def cross_covariance(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, cov) between the coordinates of two tables of vectors with common ids."""
-    x, y = entries(a).select("id", F.col("coord").alias("i"), F.col("val").alias("x")), entries(b).select("id", F.col("coord").alias("j"), F.col("val").alias("y"))
-    return x.join(y, "id").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
+    return _cov(_gram(a.join(b.select("id", F.col("vec").alias("other")), "id"), "vec", "other"), True)
+
+
+def power(df: DataFrame, exponent: float) -> DataFrame:
+    """Vectors with every coordinate raised to a power, its sign kept."""
+    return df.select("id", F.transform("vec", lambda x: F.signum(x) * F.power(F.abs(x), F.lit(float(exponent)))).alias("vec"))
+
+
+def coordinate_maxima(df: DataFrame) -> DataFrame:
+    """(coord, top): the greatest absolute value of each coordinate."""
+    return entries(df).groupBy("coord").agg(F.max(F.abs("val")).alias("top"))
 
 
 def whiten(df: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ A missing triple is a zero.  `axis` names the side that an operator groups by: "
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import numbered
+
 POWERS = {"sqrt": 0.5, "pow25": 0.25, "pow65": 0.65, "pow75": 0.75, "pow85": 0.85}
 
 
@@ -58,12 +58,15 @@ def prune(m: DataFrame, axis: str, least: int, most: int) -> DataFrame:
 
 
 def low_filter(m: DataFrame, axis: str, norm: int, fraction: float) -> DataFrame:
-    """The largest entries of each row (column) up to a fraction of its L1 or L2 mass; the entry that crosses stays."""
-    weight = F.abs("val") if norm == 1 else F.col("val") * F.col("val")
+    """The largest entries of each row (column) until their sum (norm 1) or sum of squares passes a fraction of the whole; the entry that crosses stays."""
+    weight = F.col("val") if norm == 1 else F.col("val") * F.col("val")
     w = Window.partitionBy(axis)
-    before = w.orderBy(F.desc("val"), _other(axis)).rowsBetween(Window.unboundedPreceding, -1)
-    out = m.withColumn("w", weight).withColumn("ahead", F.coalesce(F.sum("w").over(before), F.lit(0.0))).withColumn("all", F.sum("w").over(w))
-    return out.where(F.col("ahead") <= fraction * F.col("all")).select("row", "col", "val")
+    order = w.orderBy(F.desc("val"), _other(axis))
+    ahead = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = m.withColumn("w", weight).withColumn("ahead", ahead).withColumn("all", F.sum("w").over(w))
+    # with negative entries a sum may fall again: nothing stays after the first that crosses
+    out = out.withColumn("most", F.max("ahead").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.where(F.col("most") <= fraction * F.col("all")).select("row", "col", "val")
 
 
 def top_k_plus(m: DataFrame, axis: str, k: int, least: float) -> DataFrame:
@@ -79,17 +82,23 @@ def z_score(m: DataFrame, z: float) -> DataFrame:
 
 
 def compact_cols(m: DataFrame) -> DataFrame:
-    """Columns renumbered by decreasing frequency (ties by column); the numbering orders one row per column."""
+    """Columns renumbered by decreasing frequency (ties by column)."""
     n = m.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
-    new = n.select("col", (F.row_number().over(Window.orderBy(F.desc("n"), "col")) - 1).cast("int").alias("new"))
+    new = numbered(n, F.desc("n"), "col", name="new").select("col", F.col("new").cast("int").alias("new"))
     return m.join(new, "col").select("row", F.col("new").alias("col"), "val")
 
 
 def compact_rows(m: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Rows renumbered from 0 in order; by default those with entries."""
-    ids = (m if rows is None else rows).select("row").distinct()
-    new = ids.select("row", (F.row_number().over(Window.orderBy("row")) - 1).cast("long").alias("new"))
-    return m.join(new, "row").select(F.col("new").alias("row"), "col", "val")
+    new = numbered((m if rows is None else rows).select("row").distinct(), "row", name="new")
+    return m.join(new, "row").select(F.col("new").cast("long").alias("row"), "col", "val")
+
+
+def reorder_rows(m: DataFrame) -> DataFrame:
+    """Rows renumbered by decreasing greatest weight (ties by row)."""
+    top = m.groupBy("row").agg(F.max(F.abs("val")).alias("top"))
+    new = numbered(top, F.desc("top"), "row", name="new").select("row", "new")
+    return m.join(new, "row").select(F.col("new").cast("long").alias("row"), "col", "val")
 
 
 def sort_indices(m: DataFrame, axis: str = "row") -> DataFrame:
@@ -181,4 +190,5 @@ def kv_top(m: DataFrame, k: int, ascending: bool = False) -> DataFrame:
 
 
 def volume(m: DataFrame) -> float:
-    return math.fsum(r[0] for r in m.groupBy("row").agg(F.sum("val")).select("sum(val)").toLocalIterator())
+    """The sum of all entries."""
+    return m.agg(F.coalesce(F.sum("val"), F.lit(0.0))).first()[0]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import numbered
+
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(n, value): lines with their position, files in the order of their names.
@@ -107,6 +109,42 @@ def read_csr(spark: SparkSession, path: str, numbering: int = 0, header: bool |
     return out.select("row", (F.col("p.c").cast("int") - base).cast("int").alias("col"), F.col("p.v").cast("double").alias("val"))
 
 
+def write_smat(m: DataFrame, path: str) -> None:
+    """Lines "row, column, value" (1-based, tabs) ordered by column and row, and a last one of value 0 at the far corner if no entry is there."""
+    size = m.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    line = F.format_string("%d\t%d\t%.17g", F.col("row") + 1, F.col("col") + 1, F.col("val"))
+    out = m.orderBy("col", "row").select(line.alias("value"))
+    if size.r is not None and m.where((F.col("row") == size.r) & (F.col("col") == size.c)).isEmpty():
+        out = out.union(m.sparkSession.createDataFrame([(f"{size.r + 1}\t{size.c + 1}\t0",)], "value string").coalesce(1))
+    out.write.text(path)
+
+
+def read_smat(spark: SparkSession, path: str) -> DataFrame:
+    return read_ijv(spark, path, 1).where(F.col("val") != 0)
+
+
+def read_metis(spark: SparkSession, path: str) -> DataFrame:
+    """A graph file as triples: line i lists the (1-based) neighbours of vertex i, after the header "vertices edges [format [weights]]".
+
+    The format's digits say whether a line holds the vertex's size, its weights, and a value after each neighbour;
+    without values entries are 1.  Lines that start with % are comments.
+    """
+    lines = _numbered(spark, path).where(~F.col("value").startswith("%"))
+    first = lines.orderBy("n").first()
+    head = first.value.split()
+    kind = (head[2] if len(head) > 2 else "0").zfill(3)
+    weights = int(head[3]) if len(head) > 3 else 1
+    lead = (kind[0] == "1") + (weights if kind[1] == "1" else 0)
+    step = 2 if kind[2] == "1" else 1
+    rows = numbered(lines.where(F.col("n") > first.n), "n", name="row")
+    parts = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    rows = rows.select("row", F.slice(parts, lead + 1, F.greatest(F.size(parts) - lead, F.lit(0))).alias("p"))
+    count = (F.size("p") / step).cast("int")
+    val = (lambda i: F.get("p", i * 2 + 1).cast("double")) if step == 2 else (lambda i: F.lit(1.0))
+    pairs = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((F.get("p", i * step).cast("int") - 1).alias("col"), val(i).alias("val")))
+    return rows.where(count > 0).select("row", F.explode(pairs).alias("x")).select("row", "x.col", "x.val")
+
+
 def is_cluto(spark: SparkSession, path: str) -> bool:
     """Whether the first line is a header of three numbers (rows of pairs have an even count)."""
     first = _numbered(spark, path).orderBy("n").first()

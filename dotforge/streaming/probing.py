@@ -12,10 +12,18 @@ from ..operators import joins
 
 
 def stream_above_theta(queries: DataFrame, probes: DataFrame, theta: float) -> DataFrame:
-    """Streaming (query_id, probe_id, score): a stateless stream-static join, pruned by the length bound."""
-    p = joins.prepare(probes, "p")
+    """Streaming (query_id, probe_id, score): a stateless stream-static equi-join on norm buckets and chunks of them.
+
+    Each micro-batch meets the buckets that the length bound leaves, chunk by chunk, so the
+    probes are shuffled, not broadcast; only the bounds of the buckets, one row each, are.
+    """
+    p, stats = joins.with_buckets(joins.prepare(probes, "p"))
+    stats = stats.withColumn("chunks", F.ceil(F.col("probes") / joins.BLOCK).cast("int")).select("bucket", "longest", "chunks")
+    p = p.join(F.broadcast(stats.select("bucket", "chunks")), "bucket").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int")).drop("chunks")
     q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("qv")).withColumn("qn", V.norm("qv"))
-    met = q.join(p, F.col("qn") * F.col("pn") * joins.SLACK >= theta)
+    met = q.join(F.broadcast(stats), F.col("qn") * F.col("longest") * joins.SLACK >= theta)
+    met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(p, ["bucket", "chunk"])
+    met = met.where(F.col("qn") * F.col("pn") * joins.SLACK >= theta)
     return met.select("query_id", F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score")).where(F.col("score") >= theta)
 
 
