@@ -6,16 +6,18 @@ classes, word and line figures) and metadata (length in code points).  The machi
 adds to a linear score all pairwise interactions through low-rank factors, computed
 in linear time as half of (sum of v x)^2 - sum of (v x)^2.
 
-Training (numpy, on the driver) sees a bounded sample of labelled texts (MOST_TEXTS,
-whole texts).  Labels, language, source and ids are never inputs.  The weights have a
+Training (numpy, on the driver) sees a bounded sample of labelled texts (MOST_TEXTS
+texts of at most learn.LONGEST bytes).  Labels, language, source and ids are never inputs.  The weights have a
 fixed size (about 2.5 MB) and are broadcast.
 
 Scale.  Scoring maps batches independently; it never shuffles a text.
 
 Defined results: null text counts as empty, and an empty text is scored by its (zero)
 statistics; without labels of both kinds the score is the share of good training
-labels (0.0 without labels); repeated rows are scored alike; extra columns pass
-through score().
+labels (0.0 without labels); texts of any length are scored as a whole; equal texts score
+alike, and of several labels of one id the largest counts; an empty table gives an empty
+result; extra columns pass through score(), whose column takes one more leading underscore
+as long as the input has a column of its name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import crc_mod
+from .common import crc_mod, fresh_name
 from .learn import Adam, labelled_sample, sigmoid
 
 MOST_TEXTS = 6000
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> dict:
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs plus out_col, the quality of each whole text (0 to 1)."""
+    """docs plus the quality of each whole text (0 to 1), as fresh_name(out_col)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -148,7 +150,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
     out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
     out = out.mapInArrow(scan, f"{schema}, s double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("s").alias(out_col))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("s").alias(fresh_name(out_col, names)))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dotforge.llm import decontaminate, fingerprint, language_model, mixing, nea
 
 CLASHES = (
     "key tid id class_id class_size own_min kept block word n size source_size target taken position passes ord bucket score predicted "
-    "held_out toxic label spans pos _words _removed _toxic_score c0 c1 row s b rows u v star centre fingerprint payload digest chunk"
+    "held_out toxic label spans pos positions _size near_key near_tid near_class near_dup _near_tid _near_class _near_root mix_size hot copies lead maybe high low code spot part range guest k h _words _removed _toxic_score c0 c1 row s b rows u v star centre fingerprint payload digest chunk"
 ).split()
 TEXT = " ".join(f"w{i}" for i in range(90))
 
@@ -41,6 +41,14 @@ def test_operators(spark, empty):
         near_dedup.near_classes(docs), language_model.score(docs), toxicity.toxicity(docs, labels), quality.quality(docs, labels), mixing.mix(docs),
         mixing.mix(docs, keep=True), substring_dedup.drop_repeats(docs), fingerprint.neighbours(docs),
     ]
+    model = toxicity.fit(docs, labels)
+    clean = toxicity.toxicity(docs, labels).where("predicted = 0").count()
+    assert toxicity.drop_toxic(docs, model).columns == docs.columns and toxicity.drop_toxic(docs, model).count() == clean
+    scored = toxicity.score(docs, model)
+    assert scored.columns == [*docs.columns, "_score"] and len(scored.collect()) == (0 if empty else 9)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    assert scored.columns == [*docs.columns, "_score"] and len(scored.collect()) == (0 if empty else 9)
+    assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
     for out in one_row_each:
         assert len(out.collect()) == (0 if empty else 9), out.columns
     for out in (url_filter.judge(pages, labels), warc.round_trip(pages)):
@@ -53,9 +61,9 @@ def test_stages(spark, empty, monkeypatch):
     t = tables(spark, empty)
     monkeypatch.setattr(corpus_pipeline, "table", lambda spark, d, name: t[name])
     docs = t["documents"]
-    left = {"minhash_near_dedup": 6, "substring_dedup": 9, "benchmark_decontamination": 5, "mixing": 9}
+    clean = toxicity.toxicity(docs, t["labels"]).where("predicted = 0").count()
+    left = {"toxicity": clean, "minhash_near_dedup": 6, "substring_dedup": 9, "benchmark_decontamination": 5, "mixing": 9}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
-        assert name == "mixing" or out.columns == docs.columns
-        n = len(out.collect())
-        assert n == (0 if empty else left.get(name, n)), name
+        assert out.columns[: len(docs.columns)] == docs.columns and (name == "mixing" or len(out.columns) == len(docs.columns))
+        assert len(out.collect()) == (0 if empty else left[name]), name
