@@ -335,6 +335,21 @@ def test_classifiers_on_held_out_rows(spark, module, label, bad):
     assert run(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_held_out_labels():
+    """The labels of the largest test table: what the network finds in texts that it has not learnt from."""
+    import pyarrow as pa
+
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, toxic, coalesce(text, '') FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) WHERE octet_length(encode(coalesce(text, ''))) <= 40000 ORDER BY doc_id").fetchall()
+    held = np.array([zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows])
+    y, texts = np.array([r[1] for r in rows], np.float32), np.array([r[2] for r in rows], object)
+    model = toxicity.train(pa.array(texts[~held].tolist()), y[~held], np.ones((~held).sum(), np.float32))
+    scores = toxicity.score_texts(model, *toxicity.tc.utf8(pa.array(texts[held].tolist())))
+    bad, found = y[held] == 1, scores >= toxicity.THRESHOLD
+    print("recall", (bad & found).sum() / bad.sum(), "precision", (bad & found).sum() / found.sum())
+    assert (bad & found).sum() >= 0.9 * bad.sum() and (bad & found).sum() >= 0.8 * found.sum()
+
+
 def test_gru_gradient_is_right():
     rng = np.random.default_rng(7)
     model = {"in": rng.normal(0, 0.5, (2, 12, 24)), "rec": rng.normal(0, 0.5, (2, 8, 24)), "bias": rng.normal(0, 0.5, (2, 24))}
