@@ -145,7 +145,7 @@ def box_min_distance(lo, hi, x) -> Column:
 
 
 def box_max_distance(lo, hi, x) -> Column:
-    far = F.zip_with(F.zip_with(_c(lo), _c(x), lambda a, b: F.abs(b - a)), F.zip_with(_c(hi), _c(x), lambda a, b: F.abs(a - b)), F.greatest)
+    far = F.zip_with(F.zip_with(_c(lo), _c(x), lambda a, b: F.abs(b - a)), F.zip_with(_c(hi), _c(x), lambda a, b: F.abs(a - b)), lambda a, b: F.greatest(a, b))
     return F.sqrt(total(F.transform(far, lambda g: g * g)))
 
 
