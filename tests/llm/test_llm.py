@@ -409,6 +409,9 @@ def test_tables_are_seated_one_by_one():
         assert abs(got.mean() - np.mean(plain)) < 4 * np.std(plain) / 2000**0.5 * 1.5 + 0.01 * np.mean(plain)
         print(c, got.mean(), np.mean(plain), got.std(), np.std(plain))
         assert abs(got.std() - np.std(plain)) < 0.15 * np.std(plain) + 0.02
+    x = np.array([0.0, 0.05, 0.7, 1.0, 3.0, 25.5, 65536.0, 1e12])
+    back = language_model.decode16(language_model.code16(x))
+    assert back[0] == 0 and (back <= x).all() and (back[1:] > x[1:] * 0.998).all()
     x = np.array([0.05, 0.7, 3.0, 25.5])
     assert np.allclose(language_model.digamma(x), [(math.lgamma(v + 1e-6) - math.lgamma(v - 1e-6)) / 2e-6 for v in x], atol=1e-4)
 
