@@ -30,3 +30,19 @@ def text_digest(text: str = "text") -> Column:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+HOT = 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many (a written table, keys not null) joined with one (a row a key), whatever share of many's rows a key holds.
+
+    Keys of a HOT-th of the rows or more, of which there are HOT at most, meet by broadcast; all
+    others by shuffle, where none holds more than that share.
+    """
+    rows = many.count()
+    hot = materialize(many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT >= rows).select(key))
+    own = one.join(F.broadcast(hot), key, "left_semi")
+    near = many.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(own), key, how)
+    return near.unionByName(many.join(F.broadcast(hot), key, "left_anti").join(one, key, how))
