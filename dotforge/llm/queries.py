@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language_model, mixing, near_dedup, quality, sql, substring_dedup, toxicity, url_filter, warc
+from . import clustering, decontaminate, fingerprint, language_model, mixing, near_dedup, pii, quality, resampling, sql, substring_dedup, toxicity, url_filter, warc
 from .common import table
 
 
@@ -55,15 +55,30 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.cluster(table(spark, d, "embeddings"))[0]
+
+
+def op12_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.report(table(spark, d, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.importance(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_minhash_near_dedup, op3_lm_scoring, op4_toxicity, op5_mixing,
         op6_quality, op7_substring_dedup, op8_fingerprints, op9_warc, op10_decontamination,
+        op11_centroid_clustering, op12_pii, op13_importance_resampling,
     )
 }
 ORACLES = {
     "op1_url_filters": sql.URL_FILTER,
     "op5_mixing": sql.MIX.format(docs="documents"),
     "op9_warc": sql.WARC,
+    "op11_centroid_clustering": sql.cluster(),
+    "op13_importance_resampling": sql.RESAMPLE,
 }

@@ -73,3 +73,46 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN lead IS NOT NULL AND pa
   CASE WHEN lead IS NOT NULL AND page_id IS DISTINCT FROM lead THEN lead END AS refers_to
 FROM p LEFT JOIN m USING (payload_digest)
 """
+
+
+def cluster(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds one after the other, over all vectors."""
+    near = """
+  SELECT vec_id, q, cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, cluster) AS n FROM (
+    SELECT v.rid, v.vec_id, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, {c} c)) WHERE n = 1"""
+    steps = ""
+    for i in range(rounds):
+        steps += f"""
+a{i} AS MATERIALIZED ({near.format(c=f"c{i}")}),
+s{i} AS (SELECT cluster, coord, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS coord, unnest(q) AS x FROM a{i}) GROUP BY 1, 2),
+m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY coord) AS c FROM s{i} GROUP BY 1),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (cluster)),"""
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), q) - 1)::INT AS cluster, q AS c FROM v ORDER BY 1 LIMIT {k}),{steps}
+f AS MATERIALIZED ({near.format(c=f"c{rounds}")})
+SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} USING (cluster)
+"""
+
+
+RESAMPLE = r"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+x AS (SELECT 0 AS side, row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+w AS MATERIALIZED (SELECT side, rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS MATERIALIZED (SELECT side, rid, unnest(list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2]))) AS feature FROM w),
+k AS MATERIALIZED (SELECT side, rid, feature, count(*) AS n FROM f GROUP BY 1, 2, 3),
+b AS MATERIALIZED (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(feature)) + 1), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i - 1, 2))::BIGINT)),
+      lambda a, c: xor(a // 256, t[xor(a % 256, c) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT feature FROM k), crc),
+g AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM k JOIN b USING (feature) GROUP BY 1),
+o AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM g) + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM g) + 10000)::DOUBLE)))::BIGINT AS gain FROM g),
+m AS (SELECT rid, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM k JOIN b USING (feature) JOIN o USING (bucket) WHERE side = 0 GROUP BY 1),
+d AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (rid) WHERE side = 0),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS able FROM e WHERE n_words >= 20)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END::BIGINT AS rank FROM e LEFT JOIN r USING (rid)
+"""

@@ -66,13 +66,13 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the first word of each text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word (a run of bytes that are not blank), and the first word of each text."""
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(offsets), np.int64)
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = solid.copy()
