@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,14 +16,13 @@ from .common import crc_mod
 LONGEST = 1 << 18  # bytes of the longest text that the driver learns from
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of at most `most` training rows, half of them of the rarer label if there are enough.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """((doc_id, y, text), training labels of each kind) of at most `most` training rows, half of them of the rarer label if there are enough.
 
     Ids whose crc32 modulo `folds` is `held_out` are never used.  The choice follows a
     hash of the id, so it is the same in every run and at every partitioning; `most` ids,
     one text each (the smallest of an id's texts, combined on the map side) of at most
-    LONGEST bytes, bound what the driver holds.  Weights restore the share of each label
-    among all training labels.  Several labels of one id count as their largest.
+    LONGEST bytes, bound what training holds.  Several labels of one id count as their largest.
     """
     spark = docs.sparkSession
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", folds) != held_out))
@@ -32,7 +34,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         rows += lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share[y]).collect()
     picks = spark.createDataFrame(rows, "doc_id long, y int") if rows else spark.createDataFrame([], "doc_id long, y int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
-    got = texts.join(F.broadcast(picks), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()
+    return texts.join(F.broadcast(picks), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), counts
+
+
+def in_order(got: pa.Table, counts: dict[int, int]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(texts, labels, weights) of labelled rows by id; weights restore the share of each label among all training labels."""
     got = got.sort_by([("doc_id", "ascending")])
     y = got["y"].to_numpy().astype(np.float32)
     weight = np.ones(len(y), np.float32)
@@ -44,6 +50,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return got["text"].combine_chunks() if len(y) else pa.array([], pa.string()), y, weight
 
 
+def labelled_sample(*how) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """in_order() of labelled_rows(), on the driver."""
+    rows, counts = labelled_rows(*how)
+    return in_order(rows.toArrow(), counts)
+
+
+def trained_apart(rows: DataFrame, counts: dict[int, int], train: Callable[[pa.Array, np.ndarray, np.ndarray], dict]) -> dict:
+    """What train() gives for in_order() of the rows, worked out by one task, so that the driver only holds the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := list(batches):
+            model = train(*in_order(pa.Table.from_batches(parts), counts))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = rows.select("doc_id", "y", "text").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train(pa.array([], pa.string()), np.zeros(0, np.float32), np.zeros(0, np.float32))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 

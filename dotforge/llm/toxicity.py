@@ -9,7 +9,7 @@ pools their states, and a logistic unit scores the pool.  All windows of WIDTH w
 starting every WIDTH / 2 words, are scored over the whole text, and a text's score
 is that of its most toxic window.
 
-Training (numpy, on the driver) sees a bounded sample of labelled texts (MOST_TEXTS
+Training (numpy, in one task, so that the driver only holds the weights) sees a bounded sample of labelled texts (MOST_TEXTS
 texts of at most learn.LONGEST bytes).  Log-odds are cross-fitted: while the network
 learns from a text, they come from the other FOLDS - 1 parts of the sample, so it learns
 what they are worth on unseen texts; scoring uses those of the whole sample.  Each epoch
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import crc_mod, fresh_name
-from .learn import Adam, by_row, labelled_sample, sigmoid
+from .learn import Adam, by_row, labelled_rows, sigmoid, trained_apart
 
 MOST_TEXTS = 3000
 WIDTH = 32
@@ -312,7 +312,7 @@ def score_texts(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> dict:
-    return train(*labelled_sample(docs, labels, "toxic", 4, 2, most))
+    return trained_apart(*labelled_rows(docs, labels, "toxic", 4, 2, most), train)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
