@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,18 +53,6 @@ def labelled_sample(*how) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return in_order(rows.toArrow(), counts)
 
 
-def trained_apart(rows: DataFrame, counts: dict[int, int], train: Callable[[pa.Array, np.ndarray, np.ndarray], dict]) -> dict:
-    """What train() gives for in_order() of the rows, worked out by one task, so that the driver only holds the weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if parts := list(batches):
-            model = train(*in_order(pa.Table.from_batches(parts), counts))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    found = rows.select("doc_id", "y", "text").repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(found.model) if found else train(pa.array([], pa.string()), np.zeros(0, np.float32), np.zeros(0, np.float32))
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 

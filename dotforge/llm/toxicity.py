@@ -9,7 +9,7 @@ pools their states, and a logistic unit scores the pool.  All windows of WIDTH w
 starting every WIDTH / 2 words, are scored over the whole text, and a text's score
 is that of its most toxic window.
 
-Training (numpy, in one task, so that the driver only holds the weights) sees a bounded sample of labelled texts (MOST_TEXTS
+Training (numpy, on the driver) sees a bounded sample of labelled texts (MOST_TEXTS
 texts of at most learn.LONGEST bytes).  Log-odds are cross-fitted: while the network
 learns from a text, they come from the other FOLDS - 1 parts of the sample, so it learns
 what they are worth on unseen texts; scoring uses those of the whole sample.  Each epoch
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import crc_mod, fresh_name
-from .learn import Adam, by_row, labelled_rows, sigmoid, trained_apart
+from .learn import Adam, by_row, labelled_sample, sigmoid
 
 MOST_TEXTS = 3000
 WIDTH = 32
@@ -51,6 +51,7 @@ GRAM = 4
 HEADS = (5, 6, 7, 8)
 FOLDS = 4
 BATCH = 64
+STRETCH = 1 << 19  # words or pieces that are counted at a time
 EPOCHS = 4
 LEAST_STEPS = 400  # small samples are gone through more often
 EMBED_RATE = 0.05  # embeddings move this much slower than the rest, so that they do not learn texts by heart
@@ -87,6 +88,20 @@ class Words:
     def __len__(self) -> int:
         return len(self.word)
 
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """The same, made slice by slice, so that what is needed on the way stays small."""
+        parts = [cls(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in tc.slices(offsets)]
+        if len(parts) < 2:
+            return parts[0] if parts else cls(data, offsets)
+        out = cls.__new__(cls)
+        for name in ("word", "count", "piece", "head"):
+            setattr(out, name, np.concatenate([getattr(x, name) for x in parts]))
+        out.at = np.cumsum(out.count, dtype=np.int64) - out.count
+        ahead = np.cumsum([0, *(len(x) for x in parts)])
+        out.first = np.concatenate([*(x.first[:-1] + n for x, n in zip(parts, ahead)), ahead[-1:]])
+        return out
+
     def pieces_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of all pieces of the given words, first piece of each)."""
         size = self.count[which]
@@ -201,11 +216,15 @@ def gather(x: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarr
 
 def _odds(bucket: np.ndarray, text: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Label log-odds of each bucket by the texts that hold it, shrunk to 0 for rare ones."""
-    pair = np.unique(text.astype(np.int64) * BUCKETS + bucket)
-    text, bucket = pair // BUCKETS, pair % BUCKETS
     prior = (y * weight).sum() / weight.sum()
-    pos = np.bincount(bucket, (y * weight)[text], BUCKETS)
-    all_ = np.bincount(bucket, weight[text], BUCKETS)
+    pos, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    lo = 0
+    while lo < len(text):  # texts come one after the other: some at a time
+        hi = int(np.searchsorted(text, text[min(len(text), lo + STRETCH) - 1], "right"))
+        pair = np.unique(text[lo:hi].astype(np.int64) * BUCKETS + bucket[lo:hi])
+        pos += np.bincount(pair % BUCKETS, (y * weight)[pair // BUCKETS], BUCKETS)
+        all_ += np.bincount(pair % BUCKETS, weight[pair // BUCKETS], BUCKETS)
+        lo = hi
     share = (pos + 4 * prior) / (all_ + 4)
     return (np.log(share / (1 - share + 1e-9)) - np.log(prior / (1 - prior))).clip(-4, 4).astype(np.float32) / 2
 
@@ -229,9 +248,9 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, seed: int = 5) ->
     model = {k: small(BUCKETS, EMBED) for k in PARTS}
     model |= {"in": 3 * small(2, INPUTS, 3 * SIZE), "rec": 3 * small(2, SIZE, 3 * SIZE), "bias": np.zeros((2, 3 * SIZE), np.float32)}
     model |= {"look": 3 * small(2 * SIZE), "out": 3 * small(2 * SIZE), "base": np.array([np.log(prior / (1 - prior))], np.float32)}
-    words = Words(*tc.utf8(texts))
+    words = Words.of(*tc.utf8(texts))
     first = words.first
-    owner = np.repeat(np.arange(len(y)), np.diff(first))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
     fold = rng.permutation(len(y)) % FOLDS
     odds = np.zeros((len(words), 3), np.float32)
     for f in range(FOLDS):
@@ -312,7 +331,7 @@ def score_texts(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> dict:
-    return trained_apart(*labelled_rows(docs, labels, "toxic", 4, 2, most), train)
+    return train(*labelled_sample(docs, labels, "toxic", 4, 2, most))
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
