@@ -31,8 +31,8 @@ def scale(v, by) -> Column:
 
 def unit(v) -> Column:
     """v at length 1; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    # the length stands beside each value, so that it is worked out once a vector
+    return F.zip_with(_c(v), F.array_repeat(norm(v), F.size(_c(v))), lambda x, n: F.when(n > 0, x / n).otherwise(0.0))
 
 
 def cosine(a, b) -> Column:
@@ -151,3 +151,88 @@ def box_max_distance(lo, hi, x) -> Column:
 
 def box_contains(lo, hi, x) -> Column:
     return F.forall(F.zip_with(F.zip_with(_c(lo), _c(x), lambda a, b: a <= b), F.zip_with(_c(x), _c(hi), lambda a, b: a <= b), lambda a, b: a & b), lambda t: t)
+
+
+# two balls
+def balls_min_distance(c1, r1, c2, r2) -> Column:
+    return F.greatest(l2(c1, c2) - r1 - r2, F.lit(0.0))
+
+
+def balls_max_distance(c1, r1, c2, r2) -> Column:
+    return l2(c1, c2) + r1 + r2
+
+
+def ball_union(c1, r1, c2, r2) -> Column:
+    """struct(centre, radius) of the smallest ball around two: one of them if it holds the other."""
+    d = l2(c1, c2)
+    r = (d + r1 + r2) / 2
+    at = F.coalesce(F.try_divide(r - r1, d), F.lit(0.0))
+    mid = F.zip_with(F.zip_with(_c(c1), _c(c2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.array_repeat(at, F.size(_c(c1))), lambda s, t: s["a"] + (s["b"] - s["a"]) * t)
+    ball = lambda c, x: F.struct(_c(c).alias("centre"), x.alias("radius"))
+    return F.when(d + r2 <= r1, ball(c1, r1)).when(d + r1 <= r2, ball(c2, r2)).otherwise(ball(mid, r))
+
+
+# two boxes
+def _ranges(lo1, hi1, lo2, hi2) -> Column:
+    pair = lambda a, b: F.zip_with(_c(a), _c(b), lambda x, y: F.struct(x.alias("lo"), y.alias("hi")))
+    return F.zip_with(pair(lo1, hi1), pair(lo2, hi2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def boxes_min_distance(lo1, hi1, lo2, hi2) -> Column:
+    gap = F.transform(_ranges(lo1, hi1, lo2, hi2), lambda s: F.greatest(s["b"]["lo"] - s["a"]["hi"], s["a"]["lo"] - s["b"]["hi"], F.lit(0.0)))
+    return F.sqrt(total(F.transform(gap, lambda g: g * g)))
+
+
+def boxes_max_distance(lo1, hi1, lo2, hi2) -> Column:
+    far = F.transform(_ranges(lo1, hi1, lo2, hi2), lambda s: F.greatest(F.abs(s["b"]["hi"] - s["a"]["lo"]), F.abs(s["a"]["hi"] - s["b"]["lo"])))
+    return F.sqrt(total(F.transform(far, lambda g: g * g)))
+
+
+def box_union(lo1, hi1, lo2, hi2) -> Column:
+    """struct(lo, hi) of the smallest box around two; a point expands a box as a box of its own."""
+    return F.struct(F.zip_with(_c(lo1), _c(lo2), lambda a, b: F.least(a, b)).alias("lo"), F.zip_with(_c(hi1), _c(hi2), lambda a, b: F.greatest(a, b)).alias("hi"))
+
+
+# boxes in a space that repeats itself: period[] is its length along each axis, 0 for an axis that does not repeat
+def _wrapped(lo, hi, period) -> Column:
+    """Gaps between 0 and the intervals [lo, hi], and their farthest ends, by the shortest way round: struct(near, far)."""
+    def axis(s, length):
+        lo, hi, p = s["lo"], s["hi"], F.abs(length)
+        flat_near, flat_far = F.greatest(lo, -hi, F.lit(0.0)), F.greatest(F.abs(lo), F.abs(hi))
+        start = F.pmod(lo, F.when(p > 0, p).otherwise(F.lit(1.0)))
+        end = start + (hi - lo)
+        near = F.when((start <= 0) | (end >= p), F.lit(0.0)).otherwise(F.least(start, p - end))
+        # the farthest place is half way round if the interval covers it
+        far = F.when(((start <= p / 2) & (end >= p / 2)) | (end >= p * 1.5), p / 2).otherwise(F.greatest(F.least(start, p - start), F.least(F.abs(end), F.abs(p - end))))
+        return F.struct(F.when(p > 0, near).otherwise(flat_near).alias("near"), F.when(p > 0, far).otherwise(flat_far).alias("far"))
+
+    both = F.zip_with(_c(lo), _c(hi), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
+    return F.zip_with(both, _c(period), axis)
+
+
+def periodic_min_distance(lo, hi, x, period) -> Column:
+    """Shortest distance from a point to a box."""
+    away = _wrapped(F.zip_with(_c(lo), _c(x), lambda a, b: a - b), F.zip_with(_c(hi), _c(x), lambda a, b: a - b), period)
+    return F.sqrt(total(F.transform(away, lambda s: s["near"] * s["near"])))
+
+
+def periodic_max_distance(lo, hi, x, period) -> Column:
+    """Distance from a point to the farthest place of a box."""
+    away = _wrapped(F.zip_with(_c(lo), _c(x), lambda a, b: a - b), F.zip_with(_c(hi), _c(x), lambda a, b: a - b), period)
+    return F.sqrt(total(F.transform(away, lambda s: s["far"] * s["far"])))
+
+
+def periodic_boxes_min_distance(lo1, hi1, lo2, hi2, period) -> Column:
+    """Shortest distance between two boxes: that of 0 from the box of all differences."""
+    away = _wrapped(F.zip_with(_c(lo2), _c(hi1), lambda a, b: a - b), F.zip_with(_c(hi2), _c(lo1), lambda a, b: a - b), period)
+    return F.sqrt(total(F.transform(away, lambda s: s["near"] * s["near"])))
+
+
+def periodic_boxes_max_distance(lo1, hi1, lo2, hi2, period) -> Column:
+    away = _wrapped(F.zip_with(_c(lo2), _c(hi1), lambda a, b: a - b), F.zip_with(_c(hi2), _c(lo1), lambda a, b: a - b), period)
+    return F.sqrt(total(F.transform(away, lambda s: s["far"] * s["far"])))
+
+
+def periodic_distance(a, b, period) -> Column:
+    """Distance of two points by the shortest way round."""
+    return periodic_min_distance(a, a, b, period)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -37,10 +40,17 @@ def errors(exact: DataFrame, found: DataFrame) -> DataFrame:
     return per.agg(F.avg("rmse").alias("rmse"), F.max("max_abs").alias("max_abs"), F.avg("are").alias("are"), F.max("max_rel").alias("max_rel"))
 
 
-def relative_error_estimate(found: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(error): mean over queries of how far the k-th score may fall short of the pruning bound (query_id, bound)."""
-    low = found.groupBy("query_id").agg(F.min("score").alias("low")).join(bounds, "query_id")
-    return low.agg(F.avg(F.greatest(F.lit(0.0), F.try_divide(F.col("bound") - F.col("low"), F.abs("bound")))).alias("error"))
+def relative_error_estimate(found: DataFrame, k: int, epsilon: float) -> DataFrame:
+    """(error): mean over queries and ranks of what a relative top-k may miss.
+
+    Pruning kept away only what is below the margin, the k-th score times 1 + epsilon: a
+    score below it may fall short of the margin, one that reaches it is right.
+    """
+    own = Window.partitionBy("query_id")
+    held = found.withColumn("margin", F.min("score").over(own) * (1 + epsilon))
+    short = F.when(F.col("score") < F.col("margin"), 1 - F.try_divide("score", "margin")).otherwise(0.0)
+    per = held.groupBy("query_id").agg((F.sum(short) / k).alias("e"))
+    return per.agg(F.avg("e").alias("error"))
 
 
 def hybrid_error_estimate(found: DataFrame, k: int, next_length: Column, recall: float) -> DataFrame:
@@ -56,3 +66,37 @@ def hybrid_error_estimate(found: DataFrame, k: int, next_length: Column, recall:
 def comparisons(candidates: DataFrame) -> DataFrame:
     """(comparisons): candidate pairs that a method verifies."""
     return candidates.agg(F.count(F.lit(1)).alias("comparisons"))
+
+
+def run_log(queries: DataFrame, probes: DataFrame, bound: float | int, method: str, write: Callable[[DataFrame], None]) -> DataFrame:
+    """One row of figures of a run whose result goes to write(): above theta for a float, the row top k for an int.
+
+    (algorithm, probes, width, queries, bound, results, comparisons, seconds).  Results and
+    comparisons are counted while the run makes them, so nothing is worked out twice; methods
+    that score inside a block kernel have no comparisons of their own (null).
+    """
+    from . import joins
+
+    seen = {"results": Observation(), "comparisons": Observation()}
+    rows = lambda df, n: df.observe(seen[n], F.count(F.lit(1)).alias("n"))
+    began = time.perf_counter()
+    q, p, width = joins.prepare_both(queries, probes)
+    if isinstance(bound, float):
+        q = q.withColumn("bound", F.lit(bound))
+    else:
+        q = joins.top_k_bounds(q, p, bound)
+    met = joins.candidates(q, p, method) if method in joins.ROWS else joins.scored(q, p, method, width)
+    met = rows(met, "comparisons")
+    if method in joins.ROWS:
+        met = joins.products(met)
+    out = met.where(F.col("score") >= bound).select("query_id", "probe_id", "score") if isinstance(bound, float) else joins.best(met, bound)
+    write(rows(out, "results"))
+    took = time.perf_counter() - began
+    figures = {n: o.get["n"] for n, o in seen.items()}
+    row = (method, probes.count(), width, queries.count(), float(bound), figures["results"], figures["comparisons"] if method in joins.ROWS else None, took)
+    return queries.sparkSession.createDataFrame([row], "algorithm string, probes long, width int, queries long, bound double, results long, comparisons long, seconds double")
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """Appends the figures of runs as tab-separated lines."""
+    log.write.mode("append").csv(path, sep="\t")

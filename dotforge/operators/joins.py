@@ -25,29 +25,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from . import kernels, lsh
+from ..plans.shared import materialize
+from . import covers, kernels, lists, lsh
 
 SLACK = 1 + 1e-12
 EPS = 1e-9
 BUCKET_FACTOR = 0.9
 SEEDS = 10  # top-k bounds come from SEEDS * k longest probes
 BLOCK = 4096
-FOCUS = 3  # coordinates that coordinate methods look at
-CUT = 0.5  # mixed methods use the coordinate filter from this local threshold on
 EXACT = ("naive", "length", "bucketed", "coord", "incr", "lc", "li", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "tree", "ap", "dense")
 APPROXIMATE = ("lsh", "blsh")
+ROWS = ("naive", "length", "bucketed", "tree", "lsh", "blsh")  # methods whose candidates are rows before they are scored
 
 
-def prepare(df: DataFrame, prefix: str, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """(id, vec) with length and unit vector, under a prefix."""
+def prepare(df: DataFrame, prefix: str, id_col: str = "id", vec_col: str = "vec", width: int | None = None) -> DataFrame:
+    """(id, vec) with length and unit vector, under a prefix.
+
+    Vectors that are null or hold a null or NaN coordinate have no products and are left
+    out; with width, a vector of another one raises as soon as it is read.
+    """
     v = F.col(vec_col).cast("array<double>")
     out = df.select(F.col(id_col).cast("long").alias(f"{prefix}id"), v.alias(f"{prefix}v"))
+    out = out.where(F.forall(f"{prefix}v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    if width is not None:
+        wrong = F.concat(F.lit(f"vectors of different lengths: {width} and "), F.size(f"{prefix}v").cast("string"))
+        out = out.withColumn(f"{prefix}v", F.when(F.size(f"{prefix}v") != width, F.raise_error(wrong).cast("array<double>")).otherwise(F.col(f"{prefix}v")))
     return out.withColumn(f"{prefix}n", V.norm(f"{prefix}v")).withColumn(f"{prefix}u", V.unit(f"{prefix}v"))
 
 
+def prepare_both(queries: DataFrame, probes: DataFrame, check: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides prepared, and the width that every vector must have, that of any of them; check: look at all now."""
+    if check:
+        check_dims(queries, probes)
+    held = [d.where("vec IS NOT NULL").select(F.size("vec")).first() for d in (probes, queries)]
+    width = next((r[0] for r in held if r), 0)
+    return prepare(queries, "q", width=width), prepare(probes, "p", width=width), width
+
+
 def check_dims(q: DataFrame, p: DataFrame, vec_col: str = "vec") -> None:
     """Raises if the vectors of both sides do not all have one length."""
-    sizes = {r[0] for d in (q, p) for r in d.select(F.size(vec_col)).distinct().limit(2).collect()}
+    sizes = {r[0] for d in (q, p) for r in d.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).distinct().limit(2).collect()}
     if len(sizes) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
 
@@ -75,7 +92,7 @@ def in_blocks(q: DataFrame, p: DataFrame, stats: DataFrame, queries: int) -> Dat
     """Rows of q (with bucket) joined with the probes of their bucket, block by block; queries: about how many there are."""
     parts = math.ceil(max(1, queries) / BLOCK)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("probes") / BLOCK)).cast("int")
-    sized = F.broadcast(stats.select("bucket", chunks.alias("chunks")))  # one row a bucket
+    sized = stats.select("bucket", chunks.alias("chunks"))  # one row a bucket
     left = q.join(sized, "bucket").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     right = p.join(sized, "bucket").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int")).drop("chunks")
     keys = ["bucket", "chunk"]
@@ -96,71 +113,19 @@ def all_pairs(q: DataFrame, p: DataFrame) -> DataFrame:
 def feasible(qi: Column, t: Column) -> tuple[Column, Column]:
     """Where a coordinate of a unit probe must lie if its cosine with the query is t or more (0 < t <= 1)."""
     half = F.sqrt(F.greatest((1 - t * t) * (1 - qi * qi), F.lit(0.0)))
-    lo, hi = t * qi - half, t * qi + half
+    lo, hi, pole = t * qi - half, t * qi + half, F.try_divide(t, qi)
     # past the pole of the query's coordinate the region is open towards +1 or -1
-    top = F.when((qi > 0) & (t / qi <= hi), F.lit(1.0)).otherwise(hi)
-    low = F.when((qi < 0) & (t / qi >= lo), F.lit(-1.0)).otherwise(lo)
-    return F.when((qi > 0) & (t / qi <= hi), F.least(lo, t / qi)).otherwise(low) - EPS, F.when((qi < 0) & (t / qi >= lo), F.greatest(hi, t / qi)).otherwise(top) + EPS
-
-
-def coord_filter() -> Column:
-    """Every focus coordinate (the column top) lies in its feasible range; no test where the local threshold is not in (0, 1]."""
-    def inside(s):
-        lo, hi = feasible(s["val"], F.col("local"))
-        return F.element_at("pu", s["coord"] + 1).between(lo, hi)
-
-    ok = F.forall("top", inside)
-    return (F.col("local") <= 0) | (F.col("local") > 1) | ok
-
-
-def residual_filter() -> Column:
-    """Cauchy-Schwarz on what the focus coordinates leave over."""
-    top = F.col("top")
-    value = lambda s: F.element_at("pu", s["coord"] + 1)
-    part = V.total(F.transform(top, lambda s: s["val"] * value(s)))
-    pp = V.total(F.transform(top, lambda s: value(s) * value(s)))
-    qq = V.total(F.transform(top, lambda s: s["val"] * s["val"]))
-    size = F.col("qn") * F.col("pn")
-    gap = F.col("bound") - size * part - EPS * (1 + F.abs("bound"))
-    rest = F.greatest(1 - pp, F.lit(0.0)) * F.greatest(1 - qq, F.lit(0.0)) + EPS
-    return (F.col("bound") <= 0) | (gap <= 0) | (rest * size * size >= gap * gap)
-
-
-def tree_candidates(q: DataFrame, p: DataFrame, most: int = 4096) -> DataFrame:
-    """Ball partition: clusters around hash-picked probes, as many as the root of the probes and `most` at most; a ball is visited if its bound reaches the query's."""
-    clusters = max(16, min(most, math.isqrt(p.count())))
-    centres = p.orderBy(F.xxhash64("pid"), "pid").limit(clusters).select(F.col("pid").alias("cid"), F.col("pv").alias("cv"))
-    near = F.min(F.struct(V.l2_squared("pv", "cv").alias("d"), "cid"))
-    # `most` centres at most are met by each probe, and by each query
-    member = p.crossJoin(F.broadcast(centres)).groupBy("pid").agg(near.alias("m")).select("pid", F.col("m.cid").alias("cid"), F.sqrt("m.d").alias("far"))
-    balls = member.groupBy("cid").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("probes")).join(centres, "cid")
-    reach = V.ip("qv", "cv") + F.col("qn") * F.col("radius")
-    visits = q.join(F.broadcast(balls), reach + EPS * (1 + F.abs(reach)) >= F.col("bound")).drop("cv", "radius", "probes")
-    held = member.select("pid", F.col("cid").alias("bucket")).join(p, "pid")
-    return in_blocks(visits.withColumnRenamed("cid", "bucket"), held, balls.select(F.col("cid").alias("bucket"), "probes"), q.count())
-
-
-def prefix_candidates(q: DataFrame, p: DataFrame) -> DataFrame:
-    """Prefix filter: probes index only coordinates past the point where the rest could not reach the bound.
-
-    Coordinates are ordered by how many probes hold them, common ones first, so the
-    unindexed head holds the long lists.
-    """
-    limits = q.agg(F.min("bound").alias("least"), F.max("qn").alias("longest"))
-    flat = p.select("pid", F.posexplode("pv").alias("coord", "pval")).where("pval != 0")
-    order = flat.groupBy("coord").agg(F.count(F.lit(1)).alias("df"))
-    head = Window.partitionBy("pid").orderBy(F.desc("df"), "coord").rowsBetween(Window.unboundedPreceding, 0)
-    flat = flat.join(F.broadcast(order), "coord").withColumn("grown", F.sqrt(F.sum(F.col("pval") * F.col("pval")).over(head)))
-    flat = flat.crossJoin(F.broadcast(limits)).withColumn("indexed", (F.col("grown") * F.col("longest") * SLACK >= F.col("least")) | (F.col("least") <= 0))
-    rest = flat.groupBy("pid").agg(F.coalesce(F.max(F.when(~F.col("indexed"), F.col("grown"))), F.lit(0.0)).alias("rest"))
-    entries = q.select("qid", "qn", "bound", F.posexplode("qv").alias("coord", "qval")).where("qval != 0")
-    met = entries.join(flat.where("indexed").select("coord", "pid", "pval"), "coord")
-    met = met.groupBy("qid", "pid").agg(F.sum(F.col("qval") * F.col("pval")).alias("part"), F.first("qn").alias("n"), F.first("bound").alias("b"))
-    kept = met.join(rest, "pid").where(F.col("part") + F.col("n") * F.col("rest") + EPS * (1 + F.abs("b")) >= F.col("b")).select("qid", "pid")
-    # pairs without a common indexed coordinate have ip <= what the head gives; for bounds <= 0 they may qualify
-    free = all_pairs(q.where("bound <= 0"), p)
-    out = kept.join(q, "qid").join(p, "pid")
-    return out.where("bound > 0").select(*q.columns, *p.columns).union(free.select(*q.columns, *p.columns))
+    above, below = (qi > 0) & (pole <= hi), (qi < 0) & (pole >= lo)
+    return F.when(above, F.least(lo, pole)).when(below, F.lit(-1.0)).otherwise(lo) - EPS, F.when(below, F.greatest(hi, pole)).when(above, F.lit(1.0)).otherwise(hi) + EPS
+
+
+def tree_candidates(q: DataFrame, p: DataFrame) -> DataFrame:
+    """The probes of the leaves that a walk down the nested covers leaves over."""
+    p = materialize(p)
+    members, levels = covers.build(p)
+    held, _ = covers.walk(q, levels)
+    sizes = members.groupBy(F.col("node").alias("bucket")).agg(F.count(F.lit(1)).alias("probes"))
+    return in_blocks(held.withColumnRenamed("node", "bucket"), members.withColumnRenamed("node", "bucket").join(p, "pid"), sizes, q.count())
 
 
 def candidates(q: DataFrame, p: DataFrame, method: str, recall: float = 0.97) -> DataFrame:
@@ -169,40 +134,35 @@ def candidates(q: DataFrame, p: DataFrame, method: str, recall: float = 0.97) ->
         return all_pairs(q, p)
     if method == "tree":
         return tree_candidates(q, p)
-    if method == "ap":
-        return prefix_candidates(q, p)
     p, stats = with_buckets(p)
     active = pair_buckets(q, stats)
     if method in APPROXIMATE:
         return lsh.candidates(active, p, recall, bayes=method == "blsh")
     if method not in ("length", "bucketed"):
-        active = active.withColumn("top", V.top_coords("qu", FOCUS))  # once a query, before the join
-    joined = in_blocks(active.drop("probes"), p, stats, q.count())
-    joined = joined.where(F.col("qn") * F.col("pn") * SLACK >= F.col("bound"))
-    if method in ("length", "bucketed"):
-        return joined
-    test = {"coord": coord_filter(), "incr": coord_filter() & residual_filter()}
-    test["lc"] = (F.col("local") < CUT) | test["coord"]
-    test["li"] = (F.col("local") < CUT) | test["incr"]
-    if method not in test:
         raise ValueError(f"unknown method {method!r}")
-    return joined.where(test[method])
+    joined = in_blocks(active.drop("probes"), p, stats, q.count())
+    return joined.where(F.col("qn") * F.col("pn") * SLACK >= F.col("bound"))
+
 
+def products(pairs: DataFrame) -> DataFrame:
+    """(query_id, probe_id, score) of joined rows."""
+    return pairs.select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"))
 
-def _kernel(method: str) -> bool:
-    return method in ("dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max")
+
+def scored(q: DataFrame, p: DataFrame, method: str, width: int, recall: float = 0.97) -> DataFrame:
+    """(query_id, probe_id, score) of the candidates of a method; exact methods leave out what misses the bound."""
+    if method in kernels.METHODS:
+        return kernels.block_join(q, p, method)
+    if method in lists.METHODS:
+        return lists.pairs(q, p, method, width)
+    return products(candidates(q, p, method, recall))
 
 
 def above_theta(queries: DataFrame, probes: DataFrame, theta: float, method: str = "dense", recall: float = 0.97, check: bool = False) -> DataFrame:
     """(query_id, probe_id, score) of every pair with inner product theta or more."""
-    if check:
-        check_dims(queries, probes)
-    q = prepare(queries, "q").withColumn("bound", F.lit(float(theta)))
-    p = prepare(probes, "p")
-    if _kernel(method):
-        return kernels.block_join(q, p, method)
-    pairs = candidates(q, p, method, recall).select("qid", "pid", V.ip("qv", "pv").alias("score"))
-    return pairs.where(F.col("score") >= theta).select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), "score")
+    q, p, width = prepare_both(queries, probes, check)
+    q = q.withColumn("bound", F.lit(float(theta)))
+    return scored(q, p, method, width, recall).where(F.col("score") >= theta)
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -242,30 +202,22 @@ def row_top_k(
     """
     if method.startswith("tanra"):
         raise ValueError("tanra answers above-theta only")
-    if check:
-        check_dims(queries, probes)
-    q, p = prepare(queries, "q"), prepare(probes, "p")
-    if method in ("simple_lsh", "pca_tree"):
+    q, p, width = prepare_both(queries, probes, check)
+    if method in ("simple_lsh", "pca_tree", "pca_hamming"):
         q = top_k_bounds(q, p, k)
-        if method == "pca_tree":
-            pairs = lsh.pca_tree(q, p, k, depth)
+        if method != "simple_lsh":
+            pairs = (lsh.pca_tree if method == "pca_tree" else lsh.pca_hamming)(q, p, k, depth)
         else:
             pairs, left = lsh.simple_lsh(q, p, k, recall)
             rest = candidates(left, p, "length")
-            rest = rest.select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"))
-            pairs = pairs.union(rest).dropDuplicates(["query_id", "probe_id"])
+            pairs = pairs.union(products(rest)).dropDuplicates(["query_id", "probe_id"])
     else:
         q = top_k_bounds(q, p, k)
         pruned = q.withColumn("bound", relax(F.col("bound"), F.col("qn"), approx, epsilon))
-        if _kernel(method):
-            pairs = kernels.block_join(pruned, p, method, k)
-        else:
-            pairs = candidates(pruned, p, "lsh" if approx == "hyb" else method, recall)
-            pairs = pairs.select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"))
+        pairs = scored(pruned, p, "lsh" if approx == "hyb" else method, width, recall)
         if approx or method in APPROXIMATE:
             longest = p.orderBy(F.desc("pn"), "pid").limit(SEEDS * k)
-            seeds = q.crossJoin(F.broadcast(longest)).select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"))
-            pairs = pairs.union(seeds).dropDuplicates(["query_id", "probe_id"])
+            pairs = pairs.union(products(q.crossJoin(F.broadcast(longest)))).dropDuplicates(["query_id", "probe_id"])
     out = best(pairs, k)
     if score == "ip_over_qnorm":
         lengths = q.select(F.col("qid").alias("query_id"), "qn")

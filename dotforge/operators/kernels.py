@@ -16,13 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+METHODS = ("dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "ap")
+STAGE = 8  # coordinates between two bounds on partial sums
+FEW = 0.1  # share of pairs from which on they are followed one by one
 DEPTH = 16  # list entries that one step of the threshold algorithms reads
 TOL = 1e-9
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    if not len(flat):
+        return np.zeros((0, 0))
+    sizes = np.diff(flat.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
 def dense(q: np.ndarray, p: np.ndarray, bound: np.ndarray):
@@ -79,16 +87,54 @@ def threshold(q: np.ndarray, lists: Lists, bound: float, greedy: bool, full: boo
     return rows[part[rows] + (~known[rows]) @ rest >= bound - slack]
 
 
+def prefix(q: np.ndarray, p: np.ndarray, bound: np.ndarray):
+    """Pairs that may reach the bound, by postings of the probes' tails and bounds on partial sums.
+
+    Coordinates are ordered by how many probes hold them.  A probe's head, the first
+    coordinates that alone cannot reach the least bound against the longest query, has no
+    postings.  Products are summed from the rare end, STAGE coordinates at a time, and a pair
+    is dropped once its sum and the lengths of what both sides still hold miss the bound.
+    """
+    order = np.argsort(-(p != 0).sum(0), kind="stable")
+    q, p = q[:, order], p[:, order]
+    lead = lambda m: np.sqrt(np.hstack([np.zeros((len(m), 1)), np.cumsum(m * m, axis=1)]))
+    qs, ps = lead(q), lead(p)
+    slack = TOL * (1 + np.abs(np.where(np.isfinite(bound), bound, 0)))
+    need = bound - slack
+    skip = (ps[:, 1:] * qs[:, -1].max() < need.min()).sum(1) if need.min() > 0 else np.zeros(len(p), int)
+    posted = np.where(np.arange(p.shape[1]) < skip[:, None], 0, p)
+    total = np.zeros((len(q), len(p)))
+    live = None
+    for hi in range(p.shape[1], 0, -STAGE):
+        lo = max(0, hi - STAGE)
+        end = np.maximum(lo, skip)  # what is not summed yet lies before it
+        rest = ps[np.arange(len(p)), end]
+        if live is None:
+            total += q[:, lo:hi] @ posted[:, lo:hi].T
+            left = qs[:, end] * rest >= need[:, None] - total
+            if not lo or left.mean() < FEW:
+                live = np.nonzero(left)
+                part = total[live]
+        else:
+            i, j = live
+            part = part + np.einsum("nc,nc->n", q[i, lo:hi], posted[j, lo:hi])
+            stay = part + qs[i, end[j]] * rest[j] >= need[i]
+            live, part = (i[stay], j[stay]), part[stay]
+    return live if live is not None else np.nonzero(total >= need[:, None])
+
+
 def _pairs(method: str, q: np.ndarray, p: np.ndarray, bound: np.ndarray):
     if method == "dense":
         return dense(q, p, bound)
+    if method == "ap":
+        return prefix(q, p, bound)
     lists = Lists(p)
     found = [threshold(v, lists, b, method.endswith("max"), method.startswith("ta_")) for v, b in zip(q, bound)]
     return np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found) if found else np.zeros(0, int)
 
 
-def block_join(q: DataFrame, p: DataFrame, method: str, k: int | None = None) -> DataFrame:
-    """(query_id, probe_id, score) of pairs whose score reaches the query's bound."""
+def block_join(q: DataFrame, p: DataFrame, method: str, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, probe_id, score) of pairs whose score reaches the query's bound; only: the (qid, bucket) pairs to look at."""
     from .joins import SLACK, log_bucket
 
     p = p.withColumn("bucket", log_bucket(F.col("pn")))
@@ -98,6 +144,8 @@ def block_join(q: DataFrame, p: DataFrame, method: str, k: int | None = None) ->
     hot = F.broadcast(stats)  # one row a norm bucket
     left = q.select("qid", "qv", "qn", "bound", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
     left = left.join(hot, F.col("qn") * F.col("longest") * SLACK >= F.col("bound"))
+    if only is not None:
+        left = left.join(only, ["qid", "bucket"], "left_semi")
     left = left.select(F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("part").alias("d"), "qid", "qv", "bound")
     right = p.join(hot, "bucket").select(
         "bucket", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int").alias("chunk"),

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .lsh import principal_axes
+from .lsh import principal_axes, rotated
 
 
 def entries(df: DataFrame) -> DataFrame:
@@ -75,8 +75,7 @@ def whiten(df: DataFrame) -> DataFrame:
     """Vectors along their principal axes at variance 1 (axes of variance 0 stay 0)."""
     width = df.select(F.size("vec")).first()[0]
     mean, axes = principal_axes(df, "vec", width)
-    centred = F.zip_with("vec", F.array(*[F.lit(float(x)) for x in mean]), lambda a, b: a - b)
-    turned = df.select("id", F.array(*[V.ip(centred, F.array(*[F.lit(float(x)) for x in a])) for a in axes]).alias("vec"))
+    turned = rotated(df.select("id", F.col("vec").cast("array<double>").alias("t")), "id", mean, axes).withColumnRenamed("x", "vec")
     spread = entries(turned).groupBy("coord").agg(F.stddev_pop("val").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("coord", "s"))), lambda s: s["s"]).alias("s"))
     return turned.crossJoin(F.broadcast(spread)).select("id", F.zip_with("vec", "s", lambda x, s: F.when(s > 1e-12, x / s).otherwise(0.0)).alias("vec"))
 
@@ -112,3 +111,29 @@ def ball_bound(df: DataFrame) -> DataFrame:
 def rect_bound(df: DataFrame) -> DataFrame:
     """(coord, lo, hi) of the smallest box around the vectors."""
     return entries(df).groupBy("coord").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))
+
+
+def group_bounds(df: DataFrame, by: str) -> DataFrame:
+    """(by, centre, radius, lo, hi): the ball around the mean and the box of each group of vectors."""
+    per = df.select(by, F.posexplode("vec").alias("coord", "x")).groupBy(by, "coord").agg(F.avg("x").alias("centre"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("coord", c))), lambda s: s[c]).alias(c)
+    per = per.groupBy(by).agg(side("centre"), side("lo"), side("hi"))  # one row a coordinate
+    far = df.join(per.select(by, "centre"), by).groupBy(by).agg(F.max(V.l2("vec", "centre")).alias("radius"))
+    return per.join(far, by).select(by, "centre", "radius", "lo", "hi")
+
+
+def group_distances(bounds: DataFrame, by: str, pairs: DataFrame, period: Column | None = None) -> DataFrame:
+    """pairs (a, b) of groups with the least and greatest distances of their balls and boxes, and the size of what holds both.
+
+    With a period, boxes are measured the shortest way round.
+    """
+    side = lambda n: bounds.select(F.col(by).alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("centre", "radius", "lo", "hi")])
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    ball = (F.col("a_centre"), F.col("a_radius"), F.col("b_centre"), F.col("b_radius"))
+    box = ("a_lo", "a_hi", "b_lo", "b_hi")
+    near, far = (V.boxes_min_distance(*box), V.boxes_max_distance(*box)) if period is None else (V.periodic_boxes_min_distance(*box, period), V.periodic_boxes_max_distance(*box, period))
+    whole = V.box_union(*box)
+    return met.select(
+        "a", "b", V.balls_min_distance(*ball).alias("ball_near"), V.balls_max_distance(*ball).alias("ball_far"), V.ball_union(*ball)["radius"].alias("ball_union"),
+        near.alias("box_near"), far.alias("box_far"), V.l2(whole["lo"], whole["hi"]).alias("box_union"),
+    )

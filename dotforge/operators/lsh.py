@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.shared import materialize
 
 TABLES = 200
 BITS = 8
 SKETCH = 256  # bits that Bayesian pruning compares
+GROUP = 32  # ... so many at a time
 GRID = 64
 
 
 def signatures(df: DataFrame, id_col: str, vec_col: str, seed: int = 123) -> DataFrame:
-    """(id, codes array<int> of TABLES codes of BITS signs, sketch array<bigint> of SKETCH bits)."""
+    """(id, codes array<int> of TABLES codes of BITS signs, sketch array<int> of SKETCH bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -32,11 +34,11 @@ def signatures(df: DataFrame, id_col: str, vec_col: str, seed: int = 123) -> Dat
                 planes = np.random.default_rng(seed).standard_normal((m.shape[1], TABLES * BITS))
             bits = m @ planes > 0
             codes = np.packbits(bits.reshape(len(m), TABLES, BITS), axis=2)[:, :, 0].astype(np.int32)
-            words = np.packbits(bits[:, :SKETCH], axis=1).view(">i8").astype(np.int64)
+            words = np.packbits(bits[:, :SKETCH], axis=1).view(">i4").astype(np.int32)
             wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), wide(codes), wide(words)], [id_col, "codes", "sketch"])
 
-    return df.select(id_col, vec_col).mapInArrow(run, f"{id_col} long, codes array<int>, sketch array<bigint>")
+    return df.select(id_col, vec_col).mapInArrow(run, f"{id_col} long, codes array<int>, sketch array<int>")
 
 
 def tables_needed(local: Column, recall: float, bits: int = BITS) -> Column:
@@ -46,18 +48,38 @@ def tables_needed(local: Column, recall: float, bits: int = BITS) -> Column:
     return F.when(local <= 0, F.lit(TABLES + 1)).otherwise(F.least(F.greatest(need, F.lit(1)), F.lit(TABLES + 1))).cast("int")
 
 
+def beta_share(a: int, b: int, x: float) -> float:
+    """Regularised incomplete beta function of whole a and b: the chance of at least a of a + b - 1 trials."""
+    n = a + b - 1
+    return math.fsum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1))
+
+
 def least_matches(threshold: float, recall: float, bits: int = SKETCH) -> int:
-    """Fewest equal bits for which a bit-collision rate of `threshold` or more keeps a chance above 1 - recall.
+    """Fewest equal bits of `bits` for which a collision rate of `threshold` or more keeps a chance above 1 - recall.
 
     Posterior over the rate: beta, on [0.5, 1].
     """
-    x = np.linspace(0.5, 1, 2049)[1:-1]
-    for m in range(bits + 1):
-        log = m * np.log(x) + (bits - m) * np.log1p(-x)
-        w = np.exp(log - log.max())
-        if w[x >= threshold].sum() / w.sum() > 1 - recall:
-            return m
-    return bits
+    lo, hi = 0, bits
+    while lo < hi:  # the chance grows with the matches
+        m = (lo + hi) // 2
+        chance = beta_share(bits - m + 1, m + 1, 1 - threshold) / beta_share(bits - m + 1, m + 1, 0.5)
+        lo, hi = (lo, m) if chance > 1 - recall else (m + 1, hi)
+    return lo
+
+
+def match_table(recall: float) -> list[list[int]]:
+    """Least matches after 1, 2, ... groups (rows) for cosines of 0, 1 / GRID, ... 1 (columns)."""
+    return [[least_matches(1 - math.acos(i / GRID) / math.pi, recall, bits) for i in range(GRID + 1)] for bits in range(GROUP, SKETCH + 1, GROUP)]
+
+
+def staged(met: DataFrame, recall: float) -> DataFrame:
+    """Rows (local, qsketch, psketch) whose sketches agree in enough bits after every group, tested one after the other."""
+    equal, ok = F.lit(0), F.lit(True)
+    at = F.floor(F.least(F.greatest(F.col("local"), F.lit(0.0)), F.lit(1.0)) * GRID).cast("int")
+    for g, least in enumerate(match_table(recall)):
+        equal = equal + (GROUP - F.bit_count(F.col("qsketch")[g].bitwiseXOR(F.col("psketch")[g]).bitwiseAND(F.lit((1 << 32) - 1))))
+        ok = ok & (equal >= F.get(F.array(*map(F.lit, least)), at))
+    return met.where(ok)
 
 
 def candidates(active: DataFrame, p: DataFrame, recall: float, bayes: bool = False) -> DataFrame:
@@ -70,9 +92,7 @@ def candidates(active: DataFrame, p: DataFrame, recall: float, bayes: bool = Fal
     stored = p.select("pid", "bucket").join(psig, "pid").select("pid", "bucket", "psketch", F.posexplode("pcodes").alias("t", "code"))
     met = hashed.join(stored, ["bucket", "t", "code"])
     if bayes:
-        least = F.array(*[F.lit(least_matches(1 - math.acos(i / GRID) / math.pi, recall)) for i in range(GRID + 1)])
-        equal = SKETCH - F.aggregate(F.zip_with("qsketch", "psketch", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int")), F.lit(0), lambda s, x: s + x)
-        met = met.where(equal >= F.element_at(least, F.floor(F.least(F.col("local"), F.lit(1.0)) * GRID).cast("int") + 1))
+        met = staged(met, recall)
     met = met.select("qid", "pid").distinct()
     queries = active.dropDuplicates(["qid"]).drop("bucket", "longest", "shortest", "probes", "local")
     found = met.join(queries, "qid").join(p.drop("bucket"), "pid")
@@ -136,11 +156,6 @@ def principal_axes(df: DataFrame, vec_col: str, axes: int) -> tuple[np.ndarray,
     return mean, vectors * flip[:, None]
 
 
-def _rotate(vec: Column, mean: np.ndarray, axes: np.ndarray) -> Column:
-    centred = F.zip_with(vec, F.array(*[F.lit(float(x)) for x in mean]), lambda a, b: a - b)
-    return F.array(*[V.ip(centred, F.array(*[F.lit(float(x)) for x in axis])) for axis in axes])
-
-
 def median_leaves(df: DataFrame, coords: str, depth: int) -> tuple[DataFrame, DataFrame]:
     """(df with leaf, (level, path, median)): splits every node at the median of the coordinate of its level."""
     out, splits = df.withColumn("leaf", F.lit(0).cast("long")), None
@@ -161,6 +176,61 @@ def descend(df: DataFrame, coords: str, step: DataFrame, level: int) -> DataFram
     return out.withColumn("leaf", (F.col("leaf") * 2 + F.when(F.col("median").isNull(), 0).otherwise(bit)).cast("long")).drop("median")
 
 
+def near_leaves(leaf: str | Column, depth: int) -> Column:
+    """A leaf of a tree of that depth and those that differ from it in one split."""
+    leaf = F.col(leaf) if isinstance(leaf, str) else leaf
+    return F.concat(F.array(leaf), F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda b: leaf.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+
+
+def leaf_neighbours(leaves: DataFrame, depth: int) -> DataFrame:
+    """(id, leaf, near, members): for each row its leaf and those one split away that hold rows, and how many they hold."""
+    held = leaves.groupBy(F.col("leaf").alias("near")).agg(F.count(F.lit(1)).alias("members"))  # 2 ** depth rows at most
+    return leaves.select("id", "leaf", F.explode(near_leaves("leaf", depth)).alias("near")).join(held, "near").select("id", "leaf", "near", "members")
+
+
+def _lifted(q: DataFrame, p: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, float]:
+    """((qid, x) and (pid, x) along the leading axes of the lifted probes, the longest probe's length)."""
+    longest = p.agg(F.max("pn")).first()[0] or 0.0
+    lift = F.sqrt(F.greatest(F.lit(0.0), F.lit(longest * longest) - F.col("pn") * F.col("pn")))
+    pt = p.select("pid", F.concat(F.array(lift), F.col("pv")).alias("t"))
+    mean, axes = principal_axes(pt, "t", depth)
+    qt = q.select("qid", F.concat(F.array(F.lit(0.0)), F.col("qv")).alias("t"))
+    return rotated(qt, "qid", mean, axes), rotated(pt, "pid", mean, axes), longest
+
+
+def rotated(df: DataFrame, id_col: str, mean: np.ndarray, axes: np.ndarray) -> DataFrame:
+    """(id, x): the vectors t, centred, along the axes; one matrix product a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = (batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean) @ axes.T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, "x"])
+
+    return df.select(id_col, "t").mapInArrow(run, f"{id_col} long, x array<double>")
+
+
+def pca_hamming(q: DataFrame, p: DataFrame, k: int, depth: int) -> DataFrame:
+    """Top-k candidates from a query's own leaf of the PCA tree and the leaves one split away, scored by ip.
+
+    Leaves meet by an equi-join, chunk by chunk; a query visits depth + 1 of 2 ** depth leaves
+    whatever its bound, so it may miss probes of its top k.
+    """
+    from .joins import in_blocks
+
+    qr, pr, _ = _lifted(q, p, depth)
+    leaves, splits = median_leaves(pr, "x", depth)
+    leaves, splits = materialize(leaves.select("pid", F.col("leaf").alias("bucket"))), materialize(splits)
+    at = qr.withColumn("leaf", F.lit(0).cast("long"))
+    for level in range(depth):
+        at = descend(at, "x", splits.where(F.col("level") == level), level)
+    sizes = leaves.groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"))
+    met = in_blocks(at.select("qid", F.explode(near_leaves("leaf", depth)).alias("bucket")), leaves, sizes, q.count()).select("qid", "pid")
+    met = met.union(q.select("qid").crossJoin(F.broadcast(_first(p, k).select("pid")))).distinct()
+    return _score(met, q, p)
+
+
 def pca_tree(q: DataFrame, p: DataFrame, k: int, depth: int) -> DataFrame:
     """Top-k candidates from the leaves of a PCA tree that can hold them, scored by ip; q carries the bound of its k-th best score.
 
@@ -170,14 +240,10 @@ def pca_tree(q: DataFrame, p: DataFrame, k: int, depth: int) -> DataFrame:
     medians on a query's way to a leaf add up, and a leaf is visited unless their sum
     passes the squared radius.  So no leaf with a top-k probe is left out.
     """
-    longest = p.agg(F.max("pn")).first()[0] or 0.0
-    lift = F.sqrt(F.greatest(F.lit(0.0), F.lit(longest * longest) - F.col("pn") * F.col("pn")))
-    pt = p.select("pid", F.concat(F.array(lift), F.col("pv")).alias("t"))
-    mean, axes = principal_axes(pt, "t", depth)
-    pr = pt.select("pid", _rotate(F.col("t"), mean, axes).alias("x"))
+    qx, pr, longest = _lifted(q, p, depth)
     size = F.col("qn") * F.col("qn") + F.lit(longest * longest)
     radius = (size - 2 * F.col("bound") + 1e-9 * (1 + size)).alias("radius")
-    qr = q.select("qid", radius, _rotate(F.concat(F.array(F.lit(0.0)), F.col("qv")), mean, axes).alias("x"), F.lit(0).cast("long").alias("leaf"), F.lit(0.0).alias("gap"))
+    qr = q.select("qid", radius).join(qx, "qid").select("qid", "radius", "x", F.lit(0).cast("long").alias("leaf"), F.lit(0.0).alias("gap"))
     leaves, splits = median_leaves(pr, "x", depth)
     for level in range(depth):
         step = F.broadcast(splits.where(F.col("level") == level).select(F.col("path").alias("leaf"), "median"))

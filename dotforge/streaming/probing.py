@@ -1,11 +1,16 @@
-"""Streams of query vectors against a static set of probes."""
+"""Streams of query vectors against a static set of probes, and of probes against a static set of queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import vectors as V
 from ..operators import joins
@@ -34,3 +39,80 @@ def top_k_sink(probes: DataFrame, k: int, path: str, **how) -> Callable[[DataFra
         joins.row_top_k(batch, probes, k, **how).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
+
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RANKED = "query_id long, probe_id long, score double, rank long"
+
+
+def _best(query: np.ndarray, probe: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each query, ties by the smaller probe id."""
+    order = np.lexsort((probe, -score, query))
+    q = query[order]
+    head = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+    return order[rank < k]
+
+
+class RunningTopK(StatefulProcessor):
+    """One value a query: the k best probes that have come so far."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "probes array<bigint>, scores array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.held.get() if self.held.exists() else ([], [])
+        probe, score = np.array(old[0], np.int64), np.array(old[1], np.float64)
+        for part in rows:
+            probe, score = np.append(probe, part["probe_id"].to_numpy()), np.append(score, part["score"].to_numpy())
+            probe, at = np.unique(probe, return_index=True)  # a probe that came twice counts once
+            score = score[at]
+            at = _best(np.zeros(len(probe), np.int64), probe, score, self.k)
+            probe, score = probe[at], score[at]
+        self.held.update((probe.tolist(), score.tolist()))
+        yield pd.DataFrame({"query_id": key[0], "probe_id": probe, "score": score, "rank": np.arange(1, len(probe) + 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def running_top_k(probes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Streaming (query_id, probe_id, score, rank): after each micro-batch of new probes, the k best so far of the queries it met.
+
+    Every new probe meets the queries in parts of at most about joins.BLOCK; each Arrow batch
+    of products sends only its k best a query on, and the state of a query is those k, however
+    many probes have come.  The state lives in the store that STORE names, which this sets for
+    the session; output mode update, of which the last rows of a query count.
+    """
+    spark = queries.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    q = joins.prepare(queries, "q").select("qid", "qv")
+    parts = max(1, math.ceil(q.count() / joins.BLOCK))
+    q = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
+    p = joins.prepare(probes, "p").select("pid", "pv", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    pairs = joins.products(p.join(q, "part"))
+
+    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(_best(*(batch.column(i).to_numpy() for i in range(3)), k)))
+
+    pairs = pairs.mapInArrow(fewer, "query_id long, probe_id long, score double")
+    return pairs.groupBy("query_id").transformWithStateInPandas(RunningTopK(k), RANKED, "update", "none")
+
+
+def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each batch's rows once per batch number."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    return run
+
+
+def latest(written: DataFrame) -> DataFrame:
+    """The rows of each query's last batch, of what latest_sink() wrote."""
+    last = written.groupBy("query_id").agg(F.max("batch").alias("batch"))
+    return written.join(last, ["query_id", "batch"]).select("query_id", "probe_id", "score", "rank")
