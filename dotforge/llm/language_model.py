@@ -13,8 +13,9 @@ Inference.  Seating is sampled by Gibbs.  A sweep takes all customers of a dish
 its restaurant and seats them again in turn, given the tables of the other dishes;
 seat() takes them one by one, and from the 40th on a twentieth of those seated at a time.
 COLOURS classes of dishes take turns, with the restaurants'
-tables brought up to date between them.  Predictive probabilities are averaged over the
-sweeps after the burn-in.  A part holds a hash sample of the contexts; while it seats
+tables brought up to date between them.  A context's tables and strengths are averaged
+over the sweeps after the burn-in and its probabilities follow from the averages; the
+parent's probabilities are themselves averaged.  A part holds a hash sample of the contexts; while it seats
 them, the parent's customers are its own tables, those of other contexts scaled up to
 all parts.  The parent itself is then seated on the tables of all parts.  Discounts
 follow from the counts of ones and twos, and strengths are fitted to the seating, both
@@ -25,9 +26,9 @@ the distinct contexts and pairs of its texts with their training counts (0 for p
 that only held-out texts have), sorted and packed; the part adds them up, seats its
 restaurants, and answers with the figures of the same contexts and pairs in the same
 order.  So what is gathered grows with the corpus, and a frequent pair costs one entry a
-block.  A context that makes up one token in HOT of a sample of SAMPLE texts is split by
-the hashes of its dishes into ROOMS rooms that go to different parts; the sample only
-decides where pairs are counted, not what they count.  The text is shuffled once.  Words
+block.  A context that makes up one token in HOT of all texts is split by the hashes of
+its dishes into ROOMS rooms that go to different parts, which seat them apart.  The text
+is shuffled once.  Words
 are told apart by a 64-bit hash, the dishes of one context by its upper half.
 
 Defined results: null text counts as empty and is one end token; a null doc_id is not
@@ -58,8 +59,6 @@ PART_BYTES = 16 << 20  # text that one part of the model stands for
 FLUSH_TOKENS = 4_000_000
 HOT = 500
 ROOMS = 256
-SAMPLE = 2000
-SAMPLE_BYTES = 1 << 16  # the sample for hot contexts takes texts of at most so many bytes
 END = np.uint64(0xFFFFFFFFFFFFFFFF)  # stands for the end token among word hashes
 _U32 = np.uint64(32)
 
@@ -105,16 +104,6 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
 
 
-def code16(x: np.ndarray) -> np.ndarray:
-    """Numbers of 0 or from 2 ** -11 up in 16 bits: 6 of the exponent, 10 of what follows its first bit, the rest cut off."""
-    m, e = np.frexp(x)
-    return np.where(x > 0, (np.clip(e + 10, 0, 63) << 10) | ((m - 0.5) * 2048).astype(np.int64), 0).astype(np.uint16)
-
-
-def decode16(c: np.ndarray) -> np.ndarray:
-    return np.where(c > 0, np.ldexp((c & np.uint16(1023)) / 2048 + 0.5, (c >> np.uint16(10)).astype(np.int64) - 10), 0.0)
-
-
 def room(context: np.ndarray, dish: np.ndarray) -> np.ndarray:
     """Key of the room of a split context that serves a dish."""
     return tc.mix(context + (tc.mix(dish) % np.uint64(ROOMS) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
@@ -330,8 +319,8 @@ def _seat(shared, bits: int):
         mean, discount, strength = seat_part(restaurant[context[known]], served[known], count[known], seated, scale, 1 << bits, [11, part])
         tables = np.zeros(len(pairs))
         tables[known] = mean
-        code = code16(np.maximum(count - discount * tables, 0))
-        left = np.bincount(context, count - decode16(code), len(every))  # with what the code cuts off, so that all still adds up
+        own = np.maximum(count - discount * tables, 0).astype(np.float32)
+        left = np.bincount(context, count - own.astype(np.float64), len(every))  # with what 32 bits cut off, so that all still adds up
         rows = []
         # what a room leaves goes to its context's part, what the tables take from words to the words' parts
         sent = [(owner[np.minimum(base, len(rooms) - 1)][is_room], left[is_room], 3)] if is_room.any() else []
@@ -346,7 +335,7 @@ def _seat(shared, bits: int):
         rows.append((part, 0, -1, pack_sorted(every[word]), pack(customers[word].astype(np.int64)), pack(left[word].astype(np.float32)), strength))
         lo = 0
         for block, k, d in zip(table["block"].to_pylist(), keys, dish):
-            rows.append((part, 2, block, pack_sorted(k), None, pack(code[at[lo : lo + len(d)]]), 0.0))
+            rows.append((part, 2, block, pack_sorted(k), None, pack(own[at[lo : lo + len(d)]]), 0.0))
             lo += len(d)
         return _columns(rows, _SEATED, _SEATED_TYPES)
 
@@ -421,7 +410,7 @@ def pair_probabilities(b: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndar
     n, left, parent = both("n", np.int64)[at], both("left", np.float32)[at].astype(np.float64), both("parent", np.float32)[at].astype(np.float64)
     strength = np.repeat(answers["strength"].to_numpy(), [len(x) // 8 for x in answers["n"].to_pylist()])[at]
     own = np.empty(len(b.order))
-    own[b.order] = decode16(both("own", np.uint16))
+    own[b.order] = both("own", np.float32)
     u = b.context_of
     return (own + (strength[u] + left[u]) * parent[b.dish_of]) / (strength[u] + n[u]), n
 
@@ -480,10 +469,8 @@ def _sizes(table: pa.Table) -> pa.Table:
 
 
 def hot_contexts(rows: DataFrame) -> np.ndarray:
-    """Words that make up one token in HOT of a sample of about SAMPLE texts: HOT of them at most."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.where(F.octet_length("text") <= SAMPLE_BYTES).sample(False, share, 7).select("text")
-    counts = some.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """Words that make up one token in HOT of all texts: HOT of them at most, and the same however the rows are dealt."""
+    counts = materialize(rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     got = counts.where(F.col("n") * HOT >= total).collect()
     return np.array(sorted(r.word % (1 << 64) for r in got), np.uint64)
