@@ -169,8 +169,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUP
     hot = found.where(F.col("copies") * HOT >= total).select("url", F.lit(True).alias("hot"), F.col("mined_rule").alias("r"), F.col("confidence").alias("c"))
     out = urls.join(F.broadcast(hot), "url", "left")  # HOT rows at most
     given = out.where(F.col("hot")).select("page_id", "url", F.col("r").alias("mined_rule"), F.col("c").alias("confidence"))
-    rest = out.where(F.col("hot").isNull()).select("page_id", "url").join(found.where(F.col("mined_rule").isNotNull() & (F.col("copies") * HOT < total)).drop("copies"), "url", "left")
-    out = given.unionByName(rest)
+    rest = out.where(F.col("hot").isNull()).select("page_id", "url")
+    # blocked urls grow with the pages and are far larger in memory than in the file the planner would go by: never broadcast
+    blocked = found.where(F.col("mined_rule").isNotNull() & (F.col("copies") * HOT < total)).drop("copies").hint("merge")
+    none = rest.where(F.col("url").isNull()).select("page_id", "url", F.lit(None).cast("string").alias("mined_rule"), F.lit(None).cast("double").alias("confidence"))
+    out = given.unionByName(rest.where(F.col("url").isNotNull()).join(blocked, "url", "left")).unionByName(none)
     out = out.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     out = out.withColumn("given", given_rule(F.col("host"), F.col("path"), rules))
     learned = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
