@@ -631,7 +631,7 @@ def test_rules_of_urls_with_many_tokens_equal_brute_force(spark):
 def test_query_equals_sql(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, d).select(*want.columns).collect()
