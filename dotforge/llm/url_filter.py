@@ -19,8 +19,7 @@ if the url's path starts with the rule's path, and the longest rule wins.
 Scale.  Matching runs once per distinct url and joins back, so copies of a url cost
 one match; the urls that make up one row in HOT or more (HOT of them at most) get theirs
 by broadcast, so that no copy of them is gathered in one task.  Tokens meet the rule index
-under one of SALTS salts, by which common tokens are spread.  The rule index is broadcast
-only if Spark sees that it is small enough.
+under one of SALTS salts, by which common tokens are spread; both sides are shuffled.
 
 Defined results: null url, or one without "://", has empty host and path, no rule,
 no tokens and verdict allow; null or repeated page_ids are ordinary rows; empty
@@ -155,7 +154,8 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     index = used.join(share, "token").groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence"))
     index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     have = seen.select("url", tokens(F.col("url")).alias("have")).withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
-    hit = have.select("url", "have", "salt", F.explode("have").alias("token")).join(index, ["token", "salt"])
+    # the planner would go by the size of the written urls, which is far below that of their tokens: never broadcast
+    hit = have.select("url", "have", "salt", F.explode("have").alias("token")).join(index.hint("merge"), ["token", "salt"])
     hit = hit.where(F.size(F.array_except("tokens", "have")) == 0)
     best = hit.groupBy("url").agg(F.max(F.struct("confidence", "rule")).alias("b"))
     return seen.join(best, "url", "left").select("url", "copies", F.col("b.rule").alias("mined_rule"), F.col("b.confidence").alias("confidence"))
