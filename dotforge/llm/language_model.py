@@ -23,7 +23,7 @@ part by part.
 
 Scale.  Texts are dealt into blocks of about BLOCK_BYTES.  A block sends, to each part,
 the distinct contexts and pairs of its texts with their training counts (0 for pairs
-that only held-out texts have), sorted and packed; the part adds them up, seats its
+that only held-out texts have), sorted and packed without loss; the part adds them up, seats its
 restaurants, and answers with the figures of the same contexts and pairs in the same
 order.  So what is gathered grows with the corpus, and a frequent pair costs one entry a
 block.  A context that makes up one token in HOT of all texts is split by the hashes of
@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +87,30 @@ def text_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(first)
 
 
-# packed columns: bytes of equal weight stand together, so that the shuffle's compression finds their zeros
+# packed columns: bytes of equal weight stand together and are compressed, which loses nothing
 def pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1) if len(x) else b""
 
 
 def unpack(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    flat = np.frombuffer(zstandard.decompress(raw) if raw else b"", np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_repeated(x: np.ndarray) -> bytes:
+    """32-bit values of which most occur often: the distinct ones, commonest first, and the place of each among them."""
+    values, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(values), np.uint32)
+    place[order] = np.arange(len(values), dtype=np.uint32)
+    head = pack(values[order])
+    return len(head).to_bytes(4, "big") + head + pack(place[at])
+
+
+def unpack_repeated(raw: bytes, kind) -> np.ndarray:
+    end = 4 + int.from_bytes(raw[:4], "big")
+    return unpack(raw[4:end], kind)[unpack(raw[end:], np.uint32)]
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -330,12 +347,12 @@ def _seat(shared, bits: int):
             order = np.argsort(key)
             key, value, to = key[order], value[order].astype(np.float32), part_of(key[order], bits)
             cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
-            rows += [(int(to[lo]), kind, part, pack_sorted(key[lo:hi]), None, pack(value[lo:hi]), 0.0) for lo, hi in zip(cut, [*cut[1:], len(to)])]
+            rows += [(int(to[lo]), kind, part, pack_sorted(key[lo:hi]), None, pack_repeated(value[lo:hi]), 0.0) for lo, hi in zip(cut, [*cut[1:], len(to)])]
         word = np.flatnonzero(~is_room & (customers > 0))
-        rows.append((part, 0, -1, pack_sorted(every[word]), pack(customers[word].astype(np.int64)), pack(left[word].astype(np.float32)), strength))
+        rows.append((part, 0, -1, pack_sorted(every[word]), pack(customers[word].astype(np.int64)), pack_repeated(left[word].astype(np.float32)), strength))
         lo = 0
         for block, k, d in zip(table["block"].to_pylist(), keys, dish):
-            rows.append((part, 2, block, pack_sorted(k), None, pack(own[at[lo : lo + len(d)]]), 0.0))
+            rows.append((part, 2, block, pack_sorted(k), None, pack_repeated(own[at[lo : lo + len(d)]]), 0.0))
             lo += len(d)
         return _columns(rows, _SEATED, _SEATED_TYPES)
 
@@ -373,11 +390,11 @@ def _answer(total: int, bits: int):
         words, n, left, strength = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), 1.0
         for kind, _, k, c, own, s in rows:
             if kind == 0:
-                words, n, left, strength = unpack_sorted(k), unpack(c, np.int64), unpack(own, np.float32).astype(np.float64), s
+                words, n, left, strength = unpack_sorted(k), unpack(c, np.int64), unpack_repeated(own, np.float32).astype(np.float64), s
         customers = n.astype(np.float64)
         # in a fixed order, so that sums do not depend on what arrives first
         for kind, _, k, _, own, _ in sorted((r for r in rows if r[0] in (1, 3)), key=lambda r: r[:2]):
-            k, value = unpack_sorted(k), unpack(own, np.float32)
+            k, value = unpack_sorted(k), unpack_repeated(own, np.float32)
             at = np.minimum(np.searchsorted(words, k), max(0, len(words) - 1))
             ok = (words[at] >> _U32) == (k >> _U32) if len(words) else np.zeros(len(k), bool)
             np.add.at(customers if kind == 1 else left, at[ok], -value[ok] if kind == 1 else value[ok])
@@ -391,8 +408,8 @@ def _answer(total: int, bits: int):
                 ok = words[at] == k if len(words) else np.zeros(len(k), bool)
                 pick = lambda x, other: np.where(ok, x[at], other) if len(words) else np.full(len(k), other)
                 out.append((
-                    block, part, pack(pick(n, 0).astype(np.int64)), pack(pick(left, 0.0).astype(np.float32)), strength,
-                    pack(pick(parent, unknown).astype(np.float32)), own,
+                    block, part, pack(pick(n, 0).astype(np.int64)), pack_repeated(pick(left, 0.0).astype(np.float32)), strength,
+                    pack_repeated(pick(parent, unknown).astype(np.float32)), own,
                 ))
         return _columns(out, _ANSWER, _ANSWER_TYPES)
 
@@ -405,12 +422,13 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def pair_probabilities(b: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(P of each pair of a block, training count of each of its words) from the answers of all parts that it has words in."""
     answers = answers.sort_by("part")
-    both = lambda c, kind: np.concatenate([np.zeros(0, kind), *(unpack(x, kind) for x in answers[c].to_pylist())])
+    both = lambda c: np.concatenate([np.zeros(0, np.float32), *(unpack_repeated(x, np.float32) for x in answers[c].to_pylist())])
     at = np.searchsorted(b.keys, b.words)
-    n, left, parent = both("n", np.int64)[at], both("left", np.float32)[at].astype(np.float64), both("parent", np.float32)[at].astype(np.float64)
-    strength = np.repeat(answers["strength"].to_numpy(), [len(x) // 8 for x in answers["n"].to_pylist()])[at]
+    counts = [unpack(x, np.int64) for x in answers["n"].to_pylist()]
+    n, left, parent = np.concatenate([np.zeros(0, np.int64), *counts])[at], both("left")[at].astype(np.float64), both("parent")[at].astype(np.float64)
+    strength = np.repeat(answers["strength"].to_numpy(), [len(x) for x in counts])[at]
     own = np.empty(len(b.order))
-    own[b.order] = both("own", np.float32)
+    own[b.order] = both("own")
     u = b.context_of
     return (own + (strength[u] + left[u]) * parent[b.dish_of]) / (strength[u] + n[u]), n
 

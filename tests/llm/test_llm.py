@@ -477,6 +477,16 @@ def test_model_beats_single_words_on_held_out_texts(spark):
     assert abs(np.mean(gap)) < 0.1 and max(map(abs, gap)) < 0.25
 
 
+def test_packing_loses_nothing():
+    rng = np.random.default_rng(33)
+    for x in (np.zeros(0), np.array([0.25]), rng.choice(rng.random(50), 10_000), rng.random(1000)):
+        x = x.astype(np.float32)
+        assert np.array_equal(language_model.unpack_repeated(language_model.pack_repeated(x), np.float32), x)
+        assert np.array_equal(language_model.unpack(language_model.pack(x), np.float32), x)
+    keys = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+    assert np.array_equal(language_model.unpack_sorted(language_model.pack_sorted(keys)), keys)
+
+
 def test_fingerprints_of_neighbours(spark, corpus):
     docs = frame(spark, corpus)
     rows = {r.doc_id: r for r in fingerprint.neighbours(docs, range_bytes=3000).collect()}
