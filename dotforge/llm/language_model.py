@@ -11,15 +11,17 @@ P(w | u) = (c(u,w) - d t(u,w) + (s + d t(u)) P(w)) / (s + c(u)), and likewise fo
 
 Inference.  Seating is sampled by Gibbs.  A sweep takes all customers of a dish out of
 its restaurant and seats them again in turn, given the tables of the other dishes;
-seat() takes them one by one, and from the 40th on a twentieth of those seated at a time.
+seat() takes them one by one, and from the 40th on a twentieth of those seated at a time,
+and takes one of DRAWS such seatings by importance weights.
 COLOURS classes of dishes take turns, with the restaurants'
-tables brought up to date between them.  A context's tables and strengths are averaged
-over the sweeps after the burn-in and its probabilities follow from the averages; the
-parent's probabilities are themselves averaged.  A part holds a hash sample of the contexts; while it seats
-them, the parent's customers are its own tables, those of other contexts scaled up to
-all parts.  The parent itself is then seated on the tables of all parts.  Discounts
-follow from the counts of ones and twos, and strengths are fitted to the seating, both
-part by part.
+tables brought up to date between them.  Discounts follow from the counts of ones and twos,
+and strengths are fitted to the seating during the burn-in, both part by part.  After the
+burn-in they stand fixed, so that a context's probabilities are linear in its tables: those
+at the mean tables, which travel, are the mean of the sweeps' probabilities.  The
+parent's probabilities are averaged as such.  A part holds a hash sample of the contexts and seats
+the parent along with them, sweep by sweep, on its own tables: a sample of all the parent's
+customers, in which the tables of the dish being seated weigh as one part in all.  The
+parent that words are scored by is then seated on the tables of all parts.
 
 Scale.  Texts are dealt into blocks of about BLOCK_BYTES.  A block sends, to each part,
 the distinct contexts and pairs of its texts with their training counts (0 for pairs
@@ -54,6 +56,9 @@ from .common import crc_mod, materialize
 
 SWEEPS = 6
 BURN_IN = 3
+DRAWS = 8  # seatings of a dish, of which one is taken
+SLICE = 1 << 15  # pairs that are seated at a time
+FIT_STEPS = 4  # of the strength, after a sweep of the burn-in
 COLOURS = 4
 BLOCK_BYTES = 10 << 20
 PART_BYTES = 16 << 20  # text that one part of the model stands for
@@ -221,30 +226,49 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r / 252)) - low
 
 
-def seat(count: np.ndarray, other: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+def seat(
+    count: np.ndarray, other: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng: np.random.Generator, slope: np.ndarray | None = None, draws: int = 1
+) -> np.ndarray:
     """Tables that `count` customers of one dish take, seated in turn, per row; other: the restaurant's tables of other dishes.
 
     With j seated at t tables, the next one opens a table with odds a : j - d t, where a is
-    (strength + d * all tables) * parent.  A step seats a twentieth of those seated, and one at
-    least; more than one at a time open tables with the probability halfway through the step.
+    (strength + d * all tables) * (parent + slope * t): the tables opened so far are customers of the parent.
+    A step seats a twentieth of those seated, and one at least; more than one at a time open
+    tables with the probability halfway through the step.  Seating in turn looks at no later
+    customer, so it is off the posterior by the product of a + j - d t over the steps: of
+    several draws one is taken with odds in that proportion.
     """
-    tables = np.minimum(count, 1).astype(np.int64)
-    live, seated = np.flatnonzero(count > 1), 1
-    while len(live):
-        t, p, rest = tables[live], parent[live], strength + discount * other[live]
-        add = np.minimum(count[live] - seated, max(1, seated // 20))
-
-        def chance(j, t):
-            a = (rest + discount * t) * p
-            return a / (a + np.maximum(j - discount * t, 1e-9))
-
-        now = chance(seated, t)
-        if seated >= 40:
-            now = chance(seated + (add - 1) / 2, t + now * (add - 1) / 2)
-        tables[live] = t + rng.binomial(add, np.minimum(now, 1.0))
-        seated += max(1, seated // 20)
-        live = live[count[live] > seated]
-    return tables
+    slope = np.zeros(len(count)) if slope is None else slope
+    out = np.minimum(count, 1).astype(np.int64)
+    for lo in range(0, len(count), SLICE):
+        at = slice(lo, lo + SLICE)
+        own, p0, more, rest = count[at], parent[at], slope[at], strength + discount * other[at]
+        tables = np.tile(out[at], (draws, 1))
+        weight = np.zeros(tables.shape)
+        live, seated = np.flatnonzero(own > 1), 1
+        while len(live):
+            t, p, up, r = tables[:, live], p0[live], more[live], rest[live]
+            add = np.minimum(own[live] - seated, max(1, seated // 20))
+
+            def odds(j, t):
+                opened = (r + discount * t) * np.minimum(p + up * t, 1.0)
+                return opened, opened + np.maximum(j - discount * t, 1e-9)
+
+            new, every = odds(seated, t)
+            if seated >= 40:
+                new, every = odds(seated + (add - 1) / 2, t + new / every * (add - 1) / 2)
+                t += rng.binomial(add, np.minimum(new / every, 1.0))
+            else:
+                t += rng.random(t.shape) * every < new
+            tables[:, live] = t
+            if draws > 1:
+                weight[:, live] += add * np.log(every)
+            seated += max(1, seated // 20)
+            live = live[own[live] > seated]
+        # the largest of the weights' logarithms with Gumbel noise falls on each draw with odds in proportion to its weight
+        pick = (weight - np.log(-np.log(rng.random(weight.shape)))).argmax(0) if draws > 1 else np.zeros(len(own), np.int64)
+        out[at] = tables[pick, np.arange(len(own))]
+    return out
 
 
 def discount_of(count: np.ndarray) -> float:
@@ -270,25 +294,35 @@ def seat_part(context: np.ndarray, dish: np.ndarray, count: np.ndarray, customer
     """
     rng = np.random.default_rng(seed)
     discount, strength = discount_of(count), 1.0
-    tables, kept, strengths = np.minimum(count, 1), np.zeros(len(count)), []
+    tables, kept = np.minimum(count, 1), np.zeros(len(count))
     contexts, dishes = len(customers), int(dish.max()) + 1 if len(dish) else 0
     unsplit = scale == 1
+    above, above_strength = np.ones(dishes, np.int64), 1.0  # the parent's tables, seated on the tables of the part
     colour = dish % COLOURS
     many = [np.flatnonzero((count > 1) & (colour == k)) for k in range(COLOURS)]
     for sweep in range(SWEEPS if len(count) else 0):
+        taken = np.bincount(dish, tables, dishes).astype(np.int64)
+        above_discount = discount_of(taken)
+        above = seat(taken, above.sum() - above, np.full(dishes, 1 / (dishes + 1)), above_discount, above_strength, rng, draws=DRAWS)
+        above_strength = fit_strength(above_strength, above_discount, taken.sum(keepdims=True), above.sum(keepdims=True))
+        everyone = above_strength + taken.sum()
+        back = (above_strength + above_discount * above.sum()) / everyone / (dishes + 1)
+        left = (1 - above_discount * above / np.maximum(taken, 1)) / everyone  # what each table of a dish adds to its probability
         for at in many:
             if not len(at):
                 continue
             own = tables[at]
             whole = np.bincount(context, tables, contexts)[context[at]] * scale[context[at]] - own
             served = np.bincount(dish, tables, dishes)[dish[at]] - own
-            parent = (own + parts * served) / max(1.0, float(parts) * tables.sum())
-            tables[at] = seat(count[at], whole, np.minimum(parent, 1.0), discount, strength, rng)
-        strength = fit_strength(strength, discount, customers[unsplit], np.bincount(context, tables, contexts)[unsplit])
+            each = left[dish[at]]
+            tables[at] = seat(count[at], whole, each * served + back, discount, strength, rng, each / parts, DRAWS)
         if sweep >= BURN_IN:
             kept += tables
-            strengths.append(strength)
-    return kept / max(1, len(strengths)), discount, float(np.mean(strengths)) if strengths else strength
+            continue
+        all_tables = np.bincount(context, tables, contexts)[unsplit]
+        for _ in range(FIT_STEPS):
+            strength = fit_strength(strength, discount, customers[unsplit], all_tables)
+    return kept / (SWEEPS - BURN_IN), discount, strength
 
 
 # kind 0: words of a part (keys, n, left, strength); 1: customers that a part's tables take from words (keys: dishes, own); 2: an answer
@@ -372,7 +406,7 @@ def parent_of(customers: np.ndarray, share: float, seed: list[int]) -> tuple[np.
     tables, p, unknown, kept = np.minimum(c, 1), np.zeros(v), 0.0, 0
     for sweep in range(SWEEPS):
         if v:
-            tables = seat(c, tables.sum() - tables, np.full(v, base), discount, strength, rng)
+            tables = seat(c, tables.sum() - tables, np.full(v, base), discount, strength, rng, draws=DRAWS)
             strength = fit_strength(strength, discount, np.array([c.sum()]), np.array([tables.sum()]))
         if sweep >= BURN_IN:
             back = (strength + discount * tables.sum()) / (strength + c.sum()) * base

@@ -477,6 +477,125 @@ def test_model_beats_single_words_on_held_out_texts(spark):
     assert abs(np.mean(gap)) < 0.1 and max(map(abs, gap)) < 0.25
 
 
+def test_weighted_draws_follow_the_posterior_of_tables():
+    rng = np.random.default_rng(14)
+    for c, other, parent, d, s in ((3, 5, 0.3, 0.5, 1.0), (10, 7, 0.1, 0.7, 1.0), (40, 7, 0.02, 0.8, 2.0), (60, 50, 0.01, 0.5, 0.5)):
+        ways = np.zeros((c + 1, c + 1))  # of seating n customers at t tables, up to a factor a row
+        ways[0, 0] = 1
+        for n in range(c):
+            for t in range(n + 2):
+                ways[n + 1, t] = (ways[n, t - 1] if t else 0) + (n - d * t) * ways[n, t]
+            ways[n + 1] /= ways[n + 1].max()
+        odds = np.array([ways[c, t] * math.prod((s + d * (other + i)) * parent for i in range(t)) for t in range(c + 1)])
+        want = odds @ np.arange(c + 1) / odds.sum()
+        got = {k: language_model.seat(np.full(6000, c), np.full(6000, other), np.full(6000, parent), d, s, rng, draws=k).mean() for k in (1, language_model.DRAWS, 200)}
+        print(c, want, got)
+        assert abs(got[200] - want) < 0.03 * want and abs(got[language_model.DRAWS] - want) < 0.12 * want
+
+
+def plain_pitman_yor(train, sweeps=60, burn_in=20, seed=4):
+    """P(word, context before) of a two-level model sampled customer by customer, both levels together, over lists of words."""
+    import random
+
+    rng = random.Random(seed)
+    pairs = [(u, w) for t in train for u, w in zip([None, *t], [*t, None])]
+    known = {w for _, w in pairs}
+    base = 1 / (len(known) + 1)
+
+    def ones_and_twos(counts):
+        one, two = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5
+
+    class Restaurant:
+        def __init__(self):
+            self.at, self.customers, self.tables = {}, 0, 0
+
+        def p(self, w, d, s, below):
+            own = self.at.get(w, ())
+            return (sum(own) - d * len(own) + (s + d * self.tables) * below) / (s + self.customers)
+
+        def add(self, w, d, s, below):
+            own = self.at.setdefault(w, [])
+            k = rng.choices(range(len(own) + 1), [n - d for n in own] + [(s + d * self.tables) * below])[0]
+            self.customers += 1
+            if k < len(own):
+                own[k] += 1
+                return False
+            own.append(1)
+            self.tables += 1
+            return True
+
+        def remove(self, w):
+            own = self.at[w]
+            k = rng.choices(range(len(own)), own)[0]
+            own[k] -= 1
+            self.customers -= 1
+            if own[k]:
+                return False
+            del own[k]
+            self.tables -= 1
+            return True
+
+    def likeliest(d, rooms):
+        def fit(s):
+            prior = math.log(s) - s
+            return prior + sum(sum(math.log(s + d * i) for i in range(1, r.tables)) - sum(math.log(s + j) for j in range(1, r.customers)) for r in rooms)
+
+        return max((0.02 * 1.3**i for i in range(32)), key=fit)
+
+    context, parent, d, s = {u: Restaurant() for u, _ in pairs}, Restaurant(), [ones_and_twos(Counter(pairs).values()), 0.5], [1.0, 1.0]
+    below = lambda w: parent.p(w, d[1], s[1], base)
+    kept, seen = Counter(), 0
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if sweep and context[u].remove(w):
+                parent.remove(w)
+            if context[u].add(w, d[0], s[0], below(w)):
+                parent.add(w, d[1], s[1], base)
+        if sweep < burn_in:
+            d[1] = ones_and_twos([sum(x) for x in parent.at.values()])
+            s = [likeliest(d[0], context.values()), likeliest(d[1], [parent])]
+            continue
+        seen += 1
+        for u in [*context, 0]:
+            for w in [*known, 0]:
+                kept[u, w] += context[u].p(w, d[0], s[0], below(w)) if u in context else below(w)
+    return lambda u, w: kept[u if u in context else 0, w if w in known else 0] / seen
+
+
+def test_scores_equal_a_plain_sampler(spark):
+    rng = np.random.default_rng(31)
+    vocabulary = WORDS[:60]
+    after = {w: rng.choice(vocabulary, 4) for w in vocabulary}
+    texts = []
+    for _ in range(200):
+        w = [str(rng.choice(vocabulary[:12]))]
+        while len(w) < 18:
+            w.append(str(rng.choice(after[w[-1]], p=[0.5, 0.25, 0.15, 0.1])) if rng.random() < 0.7 else vocabulary[min(59, int(rng.geometric(0.06)))])
+        texts.append(" ".join(w))
+    texts[3] += " neverseen words"
+    words = [t.split() for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    p = plain_pitman_yor([w for w, h in zip(words, held) if not h])
+    want = np.array([sum(math.log10(p(u, w)) for u, w in zip([None, *t], [*t, None])) for t in words])
+    got = {r.doc_id: r.score for r in language_model.score(frame(spark, texts)).collect()}
+    got = np.array([got[i] for i in range(len(texts))])
+    n = np.array([len(w) + 1 for w in words])
+    for h in (np.array(held), ~np.array(held)):
+        gap = (got - want)[h] / n[h]
+        print(want[h].sum() / n[h].sum(), got[h].sum() / n[h].sum(), np.abs(gap).max())
+        assert abs((got - want)[h].sum() / n[h].sum()) < 0.01 and np.abs(gap).max() < 0.04  # log10 a token
+    assert np.corrcoef(got, want)[0, 1] > 0.99
+
+
+def test_a_text_longer_than_a_block_is_scored_as_a_whole(spark):
+    rng = np.random.default_rng(32)
+    long = prose(rng, 9000)
+    got = {r.doc_id: r for r in language_model.score(frame(spark, [long, "one two", None, long[:3000]]), block_bytes=1000, part_bytes=4000).collect()}
+    assert got[0].n_tokens == 9001 and got[2].n_tokens == 1 and len(got) == 4
+    assert got[0].base_score < got[3].base_score < 0 and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+
+
 def test_packing_loses_nothing():
     rng = np.random.default_rng(33)
     for x in (np.zeros(0), np.array([0.25]), rng.choice(rng.random(50), 10_000), rng.random(1000)):
