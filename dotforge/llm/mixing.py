@@ -19,7 +19,10 @@ Each take has its own position; documents are range-sorted by that of their firs
 
 Scale.  A source of any size is cut into hash buckets: sums per (source, bucket)
 first, running totals over those, then a running total inside each bucket, so no
-task holds a source, and rows without ids are spread by their texts.  Sources are
+task holds a source, and rows without ids are spread by their texts.  Without keep, rows
+equal in id, text and source are counted first and stand as one row for up to COPIES of
+them; further ones are ordered, and dealt to buckets, by the number of their COPIES too.
+With keep, rows carry all their columns and equal ones share a bucket.  Sources are
 numbered range by range.
 
 Defined results: null text has size 0; a source without words has target 0; null
@@ -42,6 +45,15 @@ CYCLE = 3
 MOST = 3
 TILT = (-0.8, 0.0, 0.8)
 BUCKET_ROWS = 20_000
+COPIES = 1000
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(doc_id, source, size, ord) -> the same with n: a row for up to COPIES equal ones; the first COPIES keep their order."""
+    same = rows.groupBy("doc_id", "source", "size", "ord").agg(F.count(F.lit(1)).alias("all"))
+    dealt = same.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / COPIES))))
+    order = F.when(F.col("nth") == 0, F.col("ord")).otherwise(F.md5(F.concat("ord", F.lit(":"), F.col("nth").cast("string"))))
+    return dealt.select("doc_id", "source", "size", order.alias("ord"), F.least(F.lit(COPIES), F.col("all") - F.col("nth") * COPIES).cast("int").alias("n"))
 
 
 def word_count(text: str) -> Column:
@@ -87,15 +99,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         *([F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row")] if keep else []),
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), order.alias("ord"),
     )
-    slim = materialize(base.drop("row"))
-    rows = slim.count()
+    slim = base.drop("row")
+    slim = materialize(slim.withColumn("n", F.lit(1)) if keep else counted(slim))
+    rows = slim.agg(F.sum("n")).first()[0] or 0
     digits = 0
     while rows / 16**digits > BUCKET_ROWS:
         digits += 1
-    targets = source_targets(slim)
+    words = (F.col("size") * F.col("n")).alias("size")
+    targets = source_targets(slim.select("source", words))
     bucket = F.substring("ord", 1, digits) if digits else F.lit("")
     slim = slim.withColumn("bucket", bucket)
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    sums = slim.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
@@ -104,10 +118,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = targets.agg(F.sum(F.col("target") * F.col("tilt")), F.sum(F.col("target") * (1 - F.col("tilt")))).first()
     a, b = float(whole[0] or 0), float(whole[1] or 0)
 
-    body = base.withColumn("bucket", bucket) if keep else slim
+    body = base.withColumns({"bucket": bucket, "n": F.lit(1)}) if keep else slim
     inner = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = body.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    placed = body.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inner), F.lit(0)))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left")
+    if not keep:
+        placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("inside", F.col("inside") + F.col("copy") * F.col("size"))
     at = F.col("ahead") + F.col("inside")
     aim = F.floor("target")
     full = F.when(F.col("source_size") > 0, F.floor(aim / F.col("source_size"))).otherwise(0).cast("long")

@@ -274,6 +274,30 @@ def test_mixing_equals_sql_and_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_deals_equal_rows_to_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 10)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rng = np.random.default_rng(21)
+    own = [prose(rng, int(n)) for n in rng.integers(0, 9, 60)]
+    texts = ["same four words here"] * 437 + own + [None] * 25
+    ids, sources = [7] * 437 + list(range(100, 160)) + [None] * 25, ["a"] * 437 + ["a", "b", "c"] * 20 + [None] * 25
+    docs = frame(spark, texts, ids, sources)
+    slim = docs.select("doc_id", "source", mixing.word_count("text").alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("ord"))
+    counted = mixing.counted(slim)
+    assert counted.agg(F.sum("n"), F.max("n")).first()[:] == (len(texts), 10)
+    assert counted.where("doc_id = 7").select("ord").distinct().count() == 44
+    out = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in out) == Counter((i, len((t or "").split())) for i, t in zip(ids, texts))
+    own_words = {s: sum(len((t or "").split()) for t, x in zip(texts, sources) if x == s) for s in ("a", "b", "c")}
+    of = dict(zip(ids, sources))
+    for s, size in own_words.items():
+        rows = [r for r in out if of[r.doc_id] == s]
+        assert {r.source_size for r in rows} == {size} and abs(sum(r.taken for r in rows) - rows[0].target) < 1.01
+        assert all(r.taken <= 3 * r["size"] for r in rows)
+    starts = [(of[r.doc_id], p) for r in out for p in r.positions]
+    assert len(set(starts)) == len(starts)  # no two takes of a source start at one word
+
+
 def test_takes_follow_the_integrated_schedules(spark):
     rng = np.random.default_rng(15)
     names = ["a", "b", "c", "d"]
