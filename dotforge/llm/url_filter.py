@@ -96,14 +96,15 @@ def tokens(url: Column) -> Column:
 def labelled(pages: DataFrame, labels: DataFrame, support: float) -> tuple[DataFrame, DataFrame]:
     """((row, bad, t): the sorted frequent tokens of every labelled url; (token, n) of those tokens)."""
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
-    seen = pages.select("page_id", "url").join(bad, "page_id")
+    # labels and what is kept of the urls grow with the input, and the planner would go by their compressed size: never broadcast
+    seen = pages.select("page_id", "url").join(bad.hint("merge"), "page_id")
     seen = materialize(seen.select(F.monotonically_increasing_id().alias("row"), "bad", tokens(F.col("url")).alias("tokens")))
     least = F.greatest(F.lit(seen.count() * support), F.lit(LEAST_HITS))
     flat = seen.select("row", F.explode("tokens").alias("token"))
     often = materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
     kept = flat.join(often.select("token"), "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("t"))
     none = F.array().cast("array<string>")
-    return materialize(seen.select("row", "bad").join(kept, "row", "left").select("row", "bad", F.coalesce("t", none).alias("t"))), often
+    return materialize(seen.select("row", "bad").join(kept.hint("merge"), "row", "left").select("row", "bad", F.coalesce("t", none).alias("t"))), often
 
 
 def baskets(held: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     hit = have.select("url", "have", "salt", F.explode("have").alias("token")).join(index.hint("merge"), ["token", "salt"])
     hit = hit.where(F.size(F.array_except("tokens", "have")) == 0)
     best = hit.groupBy("url").agg(F.max(F.struct("confidence", "rule")).alias("b"))
-    return seen.join(best, "url", "left").select("url", "copies", F.col("b.rule").alias("mined_rule"), F.col("b.confidence").alias("confidence"))
+    return seen.join(best.hint("merge"), "url", "left").select("url", "copies", F.col("b.rule").alias("mined_rule"), F.col("b.confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
