@@ -48,6 +48,7 @@ MOST_ANTECEDENT = 3
 GROUP = 4
 HOT = 1000
 SALTS = 16
+MOST_BROADCAST = 20_000  # candidate rules; beyond that they meet the urls by shuffle
 MARK = "!bad"
 
 
@@ -129,6 +130,9 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     asked = materialize(marked.select(F.array_sort(F.array_remove("items", MARK)).alias("tokens")).where(F.size("tokens") > 0))
     # each candidate is counted over the urls that hold its rarest token
     lead = asked.select("tokens", F.explode("tokens").alias("token")).join(often, "token").groupBy("tokens").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    lead = materialize(lead)
+    # the urls' tokens are never the side to broadcast
+    lead = F.broadcast(lead) if lead.count() <= MOST_BROADCAST else lead.hint("merge")
     met = held.select("bad", "t", F.explode("t").alias("token")).join(lead, "token").where(F.size(F.array_except("tokens", "t")) == 0)
     rules = met.groupBy("tokens").agg(F.count(F.lit(1)).alias("freq"), F.sum("bad").alias("hits"))
     rules = materialize(rules.withColumn("confidence", F.col("hits") / F.col("freq")).where((F.col("confidence") >= confidence) & (F.col("hits") >= least)))
