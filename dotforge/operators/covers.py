@@ -7,16 +7,20 @@ members lie in a ball of the level before, and each is one table: node, parent,
 radius (the farthest member), probes.  A node is not split further if what is picked from
 it is one vector.
 
-A query walks down level by level: children of the nodes it still holds, as an equi-join on
-the parent, stay if ip(q, centre) + |q| * radius can reach its bound; what it holds when
-there are no more children are leaves, whose probes it meets in blocks.  Nodes number a
-fraction of the probes and are joined, never collected.
+A query walks down level by level: children of the nodes it still holds stay if
+ip(q, centre) + |q| * radius can reach its bound; what it holds when there are no more
+children are leaves, whose probes it meets.  The join walks inside the kernel's groups, over
+the nodes of a block of whole leaves (in_leaves, within_reach), so vectors are not copied a
+node; walk() does it over the tables of all nodes, as equi-joins on the parent, to count visits.
+Nodes number a fraction of the probes and are joined, never collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,48 @@ def build(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> tuple[DataFra
     return materialize(reduce(DataFrame.union, leaves)), levels
 
 
+def in_leaves(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+    """p with node, its leaf, and spread, which is one for the probes of a leaf unless they are more than a block."""
+    from .kernels import BLOCK
+
+    p = materialize(p)
+    members, _ = build(p, leaf, fanout)
+    parts = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    spread = F.xxhash64("node", F.pmod(F.xxhash64("pid"), F.col("parts")))
+    return p.join(members.join(parts, "node").select("pid", "node", spread.alias("spread")), "pid")
+
+
+def _balls(m: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(the ball of each leaf, centres, radii) level by level, leaves first, of the nodes over some vectors."""
+    leaves, at_leaf = np.unique(node, return_inverse=True)
+    up, out = leaves, []
+    while True:
+        which = np.unique(up, return_inverse=True)[1]
+        rows = which[at_leaf]
+        order = np.argsort(rows, kind="stable")
+        starts = np.searchsorted(rows[order], np.arange(which.max() + 1))
+        centre = np.add.reduceat(m[order], starts, axis=0) / np.diff(np.append(starts, len(m)))[:, None]
+        out.append((which, centre, np.maximum.reduceat(np.sqrt(((m - centre[rows]) ** 2).sum(1))[order], starts)))
+        if (up == 1).all():
+            return out
+        up = np.where(up > 1, up >> 4, up)  # child numbers take four bits
+
+
+def within_reach(g) -> Callable[[slice], np.ndarray]:
+    """For some queries of a kernels.Group: the probes of the leaves that a walk down the nodes over the group's probes leaves over."""
+    balls, at_leaf = _balls(g.p, g.node), np.unique(g.node, return_inverse=True)[1]
+
+    def look(at: slice) -> np.ndarray:
+        held = None
+        for which, centre, radius in reversed(balls):
+            reach = g.q[at] @ centre.T + g.qn[at, None] * radius
+            stay = (reach + EPS * (1 + np.abs(reach)) >= g.bound[at, None])[:, which]
+            held = stay if held is None else held & stay
+        return held[:, at_leaf]
+
+    return look
+
+
 def walk(q: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
     """((q.*, node) of the leaves that can hold a pair, (qid, node) of the visits of each level)."""
     names = q.columns

@@ -73,27 +73,26 @@ def run_log(queries: DataFrame, probes: DataFrame, bound: float | int, method: s
 
     (algorithm, probes, width, queries, bound, results, comparisons, seconds).  Results and
     comparisons are counted while the run makes them, so nothing is worked out twice; methods
-    that score inside a block kernel have no comparisons of their own (null).
+    that are not in joins.COUNTED have no comparisons of their own (null).
     """
     from . import joins
 
     seen = {"results": Observation(), "comparisons": Observation()}
-    rows = lambda df, n: df.observe(seen[n], F.count(F.lit(1)).alias("n"))
+    rows = lambda df, n, what: df.observe(seen[n], what.alias("n"))
     began = time.perf_counter()
     q, p, width = joins.prepare_both(queries, probes)
     if isinstance(bound, float):
         q = q.withColumn("bound", F.lit(bound))
     else:
         q = joins.top_k_bounds(q, p, bound)
-    met = joins.candidates(q, p, method) if method in joins.ROWS else joins.scored(q, p, method, width)
-    met = rows(met, "comparisons")
-    if method in joins.ROWS:
-        met = joins.products(met)
+    met = joins.scored(q, p, method, width, counted=method in joins.COUNTED, k=None if isinstance(bound, float) else bound)
+    if method in joins.COUNTED:
+        met = rows(met, "comparisons", F.coalesce(F.sum("compared"), F.lit(0))).where("compared IS NULL").drop("compared")
     out = met.where(F.col("score") >= bound).select("query_id", "probe_id", "score") if isinstance(bound, float) else joins.best(met, bound)
-    write(rows(out, "results"))
+    write(rows(out, "results", F.count(F.lit(1))))
     took = time.perf_counter() - began
-    figures = {n: o.get["n"] for n, o in seen.items()}
-    row = (method, probes.count(), width, queries.count(), float(bound), figures["results"], figures["comparisons"] if method in joins.ROWS else None, took)
+    figures = {n: o.get["n"] for n, o in seen.items() if n == "results" or method in joins.COUNTED}
+    row = (method, probes.count(), width, queries.count(), float(bound), figures["results"], figures.get("comparisons"), took)
     return queries.sparkSession.createDataFrame([row], "algorithm string, probes long, width int, queries long, bound double, results long, comparisons long, seconds double")
 
 

@@ -11,7 +11,8 @@ same rows, whatever they prune.
 
 The equi-join is on the bucket, a chunk of at most about BLOCK of its probes and a part of
 at most about BLOCK queries, so no task meets more, also where all vectors have one length
-and lie in one bucket.
+and lie in one bucket.  Filter and verification run inside the groups of that join
+(kernels.block_join), so candidates are never rows; lc and li read lists over whole buckets.
 
 The bound is theta, or in top-k the k-th best score against the probes of
 greatest length (a set of fixed size, so it may be broadcast).
@@ -28,14 +29,14 @@ from ..functions import vectors as V
 from ..plans.shared import materialize
 from . import covers, kernels, lists, lsh
 
-SLACK = 1 + 1e-12
+SLACK = kernels.SLACK
 EPS = 1e-9
 BUCKET_FACTOR = 0.9
 SEEDS = 10  # top-k bounds come from SEEDS * k longest probes
 BLOCK = 4096
 EXACT = ("naive", "length", "bucketed", "coord", "incr", "lc", "li", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "tree", "ap", "dense")
 APPROXIMATE = ("lsh", "blsh")
-ROWS = ("naive", "length", "bucketed", "tree", "lsh", "blsh")  # methods whose candidates are rows before they are scored
+COUNTED = ("naive", "length", "bucketed", "tree", "lsh", "blsh")  # methods whose comparisons are counted in a run's figures
 
 
 def prepare(df: DataFrame, prefix: str, id_col: str = "id", vec_col: str = "vec", width: int | None = None) -> DataFrame:
@@ -119,28 +120,14 @@ def feasible(qi: Column, t: Column) -> tuple[Column, Column]:
     return F.when(above, F.least(lo, pole)).when(below, F.lit(-1.0)).otherwise(lo) - EPS, F.when(below, F.greatest(hi, pole)).when(above, F.lit(1.0)).otherwise(hi) + EPS
 
 
-def tree_candidates(q: DataFrame, p: DataFrame) -> DataFrame:
-    """The probes of the leaves that a walk down the nested covers leaves over."""
-    p = materialize(p)
-    members, levels = covers.build(p)
-    held, _ = covers.walk(q, levels)
-    sizes = members.groupBy(F.col("node").alias("bucket")).agg(F.count(F.lit(1)).alias("probes"))
-    return in_blocks(held.withColumnRenamed("node", "bucket"), members.withColumnRenamed("node", "bucket").join(p, "pid"), sizes, q.count())
-
-
-def candidates(q: DataFrame, p: DataFrame, method: str, recall: float = 0.97) -> DataFrame:
-    """Joined (q.*, p.*) rows that the method cannot rule out."""
+def candidates(q: DataFrame, p: DataFrame, method: str) -> DataFrame:
+    """Joined (q.*, p.*) rows that the lengths (naive: nothing) cannot rule out."""
     if method == "naive":
         return all_pairs(q, p)
-    if method == "tree":
-        return tree_candidates(q, p)
-    p, stats = with_buckets(p)
-    active = pair_buckets(q, stats)
-    if method in APPROXIMATE:
-        return lsh.candidates(active, p, recall, bayes=method == "blsh")
     if method not in ("length", "bucketed"):
         raise ValueError(f"unknown method {method!r}")
-    joined = in_blocks(active.drop("probes"), p, stats, q.count())
+    p, stats = with_buckets(p)
+    joined = in_blocks(pair_buckets(q, stats).drop("probes"), p, stats, q.count())
     return joined.where(F.col("qn") * F.col("pn") * SLACK >= F.col("bound"))
 
 
@@ -149,20 +136,24 @@ def products(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"))
 
 
-def scored(q: DataFrame, p: DataFrame, method: str, width: int, recall: float = 0.97) -> DataFrame:
-    """(query_id, probe_id, score) of the candidates of a method; exact methods leave out what misses the bound."""
+def scored(q: DataFrame, p: DataFrame, method: str, width: int, recall: float = 0.97, k: int | None = None, complete: bool = False, counted: bool = False) -> DataFrame:
+    """(query_id, probe_id, score) of the pairs of a method that reach the bound; k: at least the k best of each query."""
     if method in kernels.METHODS:
-        return kernels.block_join(q, p, method)
+        held = covers.in_leaves(p) if method == "tree" else p
+        return kernels.block_join(q, held, method, k=k, recall=recall, complete=complete, counted=counted)
     if method in lists.METHODS:
-        return lists.pairs(q, p, method, width)
-    return products(candidates(q, p, method, recall))
+        return lists.pairs(q, p, method, width, k)
+    raise ValueError(f"unknown method {method!r}")
+
 
+def above_theta(queries: DataFrame, probes: DataFrame, theta: float, method: str = "dense", recall: float = 0.97, check: bool = False, complete: bool = False) -> DataFrame:
+    """(query_id, probe_id, score) of every pair with inner product theta or more.
 
-def above_theta(queries: DataFrame, probes: DataFrame, theta: float, method: str = "dense", recall: float = 0.97, check: bool = False) -> DataFrame:
-    """(query_id, probe_id, score) of every pair with inner product theta or more."""
+    complete: pairs that the tables of an approximate method leave out are checked as well, so none is missed.
+    """
     q, p, width = prepare_both(queries, probes, check)
     q = q.withColumn("bound", F.lit(float(theta)))
-    return scored(q, p, method, width, recall).where(F.col("score") >= theta)
+    return scored(q, p, method, width, recall, complete=complete).where(F.col("score") >= theta)
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -192,13 +183,14 @@ def relax(bound: Column, qn: Column, approx: str | None, epsilon: float) -> Colu
 
 def row_top_k(
     queries: DataFrame, probes: DataFrame, k: int, method: str = "dense", score: str = "ip", recall: float = 0.97,
-    approx: str | None = None, epsilon: float = 0.0, depth: int = 5, check: bool = False,
+    approx: str | None = None, epsilon: float = 0.0, depth: int = 5, check: bool = False, complete: bool = False,
 ) -> DataFrame:
     """(query_id, probe_id, score, rank) of the k best probes of each query.
 
     score: ip, ip_over_qnorm (divided by the query's length; 0 for zero queries) or, for
     pca_tree, distance.  With approx the seed probes stay candidates, so every query
-    still gets its k rows, each at most epsilon short (absolutely, or relative).
+    still gets its k rows, each at most epsilon short (absolutely, or relative).  complete:
+    as in above_theta.
     """
     if method.startswith("tanra"):
         raise ValueError("tanra answers above-theta only")
@@ -208,16 +200,14 @@ def row_top_k(
         if method != "simple_lsh":
             pairs = (lsh.pca_tree if method == "pca_tree" else lsh.pca_hamming)(q, p, k, depth)
         else:
-            pairs, left = lsh.simple_lsh(q, p, k, recall)
-            rest = candidates(left, p, "length")
-            pairs = pairs.union(products(rest)).dropDuplicates(["query_id", "probe_id"])
+            pairs = kernels.block_join(q, p, "simple_lsh", k=k, recall=recall, complete=complete)
     else:
         q = top_k_bounds(q, p, k)
         pruned = q.withColumn("bound", relax(F.col("bound"), F.col("qn"), approx, epsilon))
-        pairs = scored(pruned, p, "lsh" if approx == "hyb" else method, width, recall)
-        if approx or method in APPROXIMATE:
-            longest = p.orderBy(F.desc("pn"), "pid").limit(SEEDS * k)
-            pairs = pairs.union(products(q.crossJoin(F.broadcast(longest)))).dropDuplicates(["query_id", "probe_id"])
+        pairs = scored(pruned, p, "lsh" if approx == "hyb" else method, width, recall, k, complete)
+    if approx or method in (*APPROXIMATE, "simple_lsh"):
+        longest = p.orderBy(F.desc("pn"), "pid").limit(SEEDS * k)
+        pairs = pairs.union(products(q.crossJoin(F.broadcast(longest)))).dropDuplicates(["query_id", "probe_id"])
     out = best(pairs, k)
     if score == "ip_over_qnorm":
         lengths = q.select(F.col("qid").alias("query_id"), "qn")

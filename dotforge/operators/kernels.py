@@ -1,25 +1,47 @@
 """Block joins whose inner step is a small numpy kernel.
 
 Queries and probes are cut into blocks of at most BLOCK rows; a probe block (a chunk
-of a norm bucket) meets each query block in one task-side group, and only queries
-that can reach their bound in the block's bucket are sent.  Group sizes are bounded,
-so neither side is ever broadcast or collected.
+of a norm bucket, or of another kind of bucket) meets each query block in one task-side
+group, and only queries that can reach their bound in the block's bucket are sent.  Group
+sizes are bounded, so neither side is ever broadcast or collected.
+
+Inside a group some queries at a time, PAIRS pairs with all its probes, go through the
+method, which says which pairs it looks up; these are multiplied and verified, and for a
+top k only the k best of the group leave it.  So a task holds one group and PAIRS pairs,
+whatever the tables' size or the bounds.
+
+    naive, dense       all pairs of the group
+    length, bucketed   pairs whose lengths reach the bound
+    ta_*, tanra_*      what the threshold algorithms have seen when they stop; a query whose
+                       lists would be read for as many entries as there are probes scans them
+    ap                 prefix()
+    coord, incr        lists.in_ranges()
+    tree               covers.within_reach()
+    lsh, blsh          lsh.meets()
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .covers import within_reach
+from .lists import in_ranges
+from .lsh import match_table, meets
+
+SLACK = 1 + 1e-12
 BLOCK = 4096
-METHODS = ("dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "ap")
+PAIRS = 1 << 20  # pairs looked at together
+METHODS = ("naive", "length", "bucketed", "dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "ap", "coord", "incr", "tree", "lsh", "blsh")
 STAGE = 8  # coordinates between two bounds on partial sums
 FEW = 0.1  # share of pairs from which on they are followed one by one
 DEPTH = 16  # list entries that one step of the threshold algorithms reads
+HALVINGS = 10  # steps in which the greedy one finds its level
 TOL = 1e-9
 
 
@@ -33,58 +55,90 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def dense(q: np.ndarray, p: np.ndarray, bound: np.ndarray):
-    """Rows that reach the bound, by one block product (with a tolerance; scores are summed again)."""
-    return np.nonzero(q @ p.T >= (bound - TOL * (1 + np.abs(np.where(np.isfinite(bound), bound, 0))))[:, None])
+def slack(x: np.ndarray) -> np.ndarray:
+    """What a bound is lowered by, so that rounding loses no pair."""
+    return TOL * (1 + np.abs(np.where(np.isfinite(x), x, 0)))
 
 
 class Lists:
-    """Per coordinate, the probes sorted by value; walked from the end that the query's sign favours."""
+    """Per coordinate, the probes sorted by value, read from the end that the query's sign favours."""
 
     def __init__(self, p: np.ndarray):
-        self.p, self.order = p, np.argsort(-p, axis=0, kind="stable")
+        self.p, self.order = p, np.argsort(p, axis=0, kind="stable")
+        self.values = np.take_along_axis(p, self.order, axis=0)
 
-    def entry(self, i: int, at: np.ndarray, sign: float) -> np.ndarray:
-        n = len(self.p)
-        return self.order[at if sign >= 0 else n - 1 - at, i]
+    def edges(self, q: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """What the first entry that is not read yet adds to each query's product, per coordinate."""
+        n, c = len(self.p), np.arange(q.shape[1])
+        at = np.minimum(depth, n - 1)
+        return q * self.values[np.where(q >= 0, n - 1 - at, at), c]
 
-    def frontier(self, i: int, depth: int, q: float) -> float:
+    def read(self, q: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The probes among the first depth[i] entries of each list."""
         n = len(self.p)
-        return q * self.p[self.order[min(depth, n - 1) if q >= 0 else max(0, n - 1 - depth), i], i]
+        held = [self.order[n - d :, i] if q[i] >= 0 else self.order[:d, i] for i, d in enumerate(depth) if d]
+        return np.unique(np.concatenate(held)) if held else np.zeros(0, int)
+
+
+def round_robin(q: np.ndarray, lists: Lists, need: np.ndarray) -> np.ndarray:
+    """Entries that each query reads of each list, DEPTH at a time from all of them, until unseen probes miss the bound."""
+    n = len(lists.p)
+    steps = np.arange(0, n + DEPTH, DEPTH)
+    at = np.minimum(steps, n - 1)
+    ahead = np.maximum(q, 0) @ lists.values[n - 1 - at].T + np.minimum(q, 0) @ lists.values[at].T
+    stop = ahead < need[:, None]
+    first = np.where(stop.any(1), stop.argmax(1), len(steps) - 1)
+    return np.where(q != 0, np.minimum(steps[first], n)[:, None], 0)
+
+
+def greedy(q: np.ndarray, lists: Lists, need: np.ndarray) -> np.ndarray:
+    """Entries that each query reads of each list if it always reads on where the next entry adds most.
+
+    Then all lists are read down to one level of what their entries add; the highest level at
+    which unseen probes miss the bound is found by halving.
+    """
+    n = len(lists.p)
+    low, high = (lists.edges(q, np.full(q.shape, d)) for d in (n - 1, 0))
+    low, high = low.min(1), high.max(1) + TOL
+    best = np.where(q != 0, n, 0)
+
+    def down_to(level: np.ndarray) -> np.ndarray:
+        depth = np.zeros(q.shape, int)
+        for i in range(q.shape[1]):
+            up, down = q[:, i] > 0, q[:, i] < 0
+            depth[up, i] = n - np.searchsorted(lists.values[:, i], level[up] / q[up, i], "right")
+            depth[down, i] = np.searchsorted(lists.values[:, i], level[down] / q[down, i], "left")
+        return np.minimum(-(-depth // DEPTH) * DEPTH, n)
+
+    for _ in range(HALVINGS):
+        level = (low + high) / 2
+        depth = down_to(level)
+        stops = lists.edges(q, depth).sum(1) < need
+        best = np.where(stops[:, None], depth, best)
+        low, high = np.where(stops, level, low), np.where(stops, high, level)
+    return best
 
 
-def threshold(q: np.ndarray, lists: Lists, bound: float, greedy: bool, full: bool) -> np.ndarray:
-    """Probes that may reach the bound.
+def threshold(q: np.ndarray, lists: Lists, bound: np.ndarray, most: bool, full: bool) -> np.ndarray:
+    """Which pairs the threshold algorithms look up (queries by probes).
 
-    Lists are read DEPTH entries at a time, all in turn or (greedy) the one whose
-    frontier adds most, until unseen probes cannot reach the bound.  full: seen probes
-    are looked up at once; else only read values count, and a seen probe stays while its
-    best possible score reaches the bound.
+    Lists are read round robin or (most) greedily until unseen probes cannot reach the bound.
+    full: seen probes are looked up at once; else only read values count, and a seen probe stays
+    while its best possible score reaches the bound: a value that is not read is at most the edge.
     """
-    n, axes = len(lists.p), np.flatnonzero(q)
-    if not len(axes) or bound <= -np.inf:
-        return np.arange(n)
-    depth = dict.fromkeys(axes.tolist(), 0)
-    edge = {i: lists.frontier(i, 0, q[i]) for i in depth}
-    seen = np.zeros(n, bool)
-    part, known = np.zeros(n), np.zeros((n, len(axes)), bool)
-    column = {i: c for c, i in enumerate(depth)}
-    slack = TOL * (1 + abs(bound))
-    while sum(edge.values()) >= bound - slack and min(depth.values()) < n:
-        turn = [max((i for i in depth if depth[i] < n), key=edge.get)] if greedy else [i for i in depth if depth[i] < n]
-        for i in turn:
-            rows = lists.entry(i, np.arange(depth[i], min(n, depth[i] + DEPTH)), q[i])
-            seen[rows] = True
-            if not full:
-                part[rows] += q[i] * lists.p[rows, i]
-                known[rows, column[i]] = True
-            depth[i] = min(n, depth[i] + DEPTH)
-            edge[i] = lists.frontier(i, depth[i], q[i])
-    rows = np.flatnonzero(seen)
-    if full:
-        return rows
-    rest = np.array([edge[i] for i in depth])
-    return rows[part[rows] + (~known[rows]) @ rest >= bound - slack]
+    n = len(lists.p)
+    need = bound - slack(bound)
+    depth = (greedy if most else round_robin)(q, lists, need)
+    found = np.zeros((len(q), n), bool)
+    far = (depth.sum(1) >= n) | ~np.isfinite(need) | ~(q != 0).any(1)
+    found[far] = True  # a scan reads no more than the lists would
+    edge = None if full else lists.edges(q, depth)
+    for i in np.flatnonzero(~far):
+        rows = lists.read(q[i], depth[i])
+        if not full:
+            rows = rows[np.maximum(q[i] * lists.p[rows], edge[i]).sum(1) >= need[i]]
+        found[i, rows] = True
+    return found
 
 
 def prefix(q: np.ndarray, p: np.ndarray, bound: np.ndarray):
@@ -123,45 +177,124 @@ def prefix(q: np.ndarray, p: np.ndarray, bound: np.ndarray):
     return live if live is not None else np.nonzero(total >= need[:, None])
 
 
-def _pairs(method: str, q: np.ndarray, p: np.ndarray, bound: np.ndarray):
-    if method == "dense":
-        return dense(q, p, bound)
+class Group:
+    """The rows of one group: queries (q, qn, bound, local threshold, longest probe of the bucket) and probes (p, pn, node)."""
+
+    def __init__(self, a: pa.Table, b: pa.Table):
+        self.qid, self.pid = a["qid"].to_numpy(), b["pid"].to_numpy()
+        self.q, self.p = _matrix(a["qv"]), _matrix(b["pv"])
+        self.qn, self.bound, self.local, self.longest = (a[c].to_numpy() for c in ("qn", "bound", "local", "longest"))
+        self.pn, self.node = b["pn"].to_numpy(), b["node"].to_numpy()
+
+    def by_length(self, at: slice) -> np.ndarray:
+        return self.qn[at, None] * self.pn * SLACK >= self.bound[at, None]
+
+
+def _looker(method: str, g: Group, recall: float, stages: list[list[int]] | None) -> Callable[[slice], np.ndarray | None]:
+    """For some queries, which pairs the method looks up: a mask, or None for all."""
+    if method in ("naive", "dense"):
+        return lambda at: None
+    if method in ("length", "bucketed"):
+        return g.by_length
+    if method in ("coord", "incr"):
+        return in_ranges(g, method == "incr")
+    if method == "tree":
+        return within_reach(g)
+    if method in ("lsh", "blsh", "simple_lsh"):
+        return meets(g, recall, method, stages)
     if method == "ap":
-        return prefix(q, p, bound)
-    lists = Lists(p)
-    found = [threshold(v, lists, b, method.endswith("max"), method.startswith("ta_")) for v, b in zip(q, bound)]
-    return np.repeat(np.arange(len(q)), [len(f) for f in found]), np.concatenate(found) if found else np.zeros(0, int)
+
+        def look(at: slice) -> np.ndarray:
+            mask = np.zeros((len(g.q[at]), len(g.p)), bool)
+            mask[prefix(g.q[at], g.p, g.bound[at])] = True
+            return mask
+
+        return look
+    held = Lists(g.p)
+    return lambda at: threshold(g.q[at], held, g.bound[at], method.endswith("max"), method.startswith("ta_"))
 
 
-def block_join(q: DataFrame, p: DataFrame, method: str, only: DataFrame | None = None) -> DataFrame:
-    """(query_id, probe_id, score) of pairs whose score reaches the query's bound; only: the (qid, bucket) pairs to look at."""
-    from .joins import SLACK, log_bucket
+def _verify(g: Group, at: slice, mask: np.ndarray | None, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of the looked up pairs whose score reaches the bound; with k, the k best a query."""
+    q, bound = g.q[at], g.bound[at]
+    s = q @ g.p.T
+    reach = 1e-12 * g.qn[at] * (g.pn.max() if len(g.pn) else 0)  # a product is rounded by far less
+    need = bound - slack(bound) - reach
+    hit = s >= need[:, None]
+    if mask is not None:
+        hit &= mask
+    if k is not None and len(g.p) > k and np.count_nonzero(hit) > 2 * k * len(q):
+        top = np.partition(np.where(hit, s, -np.inf), len(g.p) - k, axis=1)[:, len(g.p) - k]
+        hit &= s >= np.maximum(need, top - slack(top) - reach)[:, None]
+    i, j = np.nonzero(hit)
+    score = np.zeros(len(i))
+    for c in range(q.shape[1]):  # left to right, as the JVM's fold adds
+        score += q[i, c] * g.p[j, c]
+    ok = score >= bound[i]
+    i, j, score = i[ok], j[ok], score[ok]
+    if k is not None:
+        order = np.lexsort((g.pid[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        ok = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j, score = i[ok], j[ok], score[ok]
+    return i, j, score
 
-    p = p.withColumn("bucket", log_bucket(F.col("pn")))
+
+def block_join(
+    q: DataFrame, p: DataFrame, method: str, only: DataFrame | None = None, k: int | None = None, recall: float = 0.97,
+    complete: bool = False, counted: bool = False,
+) -> DataFrame:
+    """(query_id, probe_id, score) of pairs whose score reaches the query's bound.
+
+    only: the (qid, bucket) pairs to look at; p has a bucket column then, or log buckets of the
+    length are its buckets; its nodes, where it has them, go to chunks by spread.  k: at least the k best pairs of each query.  complete: pairs that an
+    approximate method does not look up are checked as well.  counted: and, beside them, rows
+    without ids with (compared), how many pairs the method looked up.
+    """
+    from .joins import log_bucket
+
+    if "bucket" not in p.columns:
+        # a norm bucket holds one length's tenth; methods that do not go by length have all probes in one
+        p = p.withColumn("bucket", F.lit(0).cast("long") if method in ("naive", "tree", "simple_lsh") else log_bucket(F.col("pn")))
+    if "node" not in p.columns:
+        p = p.withColumns({"node": F.lit(1).cast("long"), "spread": F.xxhash64("pid")})
     stats = p.groupBy("bucket").agg(F.max("pn").alias("longest"), F.count(F.lit(1)).alias("probes"))
     stats = stats.withColumn("chunks", F.ceil(F.col("probes") / BLOCK).cast("int")).drop("probes")
     blocks = math.ceil(max(1, q.count()) / BLOCK)
-    hot = F.broadcast(stats)  # one row a norm bucket
+    hot = F.broadcast(stats)  # one row a bucket
     left = q.select("qid", "qv", "qn", "bound", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
-    left = left.join(hot, F.col("qn") * F.col("longest") * SLACK >= F.col("bound"))
     if only is not None:
-        left = left.join(only, ["qid", "bucket"], "left_semi")
-    left = left.select(F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("part").alias("d"), "qid", "qv", "bound")
+        left = left.join(only, "qid").join(hot, "bucket")
+    else:
+        left = left.join(hot, F.lit(True) if method == "naive" else F.col("qn") * F.col("longest") * SLACK >= F.col("bound"))
+    span = F.col("qn") * F.col("longest")
+    left = left.withColumn("local", F.when((span > 0) & (F.col("bound") > 0), F.col("bound") / span).otherwise(F.lit(0.0)))
+    left = left.select(F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("part").alias("d"), "qid", "qv", "qn", "bound", "local", "longest")
     right = p.join(hot, "bucket").select(
-        "bucket", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "pid", "pv",
+        "bucket", F.pmod("spread", F.col("chunks")).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "pid", "pv", "pn", "node",
     )
+    stages = match_table(recall) if method == "blsh" else None
+    names = {"query_id": pa.int64(), "probe_id": pa.int64(), "score": pa.float64()} | ({"compared": pa.int64()} if counted else {})
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = {"query_id": pa.int64(), "probe_id": pa.int64(), "score": pa.float64()}
         if not len(a) or not len(b):
             return pa.table({n: pa.array([], t) for n, t in names.items()})
-        qm, pm, bound = _matrix(a["qv"]), _matrix(b["pv"]), a["bound"].to_numpy()
-        i, j = _pairs(method, qm, pm, bound)
-        score = np.zeros(len(i))
-        for c in range(qm.shape[1]):  # left to right, as the JVM's fold adds
-            score += qm[i, c] * pm[j, c]
-        ok = score >= bound[i]
-        return pa.table({"query_id": a["qid"].to_numpy()[i[ok]], "probe_id": b["pid"].to_numpy()[j[ok]], "score": score[ok]})
-
-    return left.groupBy("b", "c", "d").cogroup(right.groupBy("bucket", "chunk", "part")).applyInArrow(run, "query_id long, probe_id long, score double")
+        g = Group(a, b)
+        if g.q.shape[1] != g.p.shape[1]:
+            raise ValueError("vectors of different lengths")
+        look, step, out, compared = _looker(method, g, recall, stages), max(1, PAIRS // len(g.p)), [], 0
+        for lo in range(0, len(g.q), step):
+            at = slice(lo, lo + step)
+            mask = look(at)
+            compared += len(g.q[at]) * len(g.p) if mask is None else int(np.count_nonzero(mask))
+            i, j, score = _verify(g, at, None if complete else mask, k)
+            out.append(pa.table({"query_id": g.qid[at][i], "probe_id": g.pid[j], "score": score}))
+        out = pa.concat_tables(out)
+        if counted:
+            out = out.append_column("compared", pa.nulls(len(out), pa.int64()))
+            out = pa.concat_tables([out, pa.table({n: pa.array([compared if n == "compared" else None], t) for n, t in names.items()})])
+        return out
+
+    schema = "query_id long, probe_id long, score double" + (", compared long" if counted else "")
+    return left.groupBy("b", "c", "d").cogroup(right.groupBy("bucket", "chunk", "part")).applyInArrow(run, schema)

@@ -8,8 +8,9 @@ ranges are taken narrowest first.  The narrowest meets its entries by an equi-jo
 (bucket, coordinate, bin); a probe is a candidate if it lies in all FOCUS ranges, and for
 the incremental methods if what the focus coordinates leave over can still reach the bound.
 
-    coord, incr   lists wherever the local threshold lies in (0, 1]
-    lc, li        lists only where the narrowest range holds less than a SHARE-th of the
+    coord, incr   lists wherever the local threshold lies in (0, 1], block by block inside the
+                  kernel's groups (in_ranges), since they may hold most pairs of a bucket
+    lc, li        lists over whole buckets, but only where the narrowest range holds less than a SHARE-th of the
                   bucket; elsewhere the block product scans it
 
 Postings are kept only for the bins that some query asks for.  A bin's list is cut into
@@ -18,8 +19,10 @@ chunks of at most about joins.BLOCK entries, so no key is as long as a bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ FOCUS = 3
 SHARE = 4
 SMALL = 32 << 20  # bytes of running counts that may be broadcast
 METHODS = ("coord", "incr", "lc", "li")
+EPS = 1e-9
 
 
 def bin_of(x: Column) -> Column:
@@ -78,6 +82,60 @@ def residual() -> Column:
     return size * (part + rest) >= F.col("bound") - 1e-9 * (1 + F.abs("bound") + size)
 
 
+def feasible(qi: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """joins.feasible() of arrays."""
+    half = np.sqrt(np.maximum((1 - t * t) * (1 - qi * qi), 0))
+    lo, hi = t * qi - half, t * qi + half
+    pole = np.divide(t, qi, out=np.full(qi.shape, np.nan), where=qi != 0)
+    above, below = (qi > 0) & (pole <= hi), (qi < 0) & (pole >= lo)
+    low = np.where(above, np.minimum(lo, pole), np.where(below, -1.0, lo))
+    return low - EPS, np.where(below, np.maximum(hi, pole), np.where(above, 1.0, hi)) + EPS
+
+
+def in_ranges(g, incremental: bool) -> Callable[[slice], np.ndarray]:
+    """For some queries of a kernels.Group: which probes lie in the feasible ranges of their FOCUS largest coordinates.
+
+    The narrowest range's entries are read from its sorted list and looked up in the others.
+    incremental: and what the focus coordinates leave over can still reach the bound.
+    Queries without a positive local threshold scan what the lengths allow.
+    """
+    whole = lambda m, n: np.divide(m, n[:, None], out=np.zeros(m.shape), where=n[:, None] > 0)
+    qu, pu = whole(g.q, g.qn), whole(g.p, g.pn)
+    order = np.argsort(pu, axis=0, kind="stable")
+    values = np.take_along_axis(pu, order, axis=0)
+
+    def look(at: slice) -> np.ndarray:
+        t, u = g.local[at], qu[at]
+        top = np.argsort(-np.abs(u), axis=1, kind="stable")[:, :FOCUS]
+        x = np.take_along_axis(u, top, axis=1)
+        able = (t > 0) & (t <= 1)
+        lo, hi = feasible(x, np.where(able, t, 1.0)[:, None])
+        start, end = np.zeros(top.shape, int), np.zeros(top.shape, int)
+        for c in np.unique(top):
+            here = top == c
+            start[here], end[here] = np.searchsorted(values[:, c], lo[here], "left"), np.searchsorted(values[:, c], hi[here], "right")
+        found = np.zeros((len(u), len(pu)), bool)
+        for i in np.flatnonzero(able & (end > start).all(1)):
+            first, *others = np.argsort(end[i] - start[i], kind="stable")
+            rows = order[start[i, first] : end[i, first], top[i, first]]
+            for b in others:
+                v = pu[rows, top[i, b]]
+                rows = rows[(v >= lo[i, b]) & (v <= hi[i, b])]
+            found[i, rows] = True
+        found[~able] = True
+        found &= g.by_length(at)
+        if incremental:
+            i, j = np.nonzero(found & able[:, None])
+            near = pu[j[:, None], top[i]]
+            part, pp = (x[i] * near).sum(1), (near * near).sum(1)
+            rest = np.sqrt(np.maximum(1 - pp, 0) * np.maximum(1 - (x * x).sum(1)[i], 0))
+            size, bound = g.qn[at][i] * g.pn[j], g.bound[at][i]
+            found[i, j] = size * (part + rest) >= bound - 1e-9 * (1 + np.abs(bound) + size)
+        return found
+
+    return look
+
+
 def plan(q: DataFrame, p: DataFrame, method: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(q.*, p.* of the list candidates, queries left to a scan by bucket, probes with bucket)."""
     from . import joins
@@ -95,10 +153,9 @@ def plan(q: DataFrame, p: DataFrame, method: str, width: int) -> tuple[DataFrame
     # an empty range rules the bucket out
     listed = seen.where(able & F.forall("lists", lambda s: s["entries"] > 0))
     scan = seen.where(~able).select("qid", "bucket")
-    if method in ("lc", "li"):
-        wide = F.col("lists")[0]["entries"] * SHARE >= F.col("probes")
-        scan = scan.union(listed.where(wide).select("qid", "bucket"))
-        listed = listed.where(~wide)
+    wide = F.col("lists")[0]["entries"] * SHARE >= F.col("probes")
+    scan = scan.union(listed.where(wide).select("qid", "bucket"))
+    listed = listed.where(~wide)
     chunks = F.broadcast(stats.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("probes") / joins.BLOCK)).cast("int").alias("chunks")))
     first = F.col("lists")[0]
     span = F.sequence(bin_of(F.greatest(first["lo"], F.lit(-1.0))), bin_of(F.least(first["hi"], F.lit(1.0))))
@@ -111,24 +168,26 @@ def plan(q: DataFrame, p: DataFrame, method: str, width: int) -> tuple[DataFrame
     met = asked.join(flat, ["bucket", "coord", "bin", "chunk"]).where(F.col("x").between(F.col("lists")[0]["lo"], F.col("lists")[0]["hi"]))
     found = met.select("qid", "pid", "lists").join(p.drop("bucket"), "pid").where(within(F.col("lists"), F.col("pu")))
     found = found.join(q, "qid").where(F.col("qn") * F.col("pn") * joins.SLACK >= F.col("bound"))
-    if method in ("incr", "li"):
+    if method == "li":
         found = found.where(residual())
     return found, scan, p
 
 
-def pairs(q: DataFrame, p: DataFrame, method: str, width: int) -> DataFrame:
-    """(query_id, probe_id, score) of pairs whose score reaches the query's bound."""
+def pairs(q: DataFrame, p: DataFrame, method: str, width: int, k: int | None = None) -> DataFrame:
+    """(query_id, probe_id, score) of pairs whose score reaches the query's bound; k: at least the k best of each query."""
     from . import kernels
 
     found, scan, _ = plan(q, p, method, width)
     out = found.select(F.col("qid").alias("query_id"), F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score"), "bound")
-    return out.where(F.col("score") >= F.col("bound")).drop("bound").union(kernels.block_join(q, p, "dense", only=scan))
+    return out.where(F.col("score") >= F.col("bound")).drop("bound").union(kernels.block_join(q, p, "dense", only=scan, k=k))
 
 
 def comparisons(q: DataFrame, p: DataFrame, method: str, width: int) -> DataFrame:
     """(comparisons): pairs whose product the method works out."""
-    from . import joins
+    from . import joins, kernels
 
+    if method in kernels.METHODS:
+        return kernels.block_join(q, p, method, counted=True).agg(F.coalesce(F.sum("compared"), F.lit(0)).cast("long").alias("comparisons"))
     found, scan, held = plan(q, p, method, width)
     stats = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"))
     scanned = joins.in_blocks(q.join(scan, "qid"), held, stats, 1).where(F.col("qn") * F.col("pn") * joins.SLACK >= F.col("bound"))
