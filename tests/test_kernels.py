@@ -1,5 +1,7 @@
 """What the kernels look up inside a group, and what leaves it."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,14 @@ def test_lists_in_the_kernel_count_what_the_ranges_hold(spark):
     s = m[:50] @ m[50:].T
     coord, incr = (lists.comparisons(q, p, n, width).first().comparisons for n in ("coord", "incr"))
     assert (s >= 6.0).sum() <= incr <= coord < joins.candidates(q, p, "length").count()
+
+
+def test_long_csr_lines_are_split_once(spark, tmp_path):
+    """Reading time a line grows with its length, not with its square: 20,000 entries took minutes when every entry split its line."""
+    m = spark.range(60_000).select((F.col("id") % 3).alias("row"), F.floor(F.col("id") / 3).cast("int").alias("col"), (F.col("id") / 7).alias("val"))
+    want = m.agg(F.sum(F.xxhash64("row", "col", "val").cast("decimal(38,0)"))).first()[0]
+    for header in (False, True):
+        matrices.write_csr(m, path := f"file://{tmp_path}/{header}.csr", 4, header=header)
+        began = time.perf_counter()
+        got = matrices.read_csr(spark, path).agg(F.sum(F.xxhash64("row", "col", "val").cast("decimal(38,0)"))).first()[0]
+        assert got == want and time.perf_counter() - began < 20
