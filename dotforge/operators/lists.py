@@ -102,7 +102,7 @@ def in_ranges(g, incremental: bool) -> Callable[[slice], np.ndarray]:
     whole = lambda m, n: np.divide(m, n[:, None], out=np.zeros(m.shape), where=n[:, None] > 0)
     qu, pu = whole(g.q, g.qn), whole(g.p, g.pn)
     order = np.argsort(pu, axis=0, kind="stable")
-    values = np.take_along_axis(pu, order, axis=0)
+    values, axes = np.take_along_axis(pu, order, axis=0), np.ascontiguousarray(pu.T)
 
     def look(at: slice) -> np.ndarray:
         t, u = g.local[at], qu[at]
@@ -119,19 +119,20 @@ def in_ranges(g, incremental: bool) -> Callable[[slice], np.ndarray]:
             first, *others = np.argsort(end[i] - start[i], kind="stable")
             rows = order[start[i, first] : end[i, first], top[i, first]]
             for b in others:
-                v = pu[rows, top[i, b]]
+                v = axes[top[i, b]][rows]
                 rows = rows[(v >= lo[i, b]) & (v <= hi[i, b])]
+            if incremental:
+                part, pp = 0.0, 0.0
+                for b in range(top.shape[1]):
+                    v = axes[top[i, b]][rows]
+                    part, pp = part + x[i, b] * v, pp + v * v
+                rest = np.sqrt(np.maximum(1 - pp, 0) * max(1 - (x[i] * x[i]).sum(), 0))
+                size = g.qn[at][i] * g.pn[rows]
+                bound = g.bound[at][i]
+                rows = rows[size * (part + rest) >= bound - 1e-9 * (1 + abs(bound) + size)]
             found[i, rows] = True
         found[~able] = True
-        found &= g.by_length(at)
-        if incremental:
-            i, j = np.nonzero(found & able[:, None])
-            near = pu[j[:, None], top[i]]
-            part, pp = (x[i] * near).sum(1), (near * near).sum(1)
-            rest = np.sqrt(np.maximum(1 - pp, 0) * np.maximum(1 - (x * x).sum(1)[i], 0))
-            size, bound = g.qn[at][i] * g.pn[j], g.bound[at][i]
-            found[i, j] = size * (part + rest) >= bound - 1e-9 * (1 + np.abs(bound) + size)
-        return found
+        return found & g.by_length(at)
 
     return look
 
