@@ -21,13 +21,16 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..plans.shared import materialize
+from ..plans.shared import materialize, numbered
 
 LEAF = 256
+NEAR = 8192  # vectors of a block of near_pairs()
+PAIRS = 1 << 20  # of them looked at together
 FANOUT = 8
 PICKS = 4  # as many times FANOUT vectors are picked on average, since some are equal
 LEVELS = 14  # child numbers take four bits each of a long
@@ -135,45 +138,57 @@ def visits(q: DataFrame, p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -
     return out if out is not None else q.sparkSession.createDataFrame([], "level int, nodes long, visits long")
 
 
-def _expand(pairs: DataFrame, side: str, nodes: DataFrame) -> DataFrame:
-    """Pairs with one side's nodes replaced by their children; leaves stay."""
-    below = nodes.select(F.col("parent").alias("above"), F.struct("node", "centre", "radius").alias("child"))
-    met = pairs.join(below, F.col(f"{side}.node") == F.col("above"), "left")
-    return met.withColumn(side, F.coalesce("child", side)).drop("above", "child")
-
-
-def dual(levels: list[DataFrame], root: DataFrame, radius: float) -> DataFrame:
-    """(a, b): unordered pairs of leaves that can hold two vectors no farther apart than the radius.
-
-    Both sides go down level by level: each pair of nodes held becomes the pairs of their
-    children, by equi-joins on the parents, and a pair goes once its balls lie farther apart.
-    """
-    ball = F.struct("node", "centre", "radius")
-    pairs = root.select(ball.alias("a"), ball.alias("b"))
-    for nodes in levels:
-        pairs = pairs.withColumn("same", F.col("a.node") == F.col("b.node"))
-        # two children of one node come in both orders, those of two nodes in one
-        pairs = _expand(_expand(pairs, "a", nodes), "b", nodes).where(~F.col("same") | (F.col("a.node") <= F.col("b.node"))).drop("same")
-        near = V.balls_min_distance("a.centre", F.col("a.radius"), "b.centre", F.col("b.radius"))
-        pairs = materialize(pairs.where((F.col("a.node") == F.col("b.node")) | (near <= radius * (1 + EPS) + EPS)))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-
 def near_pairs(df: DataFrame, radius: float, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
     """(id, other, distance) of all pairs id < other of (id, vec) whose distance is the radius or less.
 
-    Leaves that dual() leaves over meet chunk by chunk, so a leaf of any size is no group of its own.
+    Whole leaves are dealt to blocks of about NEAR vectors (a larger leaf to several), by the
+    order of their numbers, so neighbours lie together; every two blocks
+    meet in one task, which leaves out pairs of leaves whose balls lie too far apart and works out
+    the others, PAIRS at a time.  So a vector is sent once a block, not once a leaf.
     """
     from . import joins
 
     p = materialize(joins.prepare(df, "p").drop("pn", "pu"))
-    members, levels = build(p, leaf, fanout)
-    root = p.limit(1).select(F.lit(1).cast("long").alias("node"), F.col("pv").alias("centre"), F.lit(float("inf")).alias("radius"))
-    found = dual(levels, root, radius)
-    held = members.join(p, "pid").withColumnRenamed("node", "bucket")
-    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"))
-    left = held.select(F.col("pid").alias("qid"), F.col("pv").alias("qv"), F.col("bucket").alias("a")).join(found, "a").select("qid", "qv", "a", F.col("b").alias("bucket"))
-    met = joins.in_blocks(left, held, sizes, p.count()).where((F.col("a") != F.col("bucket")) | (F.col("qid") < F.col("pid")))
-    apart = V.l2("qv", "pv")
-    out = met.select(F.least("qid", "pid").alias("id"), F.greatest("qid", "pid").alias("other"), apart.alias("distance"))
-    return out.where(F.col("distance") <= radius)
+    members, _ = build(p, leaf, fanout)
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("probes"))
+    parts = sizes.select("node", "probes", F.explode(F.sequence(F.lit(0), F.ceil(F.col("probes") / NEAR).cast("int") - 1)).alias("sub"), F.ceil(F.col("probes") / NEAR).cast("int").alias("subs"))
+    # leaves under one node have its number as the first bits, whatever their level
+    depth = F.floor(F.log2("node") / 4).cast("int")
+    parts = numbered(parts.withColumn("path", F.call_function("shiftleft", "node", (LEVELS - depth) * 4)), "path", "sub", name="place")
+    size = sizes.agg(F.coalesce(F.sum("probes"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.ceil(F.col("probes") / NEAR)), F.lit(0)).alias("parts")).first()
+    count = -(-size.n // NEAR)
+    blocks = parts.select("node", "sub", "subs", F.floor(F.col("place") * count / max(1, size.parts)).alias("block"))
+    held = p.join(members, "pid").join(blocks, "node").where(F.pmod(F.xxhash64("pid"), F.col("subs")) == F.col("sub")).select("pid", "pv", "node", "block")
+    held = materialize(held)
+    right = held.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("c"), F.col("block").alias("d"), F.col("pid").alias("id"), F.col("pv").alias("v"), F.col("node").alias("leaf"))
+    left = held.withColumnRenamed("block", "a").withColumn("block", F.explode(F.sequence("a", F.greatest(F.col("a"), F.lit(count - 1).cast("long")))))
+    step, tolerance = PAIRS, EPS
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = {"id": pa.int64(), "other": pa.int64(), "distance": pa.float64()}
+        if not len(x) or not len(y):
+            return pa.table({n: pa.array([], t) for n, t in names.items()})
+        same = x["a"][0].as_py() == x["block"][0].as_py()
+        m, w = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t, c in ((x, "pv"), (y, "v")))
+        u, v, mid, wid = x["node"].to_numpy(), y["leaf"].to_numpy(), x["pid"].to_numpy(), y["id"].to_numpy()
+        (_, c, r), (_, d, s) = _balls(m, u)[0], _balls(w, v)[0]
+        apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (d * d).sum(1) - 2 * c @ d.T, 0)) - r[:, None] - s
+        near = apart <= radius + 1e-6 * (1 + radius + np.abs(c).max() + np.abs(d).max())
+        at_u, at_v = np.unique(u, return_inverse=True)[1], np.unique(v, return_inverse=True)[1]
+        mm, ww, out = (m * m).sum(1), (w * w).sum(1), []
+        rows = max(1, step // len(w))
+        for lo in range(0, len(m), rows):
+            at = slice(lo, lo + rows)
+            square = mm[at, None] + ww - 2 * m[at] @ w.T
+            hit = square <= radius * radius + tolerance * (1 + radius * radius + mm[at, None] + ww)
+            i, j = np.nonzero(hit & near[at_u[at]][:, at_v])
+            total = np.zeros(len(i))
+            for k in range(m.shape[1]):  # left to right, as the JVM's fold adds
+                total += (m[at][i, k] - w[j, k]) ** 2
+            far = np.sqrt(total)
+            a, b = mid[at][i], wid[j]
+            ok = (far <= radius) & ((a < b) if same else True)
+            out.append(pa.table({"id": np.minimum(a, b)[ok], "other": np.maximum(a, b)[ok], "distance": far[ok]}))
+        return pa.concat_tables(out)
+
+    return left.groupBy("a", "block").cogroup(right.groupBy("c", "d")).applyInArrow(run, "id long, other long, distance double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dotforge.operators import evaluate, joins, kernels, lists
+from dotforge.operators import covers, evaluate, joins, kernels, lists
 from dotforge.sources import matrices
 
 
@@ -91,3 +91,13 @@ def test_long_csr_lines_are_split_once(spark, tmp_path):
         began = time.perf_counter()
         got = matrices.read_csr(spark, path).agg(F.sum(F.xxhash64("row", "col", "val").cast("decimal(38,0)"))).first()[0]
         assert got == want and time.perf_counter() - began < 20
+
+
+def test_near_pairs_send_a_vector_once_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(36)
+    m = np.vstack([rng.normal(size=(150, 5)), np.zeros((80, 5))])  # more copies than a block holds
+    monkeypatch.setattr(covers, "NEAR", 60)
+    monkeypatch.setattr(covers, "PAIRS", 500)
+    apart = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    got = [(r.id, r.other) for r in covers.near_pairs(frames(spark, m)[0], 1.2, leaf=16, fanout=4).collect()]
+    assert sorted(got) == [(i, j) for i, j in np.argwhere(apart <= 1.2).tolist() if i < j]
