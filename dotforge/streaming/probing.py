@@ -54,6 +54,32 @@ def _best(query: np.ndarray, probe: np.ndarray, score: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
+def _packed(t: pa.Table, part: int, ids: str = "qids", vecs: str = "qs") -> pa.Table:
+    """One row of (part, ids, vectors one after the other)."""
+    id_, vec = (c.combine_chunks() for c in t.columns)
+    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.table({"part": pa.array([part], pa.int32()), ids: whole(id_), vecs: whole(vec.flatten())})
+
+
+def _best_of(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: int, pairs: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The k best of the probes for each query, some queries at a time."""
+    if q.shape[1] != p.shape[1]:
+        raise ValueError("vectors of different lengths")
+    step = max(1, pairs // len(pid))
+    for lo in range(0, len(qid), step):
+        s = q[lo : lo + step] @ p.T
+        i, j = np.nonzero(np.ones(s.shape, bool))
+        if len(pid) > k:
+            least = np.partition(s, len(pid) - k, axis=1)[:, len(pid) - k]
+            size = np.sqrt((q[lo : lo + step] ** 2).sum(1) * (p * p).sum(1).max())
+            i, j = np.nonzero(s >= (least - 1e-12 * size)[:, None])
+        score = np.zeros(len(i))
+        for c in range(q.shape[1]):  # left to right, as the JVM's fold adds
+            score += q[lo + i, c] * p[j, c]
+        at = _best(qid[lo + i], pid[j], score, k)
+        yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i][at]), pa.array(pid[j][at]), pa.array(score[at])], ["query_id", "probe_id", "score"])
+
+
 class RunningTopK(StatefulProcessor):
     """One value a query: the k best probes that have come so far."""
 
@@ -82,24 +108,35 @@ class RunningTopK(StatefulProcessor):
 def running_top_k(probes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Streaming (query_id, probe_id, score, rank): after each micro-batch of new probes, the k best so far of the queries it met.
 
-    Every new probe meets the queries in parts of at most about joins.BLOCK; each Arrow batch
-    of products sends only its k best a query on, and the state of a query is those k, however
-    many probes have come.  The state lives in the store that STORE names, which this sets for
+    Both sides are packed into rows of at most about joins.BLOCK vectors, every new block of probes meets
+    every block of queries, and what they make is worked out at once, of which only the k best
+    a query go on.  The state of a query is those k, however many probes have come.  The state lives in the store that STORE names, which this sets for
     the session; output mode update, of which the last rows of a query count.
     """
     spark = queries.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     q = joins.prepare(queries, "q").select("qid", "qv")
     parts = max(1, math.ceil(q.count() / joins.BLOCK))
-    q = q.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int"))
-    p = joins.prepare(probes, "p").select("pid", "pv", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = joins.products(p.join(q, "part"))
+    q = q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part")).applyInArrow(lambda key, t: _packed(t, key[0].as_py()), "part int, qids array<bigint>, qs array<double>")
+    block = joins.BLOCK
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                yield from _packed(pa.Table.from_batches([batch.slice(lo, block)]), 0, "pids", "ps").drop_columns("part").to_batches()
+
+    p = joins.prepare(probes, "p").select("pid", "pv").mapInArrow(pack, "pids array<bigint>, ps array<double>")
+    p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.take(pa.array(_best(*(batch.column(i).to_numpy() for i in range(3)), k)))
+            for row in range(batch.num_rows):
+                qid, q, pid, p = (batch.column(n)[row].values.to_numpy(zero_copy_only=False) for n in ("qids", "qs", "pids", "ps"))
+                if len(qid) and len(pid):
+                    yield from _best_of(qid, q.reshape(len(qid), -1), pid, p.reshape(len(pid), -1), k)
 
-    pairs = pairs.mapInArrow(fewer, "query_id long, probe_id long, score double")
+    # a row holds two blocks, so few rows make a batch
+    pairs = p.join(q, "part").select("qids", "qs", "pids", "ps").mapInArrow(fewer, "query_id long, probe_id long, score double")
     return pairs.groupBy("query_id").transformWithStateInPandas(RunningTopK(k), RANKED, "update", "none")
 
 
