@@ -15,15 +15,19 @@ and lie in one bucket.  Filter and verification run inside the groups of that jo
 (kernels.block_join), so candidates are never rows; lc and li read lists over whole buckets.
 
 The bound is theta, or in top-k the k-th best score against the probes of
-greatest length (a set of fixed size, so it may be broadcast).
+greatest length (a set of fixed size, so every task may have it).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..plans.shared import materialize
@@ -164,12 +168,29 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def top_k_bounds(q: DataFrame, p: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
-    """q with bound: the k-th best score against the seeds * k longest probes (-inf if there are fewer than k)."""
-    longest = p.orderBy(F.desc("pn"), "pid").limit(seeds * k).select("pid", "pv")
-    seen = q.crossJoin(F.broadcast(longest)).select("qid", V.ip("qv", "pv").alias("s"))
-    w = Window.partitionBy("qid").orderBy(F.desc("s"))
-    low = seen.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("qid", F.col("s").alias("low"))
-    return q.join(low, "qid", "left").withColumn("bound", F.coalesce("low", F.lit(float("-inf")))).drop("low")
+    """q with bound: the k-th best score against the seeds * k longest probes (-inf if there are fewer than k).
+
+    Those few are sent to every task, which adds products up coordinate by coordinate, as the
+    verification does, so a bound is never above the score that it comes from.  The result is
+    written, since the queries are counted, paired with buckets and sent.
+    """
+    longest = [r.pv for r in p.orderBy(F.desc("pn"), "pid").limit(seeds * k).select("pv").collect()]
+    if not 0 < k <= len(longest):
+        return q.withColumn("bound", F.lit(float("-inf")))
+    axes, at = np.array(longest).T, q.columns.index("qv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(axes))
+            step, bound = max(1, kernels.PAIRS // axes.shape[1]), np.zeros(batch.num_rows)
+            for lo in range(0, len(m), step):
+                some = np.zeros((len(m[lo : lo + step]), axes.shape[1]))
+                for x, y in zip(m[lo : lo + step].T, axes):
+                    some += x[:, None] * y
+                bound[lo : lo + step] = np.partition(some, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], [*batch.schema.names, "bound"])
+
+    return materialize(q.mapInArrow(run, T.StructType([*q.schema, T.StructField("bound", T.DoubleType())])))
 
 
 def relax(bound: Column, qn: Column, approx: str | None, epsilon: float) -> Column:

@@ -8,7 +8,8 @@ sizes are bounded, so neither side is ever broadcast or collected.
 Inside a group some queries at a time, PAIRS pairs with all its probes, go through the
 method, which says which pairs it looks up; these are multiplied and verified, and for a
 top k only the k best of the group leave it.  So a task holds one group and PAIRS pairs,
-whatever the tables' size or the bounds.
+whatever the tables' size or the bounds, and sorts GROUPS groups on average: there are as
+many tasks as that takes.
 
     naive, dense       all pairs of the group
     length, bucketed   pairs whose lengths reach the bound
@@ -37,6 +38,7 @@ from .lsh import match_table, meets
 SLACK = 1 + 1e-12
 BLOCK = 4096
 PAIRS = 1 << 20  # pairs looked at together
+GROUPS = 4  # groups that a task has on average
 METHODS = ("naive", "length", "bucketed", "dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "ap", "coord", "incr", "tree", "lsh", "blsh")
 STAGE = 8  # coordinates between two bounds on partial sums
 FEW = 0.1  # share of pairs from which on they are followed one by one
@@ -185,6 +187,7 @@ class Group:
         self.q, self.p = _matrix(a["qv"]), _matrix(b["pv"])
         self.qn, self.bound, self.local, self.longest = (a[c].to_numpy() for c in ("qn", "bound", "local", "longest"))
         self.pn, self.node = b["pn"].to_numpy(), b["node"].to_numpy()
+        self.axes = np.ascontiguousarray(self.q.T), np.ascontiguousarray(self.p.T)  # a coordinate's values lie together
 
     def by_length(self, at: slice) -> np.ndarray:
         return self.qn[at, None] * self.pn * SLACK >= self.bound[at, None]
@@ -226,10 +229,12 @@ def _verify(g: Group, at: slice, mask: np.ndarray | None, k: int | None) -> tupl
     if k is not None and len(g.p) > k and np.count_nonzero(hit) > 2 * k * len(q):
         top = np.partition(np.where(hit, s, -np.inf), len(g.p) - k, axis=1)[:, len(g.p) - k]
         hit &= s >= np.maximum(need, top - slack(top) - reach)[:, None]
-    i, j = np.nonzero(hit)
+    flat = np.flatnonzero(hit)
+    i = flat // len(g.p) if len(flat) else flat
+    j = flat - i * len(g.p)
     score = np.zeros(len(i))
-    for c in range(q.shape[1]):  # left to right, as the JVM's fold adds
-        score += q[i, c] * g.p[j, c]
+    for x, y in zip(*g.axes):  # left to right, as the JVM's fold adds
+        score += x[at][i] * y[j]
     ok = score >= bound[i]
     i, j, score = i[ok], j[ok], score[ok]
     if k is not None:
@@ -260,8 +265,10 @@ def block_join(
         p = p.withColumns({"node": F.lit(1).cast("long"), "spread": F.xxhash64("pid")})
     stats = p.groupBy("bucket").agg(F.max("pn").alias("longest"), F.count(F.lit(1)).alias("probes"))
     stats = stats.withColumn("chunks", F.ceil(F.col("probes") / BLOCK).cast("int")).drop("probes")
+    per_bucket = stats.collect()
     blocks = math.ceil(max(1, q.count()) / BLOCK)
-    hot = F.broadcast(stats)  # one row a bucket
+    tasks = max(1, math.ceil(blocks * sum(r.chunks for r in per_bucket) / GROUPS))
+    hot = F.broadcast(q.sparkSession.createDataFrame(per_bucket, stats.schema))  # one row a bucket
     left = q.select("qid", "qv", "qn", "bound", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
     if only is not None:
         left = left.join(only, "qid").join(hot, "bucket")
@@ -297,4 +304,6 @@ def block_join(
         return out
 
     schema = "query_id long, probe_id long, score double" + (", compared long" if counted else "")
+    # with a number of its own, so that a task sorts some GROUPS groups however many there are
+    left, right = left.repartition(tasks, "b", "c", "d"), right.repartition(tasks, "bucket", "chunk", "part")
     return left.groupBy("b", "c", "d").cogroup(right.groupBy("bucket", "chunk", "part")).applyInArrow(run, schema)

@@ -101,3 +101,27 @@ def test_near_pairs_send_a_vector_once_a_block(spark, monkeypatch):
     apart = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
     got = [(r.id, r.other) for r in covers.near_pairs(frames(spark, m)[0], 1.2, leaf=16, fanout=4).collect()]
     assert sorted(got) == [(i, j) for i, j in np.argwhere(apart <= 1.2).tolist() if i < j]
+
+
+def test_a_task_has_few_groups_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 10)
+    m = np.random.default_rng(37).normal(size=(330, 4))
+    q, p, _ = joins.prepare_both(*frames(spark, m[:30], m[30:]))
+    groups = sum(-(-r["count"] // 10) for r in p.groupBy(joins.log_bucket(F.col("pn"))).count().collect()) * 3
+    out = kernels.block_join(q.withColumn("bound", F.lit(1.0)), p, "length")
+    assert out.rdd.getNumPartitions() == -(-groups // kernels.GROUPS) > 4  # the session's partitions
+    assert out.count() == (m[:30] @ m[30:].T >= 1.0).sum()
+
+
+def test_bounds_are_scores_and_worked_out_once(spark, monkeypatch):
+    rng = np.random.default_rng(38)
+    m = rng.normal(size=(60, 7)) * 10.0 ** rng.integers(-3, 3, (60, 1))
+    m[30:34] = m[30]  # ties
+    monkeypatch.setattr(kernels, "PAIRS", 50)  # few queries at a time
+    q, p, _ = joins.prepare_both(*frames(spark, m[:20], m[20:]))
+    out = joins.top_k_bounds(q, p, 3, seeds=2)
+    best = joins.products(q.crossJoin(p.orderBy(F.desc("pn"), "pid").limit(6))).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False)[2].alias("s"))
+    assert {r.qid: r.bound for r in out.collect()} == {r.query_id: r.s for r in best.collect()}
+    assert not any(n in out._jdf.queryExecution().executedPlan().toString() for n in ("Join", "Window", "MapInArrow"))
+    for few in (joins.top_k_bounds(q, p, 41), joins.top_k_bounds(q, p.where("pid < 0"), 1)):
+        assert {r.bound for r in few.collect()} == {float("-inf")}
