@@ -51,7 +51,9 @@ GRAM = 4
 HEADS = (5, 6, 7, 8)
 FOLDS = 4
 BATCH = 64
-STRETCH = 1 << 19  # words or pieces that are counted at a time
+STRETCH = 1 << 16  # words or pieces that are counted at a time
+SLICE = 1 << 17  # bytes of texts whose words are taken at a time
+FEW = 512  # windows that training scores at a time
 EPOCHS = 4
 LEAST_STEPS = 400  # small samples are gone through more often
 EMBED_RATE = 0.05  # embeddings move this much slower than the rest, so that they do not learn texts by heart
@@ -89,16 +91,20 @@ class Words:
         return len(self.word)
 
     @classmethod
-    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+    def of(cls, data: np.ndarray, offsets: np.ndarray, limit: int = SLICE) -> Words:
         """The same, made slice by slice, so that what is needed on the way stays small."""
-        parts = [cls(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in tc.slices(offsets)]
-        if len(parts) < 2:
-            return parts[0] if parts else cls(data, offsets)
+        cuts = list(tc.slices(offsets, limit))
+        if len(cuts) < 2:
+            return cls(data, offsets)
+        parts = [cls(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in cuts]
+        for x in parts:
+            del x.at  # counted anew over all
         out = cls.__new__(cls)
+        ahead = np.cumsum([0, *(len(x) for x in parts)])
         for name in ("word", "count", "piece", "head"):
-            setattr(out, name, np.concatenate([getattr(x, name) for x in parts]))
+            # a part gives up what is taken over
+            setattr(out, name, np.concatenate([x.__dict__.pop(name) for x in parts]))
         out.at = np.cumsum(out.count, dtype=np.int64) - out.count
-        ahead = np.cumsum([0, *(len(x) for x in parts)])
         out.first = np.concatenate([*(x.first[:-1] + n for x, n in zip(parts, ahead)), ahead[-1:]])
         return out
 
@@ -231,10 +237,10 @@ def _odds(bucket: np.ndarray, text: np.ndarray, y: np.ndarray, weight: np.ndarra
 
 def all_odds(words: Words, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
     """The log-odds tables of a sample; rows of weight 0 count for nothing."""
-    used = np.flatnonzero(words.head >= 0)
+    held = words.head >= 0
     return {
         "words": _odds(words.word, owner, y, weight), "chars": _odds(words.piece, np.repeat(owner, words.count), y, weight),
-        "heads": _odds(words.head.ravel()[used], owner[used // len(HEADS)], y, weight),
+        "heads": _odds(words.head[held], np.repeat(owner, held.sum(1)), y, weight),
     }
 
 
@@ -264,7 +270,7 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, seed: int = 5) ->
     steps = -(-(len(y) + min(len(y) // 2, int((y[text] == 0).sum()))) // BATCH)
     for epoch in range(max(EPOCHS, -(-LEAST_STEPS // steps))):
         # the untrained network knows nothing: the first windows are those with the highest log-odds
-        logits = window_logits(model, words, odds, starts, stops) if epoch else window_odds(odds, starts, stops)
+        logits = window_logits(model, words, odds, starts, stops, FEW) if epoch else window_odds(odds, starts, stops)
         order = np.lexsort((logits, text))
         top = order[np.append(text[order][1:] != text[order][:-1], True)]
         clean = np.flatnonzero(y[text] == 0)
