@@ -10,8 +10,8 @@ it is one vector.
 A query walks down level by level: children of the nodes it still holds stay if
 ip(q, centre) + |q| * radius can reach its bound; what it holds when there are no more
 children are leaves, whose probes it meets.  The join walks inside the kernel's groups, over
-the nodes of a block of whole leaves (in_leaves, within_reach), so vectors are not copied a
-node; walk() does it over the tables of all nodes, as equi-joins on the parent, to count visits.
+the nodes of a block of whole nodes of at most COARSE probes, which are split on there to leaves
+(in_leaves, within_reach), so vectors are not copied a node; walk() does it over the tables of all nodes, as equi-joins on the parent, to count visits.
 Nodes number a fraction of the probes and are joined, never collected.
 """
 
@@ -29,6 +29,7 @@ from ..functions import vectors as V
 from ..plans.shared import materialize, numbered
 
 LEAF = 256
+COARSE = 2048  # probes of a node from which on a group splits it by itself
 NEAR = 8192  # vectors of a block of near_pairs()
 PAIRS = 1 << 20  # of them looked at together
 FANOUT = 8
@@ -43,12 +44,11 @@ def _share(level: int) -> Column:
     return F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def build(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> tuple[DataFrame, list[DataFrame]]:
-    """((pid, node) of the leaves, the node table of each level below the root); p has pid and pv."""
-    held = p.select("pid", "pv", F.lit(1).cast("long").alias("node"))
+def build(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, balls: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """((pid, node) of the leaves, the node table of each level below the root, if balls); p has pid and pv."""
+    held = materialize(p.select("pid", "pv", F.lit(1).cast("long").alias("node")))
     leaves, levels = [], []
     for level in range(1, LEVELS + 1):
-        held = materialize(held)
         sizes = held.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         picked = held.join(sizes, "node").where((F.col("n") > leaf) & (_share(level) * F.col("n") < PICKS * fanout))
         picked = picked.groupBy("node", "pv").agg(F.min(F.struct(_share(level).alias("s"), "pid")).alias("o"))
@@ -62,25 +62,44 @@ def build(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> tuple[DataFra
         near = F.array_min(F.transform("centres", lambda c: F.struct(V.l2_squared("pv", c["centre"]).alias("d"), c["i"].alias("i"))))
         child = (F.col("node") * 16 + F.col("near.i")).alias("node")
         moved = materialize(held.join(centres, "node").select("pid", "pv", "node", near.alias("near")).select("pid", "pv", child, F.sqrt("near.d").alias("far")))
-        reach = moved.groupBy("node").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("probes"))
-        centre = centres.select(F.col("node").alias("parent"), F.explode("centres").alias("c")).select((F.col("parent") * 16 + F.col("c.i")).alias("node"), "parent", "c.centre")
-        levels.append(materialize(centre.join(reach, "node").select(F.lit(level).alias("level"), "node", "parent", "centre", "radius", "probes")))
+        if balls:
+            reach = moved.groupBy("node").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("probes"))
+            centre = centres.select(F.col("node").alias("parent"), F.explode("centres").alias("c")).select((F.col("parent") * 16 + F.col("c.i")).alias("node"), "parent", "c.centre")
+            levels.append(materialize(centre.join(reach, "node").select(F.lit(level).alias("level"), "node", "parent", "centre", "radius", "probes")))
         held = moved.drop("far")
     leaves.append(held.select("pid", "node"))
     return materialize(reduce(DataFrame.union, leaves)), levels
 
 
-def in_leaves(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+def in_leaves(p: DataFrame, leaf: int = COARSE, fanout: int = FANOUT) -> DataFrame:
     """p with node, its leaf, and spread, which is one for the probes of a leaf unless they are more than a block."""
     from .kernels import BLOCK
 
     p = materialize(p)
-    members, _ = build(p, leaf, fanout)
+    members, _ = build(p, leaf, fanout, balls=False)
     parts = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     spread = F.xxhash64("node", F.pmod(F.xxhash64("pid"), F.col("parts")))
     return p.join(members.join(parts, "node").select("pid", "node", spread.alias("spread")), "pid")
 
 
+def split(m: np.ndarray, node: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT) -> np.ndarray:
+    """The leaf of each vector when nodes of more than leaf of these vectors are split as in build(), with centres evenly from them."""
+    node = node.copy()
+    todo = [np.flatnonzero(node == x) for x in np.unique(node)]
+    while todo:
+        rows = todo.pop()
+        up = int(node[rows[0]])
+        if len(rows) <= leaf or up >> 4 * LEVELS:
+            continue
+        centres = np.unique(m[rows[np.linspace(0, len(rows) - 1, fanout).astype(int)]], axis=0)
+        near = ((centres * centres).sum(1) - 2 * m[rows] @ centres.T).argmin(1)
+        if (near == near[0]).all():
+            continue
+        node[rows] = up * 16 + 1 + near
+        todo += [rows[near == x] for x in np.unique(near)]
+    return node
+
+
 def _balls(m: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(the ball of each leaf, centres, radii) level by level, leaves first, of the nodes over some vectors."""
     leaves, at_leaf = np.unique(node, return_inverse=True)
@@ -99,7 +118,8 @@ def _balls(m: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
 
 def within_reach(g) -> Callable[[slice], np.ndarray]:
     """For some queries of a kernels.Group: the probes of the leaves that a walk down the nodes over the group's probes leaves over."""
-    balls, at_leaf = _balls(g.p, g.node), np.unique(g.node, return_inverse=True)[1]
+    node = split(g.p, g.node)
+    balls, at_leaf = _balls(g.p, node), np.unique(node, return_inverse=True)[1]
 
     def look(at: slice) -> np.ndarray:
         held = None

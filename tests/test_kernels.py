@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dotforge.operators import covers, evaluate, joins, kernels, lists
+from dotforge.operators import covers, evaluate, joins, kernels, lists, lsh
 from dotforge.sources import matrices
 
 
@@ -125,3 +125,16 @@ def test_bounds_are_scores_and_worked_out_once(spark, monkeypatch):
     assert not any(n in out._jdf.queryExecution().executedPlan().toString() for n in ("Join", "Window", "MapInArrow"))
     for few in (joins.top_k_bounds(q, p, 41), joins.top_k_bounds(q, p.where("pid < 0"), 1)):
         assert {r.bound for r in few.collect()} == {float("-inf")}
+
+
+def test_nodes_are_split_to_leaves_inside_a_group():
+    rng = np.random.default_rng(43)
+    m = np.vstack([rng.normal(size=(900, 4)), np.ones((60, 4))])
+    node = np.where(np.arange(960) < 900, 17, 18)
+    got = covers.split(m, node, leaf=40, fanout=4)
+    leaves, sizes = np.unique(got, return_counts=True)
+    assert set(leaves[sizes > 40]) == {18}  # of one vector
+    up = got.copy()
+    while (up > 18).any():
+        up = np.where(up > 18, up >> 4, up)
+    assert (up == node).all() and len(leaves) > 900 // 40
