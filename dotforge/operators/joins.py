@@ -15,7 +15,7 @@ and lie in one bucket.  Filter and verification run inside the groups of that jo
 (kernels.block_join), so candidates are never rows; lc and li read lists over whole buckets.
 
 The bound is theta, or in top-k the k-th best score against the probes of
-greatest length (a set of fixed size, so every task may have it).
+greatest length (a set of fixed size, a block at most, so every task may have it).
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from . import covers, kernels, lists, lsh
 SLACK = kernels.SLACK
 EPS = 1e-9
 BUCKET_FACTOR = 0.9
-SEEDS = 10  # top-k bounds come from SEEDS * k longest probes
+SEEDS = 10  # top-k bounds come from SEEDS * k longest probes at least, which an approximate top k keeps as candidates
+SEED_VALUES = 1 << 18  # ... of an exact one from a block of them, as long as it has no more coordinates in all
 BLOCK = 4096
 EXACT = ("naive", "length", "bucketed", "coord", "incr", "lc", "li", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "tree", "ap", "dense")
 APPROXIMATE = ("lsh", "blsh")
@@ -167,14 +168,20 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", "probe_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def top_k_bounds(q: DataFrame, p: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
+def top_k_bounds(q: DataFrame, p: DataFrame, k: int, seeds: int | None = None) -> DataFrame:
     """q with bound: the k-th best score against the seeds * k longest probes (-inf if there are fewer than k).
 
-    Those few are sent to every task, which adds products up coordinate by coordinate, as the
-    verification does, so a bound is never above the score that it comes from.  The result is
-    written, since the queries are counted, paired with buckets and sent.
+    Without seeds, a block of probes is taken: the closer the bound, the fewer pairs reach it.
+    Those few are sent to every task, which picks the k best by one product and adds these up
+    coordinate by coordinate, as the verification does, so a bound is never above the scores that
+    it comes from.  The result is written, since the queries are counted, paired with buckets and sent.
     """
-    longest = [r.pv for r in p.orderBy(F.desc("pn"), "pid").limit(seeds * k).select("pv").collect()]
+    if seeds is None:
+        width = p.select(F.size("pv")).first()
+        many = max(SEEDS * k, min(kernels.BLOCK, SEED_VALUES // max(1, width[0] if width else 1)))
+    else:
+        many = seeds * k
+    longest = [r.pv for r in p.orderBy(F.desc("pn"), "pid").limit(many).select("pv").collect()]
     if not 0 < k <= len(longest):
         return q.withColumn("bound", F.lit(float("-inf")))
     axes, at = np.array(longest).T, q.columns.index("qv")
@@ -184,10 +191,12 @@ def top_k_bounds(q: DataFrame, p: DataFrame, k: int, seeds: int = SEEDS) -> Data
             m = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(axes))
             step, bound = max(1, kernels.PAIRS // axes.shape[1]), np.zeros(batch.num_rows)
             for lo in range(0, len(m), step):
-                some = np.zeros((len(m[lo : lo + step]), axes.shape[1]))
-                for x, y in zip(m[lo : lo + step].T, axes):
-                    some += x[:, None] * y
-                bound[lo : lo + step] = np.partition(some, -k, axis=1)[:, -k]
+                some = m[lo : lo + step]
+                top = np.argpartition(some @ axes, -k, axis=1)[:, -k:]
+                score = np.zeros(top.shape)
+                for x, y in zip(some.T, axes):
+                    score += x[:, None] * y[top]
+                bound[lo : lo + step] = score.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], [*batch.schema.names, "bound"])
 
     return materialize(q.mapInArrow(run, T.StructType([*q.schema, T.StructField("bound", T.DoubleType())])))
@@ -216,17 +225,17 @@ def row_top_k(
     if method.startswith("tanra"):
         raise ValueError("tanra answers above-theta only")
     q, p, width = prepare_both(queries, probes, check)
+    inexact = approx is not None or (method in (*APPROXIMATE, "simple_lsh") and not complete)
+    q = top_k_bounds(q, p, k, SEEDS if inexact else None)
     if method in ("simple_lsh", "pca_tree", "pca_hamming"):
-        q = top_k_bounds(q, p, k)
         if method != "simple_lsh":
             pairs = (lsh.pca_tree if method == "pca_tree" else lsh.pca_hamming)(q, p, k, depth)
         else:
             pairs = kernels.block_join(q, p, "simple_lsh", k=k, recall=recall, complete=complete)
     else:
-        q = top_k_bounds(q, p, k)
         pruned = q.withColumn("bound", relax(F.col("bound"), F.col("qn"), approx, epsilon))
         pairs = scored(pruned, p, "lsh" if approx == "hyb" else method, width, recall, k, complete)
-    if approx or method in (*APPROXIMATE, "simple_lsh"):
+    if inexact:
         longest = p.orderBy(F.desc("pn"), "pid").limit(SEEDS * k)
         pairs = pairs.union(products(q.crossJoin(F.broadcast(longest)))).dropDuplicates(["query_id", "probe_id"])
     out = best(pairs, k)

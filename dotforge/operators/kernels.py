@@ -1,15 +1,17 @@
 """Block joins whose inner step is a small numpy kernel.
 
-Queries and probes are cut into blocks of at most BLOCK rows; a probe block (a chunk
+Queries and probes are cut into blocks of some BLOCK rows; a probe block (a chunk
 of a norm bucket, or of another kind of bucket) meets each query block in one task-side
-group, and only queries that can reach their bound in the block's bucket are sent.  Group
-sizes are bounded, so neither side is ever broadcast or collected.
+group, and only queries that can reach their bound in the block's bucket are sent, in as many
+blocks as those queries take.  Where there are more than LEAST groups, blocks grow up to GROW times
+as large, since what is sent falls as they grow.  Group sizes are bounded, so neither side is ever
+broadcast or collected.
 
 Inside a group some queries at a time, PAIRS pairs with all its probes, go through the
 method, which says which pairs it looks up; these are multiplied and verified, and for a
 top k only the k best of the group leave it.  So a task holds one group and PAIRS pairs,
-whatever the tables' size or the bounds, and sorts GROUPS groups on average: there are as
-many tasks as that takes.
+whatever the tables' size or the bounds, and sorts GROUPS groups of BLOCK rows on average, or
+as many rows of larger ones: there are as many tasks as that takes.
 
     naive, dense       all pairs of the group
     length, bucketed   pairs whose lengths reach the bound
@@ -38,7 +40,9 @@ from .lsh import match_table, meets
 SLACK = 1 + 1e-12
 BLOCK = 4096
 PAIRS = 1 << 20  # pairs looked at together
-GROUPS = 4  # groups that a task has on average
+GROUPS = 4  # groups of BLOCK rows a side that a task has on average
+GROW = 4  # a block has up to so many times BLOCK rows ...
+LEAST = 128  # ... as long as there are so many groups
 METHODS = ("naive", "length", "bucketed", "dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "ap", "coord", "incr", "tree", "lsh", "blsh")
 STAGE = 8  # coordinates between two bounds on partial sums
 FEW = 0.1  # share of pairs from which on they are followed one by one
@@ -112,12 +116,19 @@ def greedy(q: np.ndarray, lists: Lists, need: np.ndarray) -> np.ndarray:
             depth[down, i] = np.searchsorted(lists.values[:, i], level[down] / q[down, i], "left")
         return np.minimum(-(-depth // DEPTH) * DEPTH, n)
 
+    open_, all_ = np.arange(len(q)), q
     for _ in range(HALVINGS):
         level = (low + high) / 2
         depth = down_to(level)
         stops = lists.edges(q, depth).sum(1) < need
-        best = np.where(stops[:, None], depth, best)
+        best[open_[stops]] = depth[stops]
         low, high = np.where(stops, level, low), np.where(stops, high, level)
+        # a query that reads as much as a scan and does not stop there has to read on, which threshold() leaves to the scan
+        going = stops | (depth.sum(1) < n)
+        open_, low, high, need = open_[going], low[going], high[going], need[going]
+        q = all_[open_]
+        if not len(q):
+            break
     return best
 
 
@@ -167,7 +178,8 @@ def prefix(q: np.ndarray, p: np.ndarray, bound: np.ndarray):
         rest = ps[np.arange(len(p)), end]
         if live is None:
             total += q[:, lo:hi] @ posted[:, lo:hi].T
-            left = qs[:, end] * rest >= need[:, None] - total
+            held = qs[:, end] if (end > lo).any() else qs[:, lo, None]
+            left = held * rest >= need[:, None] - total
             if not lo or left.mean() < FEW:
                 live = np.nonzero(left)
                 part = total[live]
@@ -260,26 +272,31 @@ def block_join(
 
     if "bucket" not in p.columns:
         # a norm bucket holds one length's tenth; methods that do not go by length have all probes in one
-        p = p.withColumn("bucket", F.lit(0).cast("long") if method in ("naive", "tree", "simple_lsh") else log_bucket(F.col("pn")))
+        p = p.withColumn("bucket", F.lit(0).cast("long") if method in ("naive", "tree") else log_bucket(F.col("pn")))
     if "node" not in p.columns:
         p = p.withColumns({"node": F.lit(1).cast("long"), "spread": F.xxhash64("pid")})
     stats = p.groupBy("bucket").agg(F.max("pn").alias("longest"), F.count(F.lit(1)).alias("probes"))
-    stats = stats.withColumn("chunks", F.ceil(F.col("probes") / BLOCK).cast("int")).drop("probes")
-    per_bucket = stats.collect()
-    blocks = math.ceil(max(1, q.count()) / BLOCK)
-    tasks = max(1, math.ceil(blocks * sum(r.chunks for r in per_bucket) / GROUPS))
-    hot = F.broadcast(q.sparkSession.createDataFrame(per_bucket, stats.schema))  # one row a bucket
-    left = q.select("qid", "qv", "qn", "bound", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
-    if only is not None:
-        left = left.join(only, "qid").join(hot, "bucket")
-    else:
-        left = left.join(hot, F.lit(True) if method == "naive" else F.col("qn") * F.col("longest") * SLACK >= F.col("bound"))
+    per_bucket, spark = stats.collect(), q.sparkSession
+
+    def met(queries: DataFrame, buckets: DataFrame) -> DataFrame:
+        if only is not None:
+            return queries.join(only, "qid").join(buckets, "bucket")
+        return queries.join(buckets, F.lit(True) if method == "naive" else F.col("qn") * F.col("longest") * SLACK >= F.col("bound"))
+
+    # one row a bucket
+    asked = met(q.select("qid", "qn", "bound"), F.broadcast(spark.createDataFrame(per_bucket, stats.schema))).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    asked = {r.bucket: r.n for r in asked.collect()}
+    block = int(min(GROW * BLOCK, max(BLOCK, math.sqrt(sum(r.probes * asked.get(r.bucket, 0) for r in per_bucket) / LEAST))))
+    sized = [(r.bucket, r.longest, math.ceil(r.probes / block), math.ceil(asked.get(r.bucket, 0) / block)) for r in per_bucket]
+    tasks = max(1, math.ceil(max((parts for *_, parts in sized), default=1) * sum(chunks for _, _, chunks, _ in sized) * block / BLOCK / GROUPS))
+    hot = F.broadcast(spark.createDataFrame(sized, "bucket long, longest double, chunks int, parts int").where("parts > 0"))
+    left = met(q.select("qid", "qv", "qn", "bound"), hot).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
     span = F.col("qn") * F.col("longest")
     left = left.withColumn("local", F.when((span > 0) & (F.col("bound") > 0), F.col("bound") / span).otherwise(F.lit(0.0)))
     left = left.select(F.col("bucket").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("part").alias("d"), "qid", "qv", "qn", "bound", "local", "longest")
     right = p.join(hot, "bucket").select(
         "bucket", F.pmod("spread", F.col("chunks")).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "pid", "pv", "pn", "node",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pid", "pv", "pn", "node",
     )
     stages = match_table(recall) if method == "blsh" else None
     names = {"query_id": pa.int64(), "probe_id": pa.int64(), "score": pa.float64()} | ({"compared": pa.int64()} if counted else {})

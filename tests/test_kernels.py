@@ -148,3 +148,31 @@ def test_shared_codes_as_by_comparing():
     for i in range(0, 1100, 13):
         want = (q[i, : needed[i]] == p[:, : needed[i]]).any(1) if needed[i] <= lsh.TABLES else np.zeros(37, bool)
         assert (got[i] == want).all()
+
+
+def test_bounds_come_from_a_block_of_probes(spark):
+    m = np.random.default_rng(39).normal(size=(620, 5))
+    q, p, _ = joins.prepare_both(*frames(spark, m[:20], m[20:]))
+    got = {r.qid: r.bound for r in joins.top_k_bounds(q, p, 3).collect()}
+    want = np.sort(m[:20] @ m[20:].T, axis=1)[:, -3]
+    assert np.allclose([got[i] for i in sorted(got)], want)
+
+
+def test_only_queries_that_ask_for_a_bucket_make_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 10)
+    m = np.random.default_rng(40).normal(size=(420, 4))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[:280] *= 0.1  # these reach the bound nowhere
+    q, p, _ = joins.prepare_both(*frames(spark, m[:300], m[300:]))
+    out = kernels.block_join(q.withColumn("bound", F.lit(0.5)), p, "length")
+    assert out.rdd.getNumPartitions() <= -(-2 * (12 + 2) // kernels.GROUPS)
+    assert out.count() == (m[:300] @ m[300:].T >= 0.5).sum()
+
+
+def test_a_query_that_will_be_scanned_is_not_followed_further(monkeypatch):
+    rng = np.random.default_rng(42)
+    q, p = rng.normal(size=(50, 20)), rng.normal(size=(400, 20))
+    held, seen, edges = kernels.Lists(p), [], kernels.Lists.edges
+    monkeypatch.setattr(kernels.Lists, "edges", lambda s, q, depth: seen.append(len(q)) or edges(s, q, depth))
+    assert kernels.threshold(q, held, np.full(50, -5.0), True, True).all()
+    assert sum(seen) <= 4 * 50  # both ends, and a step or two of ten
