@@ -86,7 +86,7 @@ _ODD = tc.seeds(BANDS * ROWS, 23)[:, None]
 _BAND = tc.seeds(BANDS, 37)
 
 
-def sketch(x: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+def sketch(x: np.ndarray, block: int = 1 << 12) -> np.ndarray:
     """Band keys of one text's labelled k-mers (at least one)."""
     n = len(_SEED)
     low = np.full((n, 2), np.iinfo(np.uint64).max, np.uint64)
@@ -207,12 +207,11 @@ def open_texts(met: DataFrame, roots: DataFrame) -> DataFrame:
     return crowd.join(mixed, "key", "left_semi").select("tid", "comp").distinct()
 
 
-def _marks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, labelled k-mers) of the texts of a batch."""
+def _marks(batch: pa.RecordBatch) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(row, labelled k-mers) of the texts of a batch, slice by slice."""
     for lo, hi, data, off in tc.batches_of(batch):
         h, first = tc.words(data, off)
-        for i in range(hi - lo):
-            yield lo + i, labelled(h[first[i] : first[i + 1]])
+        yield [(lo + i, labelled(h[first[i] : first[i + 1]])) for i in range(hi - lo)]
 
 
 def _slot(x: np.ndarray) -> np.ndarray:
@@ -221,24 +220,24 @@ def _slot(x: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_slot(x) for _, x in _marks(batch)]
-        slot, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
+        for some in _marks(batch):
+            slot, n = np.unique(np.concatenate([_slot(x) for _, x in some]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], ["slot", "n"])
 
 
 def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            at, tokens, places, sizes = [], [], [], []
-            for i, x in _marks(batch):
-                n = len(x)
-                x = x[np.lexsort((x, counts[_slot(x)]))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
-                at.append(np.full(len(x), i))
-                tokens.append(x)
-                places.append(np.arange(len(x), dtype=np.int32))
-                sizes.append(np.full(len(x), n, np.int32))
-            if at:
+            for some in _marks(batch):
+                at, tokens, places, sizes = [], [], [], []
+                for i, x in some:
+                    n = len(x)
+                    x = x[np.lexsort((x, counts[_slot(x)]))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                    at.append(np.full(len(x), i))
+                    tokens.append(x)
+                    places.append(np.arange(len(x), dtype=np.int32))
+                    sizes.append(np.full(len(x), n, np.int32))
                 cols = [batch.column(0).take(pa.array(np.concatenate(at)))]
                 cols += [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))]
                 yield pa.RecordBatch.from_arrays(cols, ["tid", "token", "place", "size"])

@@ -19,6 +19,7 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
+LIMIT = 1 << 18  # bytes of texts of a batch that are worked on at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,8 +116,9 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def batches_of(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+def batches_of(batch: pa.RecordBatch, column: str = "text", limit: int = LIMIT):
     """(lo, hi, bytes, offsets) for row ranges of a batch, bounded by bytes."""
     data, off = utf8(batch.column(batch.schema.get_field_index(column)))
     for lo, hi in slices(off, limit):
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages

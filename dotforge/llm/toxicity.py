@@ -53,7 +53,7 @@ FOLDS = 4
 BATCH = 64
 STRETCH = 1 << 16  # words or pieces that are counted at a time
 SLICE = 1 << 17  # bytes of texts whose words are taken at a time
-FEW = 512  # windows that training scores at a time
+FEW = 512  # windows that are scored at a time
 EPOCHS = 4
 LEAST_STEPS = 400  # small samples are gone through more often
 EMBED_RATE = 0.05  # embeddings move this much slower than the rest, so that they do not learn texts by heart
@@ -332,7 +332,7 @@ def score_texts(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     words = Words(data, offsets)
     starts, text = window_starts(words.first)
     best = np.full(n, -np.inf)
-    np.maximum.at(best, text, window_logits(model, words, odds_of({k: model[f"{k}_odds"] for k in PARTS}, words), starts, words.first[text + 1]))
+    np.maximum.at(best, text, window_logits(model, words, odds_of({k: model[f"{k}_odds"] for k in PARTS}, words), starts, words.first[text + 1], FEW))
     return sigmoid(best)
 
 
@@ -348,7 +348,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [score_texts(shared.value, data, off) for _, _, data, off in tc.batches_of(batch, f"c{at}", 1 << 19)]
+            got = [score_texts(shared.value, data, off) for _, _, data, off in tc.batches_of(batch, f"c{at}", SLICE)]
             got = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(got.astype(np.float64), 6))], [*batch.schema.names, "s"])
 

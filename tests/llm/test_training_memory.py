@@ -31,3 +31,19 @@ def test_words_of_a_sample_need_little_beside_themselves():
         assert (getattr(words, name) == getattr(whole, name)).all() and (getattr(again, name) == getattr(whole, name)).all()
     print(size / 1e6, peak / 1e6, counted / 1e6)
     assert peak < 2.1 * size and counted < 1.2 * size
+
+
+def test_near_copies_hold_a_few_megabytes_at_a_time():
+    from dotforge.llm import near_dedup
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 70_000).astype(np.uint64)
+    whole = near_dedup.sketch(x, len(x))
+    tracemalloc.start()
+    got = near_dedup.sketch(x)
+    sketched = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == whole).all() and sketched < 16 << 20
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(400)])], ["text"])
+    out = list(near_dedup._counts(iter([batch])))
+    assert len(out) > 1 and sum(o.column(1).to_numpy().sum() for o in out) == sum(len(x) for some in near_dedup._marks(batch) for _, x in some)
