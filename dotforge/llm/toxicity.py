@@ -9,8 +9,8 @@ pools their states, and a logistic unit scores the pool.  All windows of WIDTH w
 starting every WIDTH / 2 words, are scored over the whole text, and a text's score
 is that of its most toxic window.
 
-Training (numpy, on the driver) sees a bounded sample of labelled texts (MOST_TEXTS
-texts of at most learn.LONGEST bytes).  Log-odds are cross-fitted: while the network
+Training (numpy, in one task, so that the driver holds no texts) sees a bounded sample of
+labelled texts (MOST_TEXTS texts of at most learn.LONGEST bytes).  Log-odds are cross-fitted: while the network
 learns from a text, they come from the other FOLDS - 1 parts of the sample, so it learns
 what they are worth on unseen texts; scoring uses those of the whole sample.  Each epoch
 picks every text's highest window under the current weights (and a random one of each
@@ -29,6 +29,7 @@ more leading underscore as long as the input has a column of its name.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .common import crc_mod, fresh_name
-from .learn import Adam, by_row, labelled_sample, sigmoid
+from .learn import Adam, by_row, in_order, labelled_rows, sigmoid
 
 MOST_TEXTS = 3000
 WIDTH = 32
@@ -337,7 +338,16 @@ def score_texts(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> dict:
-    return train(*labelled_sample(docs, labels, "toxic", 4, 2, most))
+    """Weights learned from a sample of at most `most` labelled texts; only they come to the driver."""
+    rows, counts = labelled_rows(docs, labels, "toxic", 4, 2, most)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            model = train(*in_order(pa.Table.from_batches(got), counts))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    got = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(got[0].model) if got else {"prior": 0.0}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:

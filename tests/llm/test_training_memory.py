@@ -1,12 +1,14 @@
-"""What the driver holds while it takes the words of a sample and counts them."""
+"""What training and its neighbours hold, and where."""
 
+import os
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
+from dotforge.llm import components, learn, toxicity
 from dotforge.llm import textcore as tc
-from dotforge.llm import toxicity
 
 
 def test_words_of_a_sample_need_little_beside_themselves():
@@ -47,3 +49,29 @@ def test_near_copies_hold_a_few_megabytes_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(400)])], ["text"])
     out = list(near_dedup._counts(iter([batch])))
     assert len(out) > 1 and sum(o.column(1).to_numpy().sum() for o in out) == sum(len(x) for some in near_dedup._marks(batch) for _, x in some)
+
+
+def test_the_network_learns_outside_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} {'bad' if i % 3 == 0 else 'good'} text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    want = toxicity.train(*learn.labelled_sample(docs, labels, "toxic", 4, 2, 40))
+    got = toxicity.fit(docs, labels, 40)
+    assert "out" in got and got.keys() == want.keys() and all((np.asarray(got[k]) == want[k]).all() for k in want)
+    assert toxicity.fit(docs, labels.where("toxic > 1")) == {"prior": 0.0}
+    monkeypatch.setattr(toxicity, "train", lambda *_: {"prior": float(os.getpid())})
+    assert toxicity.fit(docs, labels, 40)["prior"] != os.getpid()
+
+
+def test_components_stop_as_soon_as_all_are_stars(spark, monkeypatch):
+    rnd, rounds, star = random.Random(4), [], components._star
+    monkeypatch.setattr(components, "_star", lambda *how: rounds.append(how[1]) or star(*how))
+    found = lambda edges: {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found([(1, 5), (6, 1), (2, 2), (9, 7)]) == {1: 1, 5: 1, 6: 1, 7: 7, 9: 7} and not rounds
+    assert found([(1, 2), (3, 2)]) == {1: 1, 2: 1, 3: 1} and len(rounds) == 2
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for u, v in edges:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    assert found(edges) == root
