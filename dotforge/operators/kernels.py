@@ -11,7 +11,8 @@ Inside a group some queries at a time, PAIRS pairs with all its probes, go throu
 method, which says which pairs it looks up; these are multiplied and verified, and for a
 top k only the k best of the group leave it.  So a task holds one group and PAIRS pairs,
 whatever the tables' size or the bounds, and sorts GROUPS groups of BLOCK rows on average, or
-as many rows of larger ones: there are as many tasks as that takes.
+as many rows of larger ones: there are as many tasks as that takes.  So it is with the k best of
+all groups, which go by query to as many tasks as KEPT rows each take.
 
     naive, dense       all pairs of the group
     length, bucketed   pairs whose lengths reach the bound
@@ -40,7 +41,8 @@ from .lsh import match_table, meets
 SLACK = 1 + 1e-12
 BLOCK = 4096
 PAIRS = 1 << 20  # pairs looked at together
-GROUPS = 4  # groups of BLOCK rows a side that a task has on average
+GROUPS = 1  # groups of BLOCK rows a side that a task has on average
+KEPT = 1 << 19  # rows of the groups' k best that a task picks from, at most on average
 GROW = 4  # a block has up to so many times BLOCK rows ...
 LEAST = 128  # ... as long as there are so many groups
 METHODS = ("naive", "length", "bucketed", "dense", "ta_rr", "ta_max", "tanra_rr", "tanra_max", "ap", "coord", "incr", "tree", "lsh", "blsh")
@@ -323,4 +325,6 @@ def block_join(
     schema = "query_id long, probe_id long, score double" + (", compared long" if counted else "")
     # with a number of its own, so that a task sorts some GROUPS groups however many there are
     left, right = left.repartition(tasks, "b", "c", "d"), right.repartition(tasks, "bucket", "chunk", "part")
-    return left.groupBy("b", "c", "d").cogroup(right.groupBy("bucket", "chunk", "part")).applyInArrow(run, schema)
+    out = left.groupBy("b", "c", "d").cogroup(right.groupBy("bucket", "chunk", "part")).applyInArrow(run, schema)
+    kept = (k or 0) * sum(asked.get(bucket, 0) * chunks for bucket, _, chunks, _ in sized)
+    return out.repartition(math.ceil(kept / KEPT), "query_id") if kept > KEPT else out

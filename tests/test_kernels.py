@@ -176,3 +176,20 @@ def test_a_query_that_will_be_scanned_is_not_followed_further(monkeypatch):
     monkeypatch.setattr(kernels.Lists, "edges", lambda s, q, depth: seen.append(len(q)) or edges(s, q, depth))
     assert kernels.threshold(q, held, np.full(50, -5.0), True, True).all()
     assert sum(seen) <= 4 * 50  # both ends, and a step or two of ten
+
+
+def test_tasks_hold_one_group_and_pick_from_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 10)
+    monkeypatch.setattr(kernels, "KEPT", 400, raising=False)
+    rng = np.random.default_rng(44)
+    m = rng.normal(size=(430, 4))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    q, p, _ = joins.prepare_both(*frames(spark, m[:30], m[30:]))
+    q = q.withColumn("bound", F.lit(-1.0))
+    groups = sum(-(-r["count"] // 10) for r in p.groupBy(joins.log_bucket(F.col("pn"))).count().collect())
+    assert kernels.block_join(q, p, "dense").rdd.getNumPartitions() >= groups * 3
+    out = kernels.block_join(q, p, "dense", k=2)
+    sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == -(-2 * 30 * groups // 400) > 4 and max(sizes) < 2 * 400
+    got = [(r.query_id, r.probe_id) for r in joins.best(out, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(i, j) for i, row in enumerate(np.argsort(-(m[:30] @ m[30:].T), axis=1, kind="stable")[:, :2].tolist()) for j in row]
