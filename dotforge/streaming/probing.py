@@ -12,24 +12,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions import vectors as V
-from ..operators import joins
+from ..operators import joins, kernels
+from ..plans.shared import materialize
 
 
 def stream_above_theta(queries: DataFrame, probes: DataFrame, theta: float) -> DataFrame:
-    """Streaming (query_id, probe_id, score): a stateless stream-static equi-join on norm buckets and chunks of them.
+    """Streaming (query_id, probe_id, score): a stateless stream-static equi-join of blocks.
 
-    Each micro-batch meets the buckets that the length bound leaves, chunk by chunk, so the
-    probes are shuffled, not broadcast; only the bounds of the buckets, one row each, are.
+    The probes are packed and written once, a row a chunk of a norm bucket.  The queries of a micro-batch,
+    longest first, are packed into rows of at most joins.BLOCK, which meet the chunks that the
+    length bound leaves; what two blocks make is worked out at once.  So the probes are
+    shuffled, not broadcast; only the bounds of their chunks, one row each, are.
     """
-    p, stats = joins.with_buckets(joins.prepare(probes, "p"))
-    stats = stats.withColumn("chunks", F.ceil(F.col("probes") / joins.BLOCK).cast("int")).select("bucket", "longest", "chunks")
-    p = p.join(F.broadcast(stats.select("bucket", "chunks")), "bucket").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int")).drop("chunks")
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("qv")).withColumn("qn", V.norm("qv"))
-    met = q.join(F.broadcast(stats), F.col("qn") * F.col("longest") * joins.SLACK >= theta)
-    met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(p, ["bucket", "chunk"])
-    met = met.where(F.col("qn") * F.col("pn") * joins.SLACK >= theta)
-    return met.select("query_id", F.col("pid").alias("probe_id"), V.ip("qv", "pv").alias("score")).where(F.col("score") >= theta)
+    first = probes.where("vec IS NOT NULL").select(F.size("vec")).first()
+    width = first[0] if first else None
+    p, stats = joins.with_buckets(joins.prepare(probes, "p", width=width))
+    chunk = F.pmod(F.xxhash64("pid"), F.ceil(F.col("probes") / joins.BLOCK)).cast("int").alias("chunk")
+    p = p.join(F.broadcast(stats.select("bucket", "probes")), "bucket").select("bucket", chunk, "pid", "pv", "pn")
+    block = joins.BLOCK
+
+    def chunks(key: tuple, t: pa.Table) -> pa.Table:
+        row = _packed(t.select(["pid", "pv"]), 0, "pids", "ps").drop_columns("part")
+        return pa.table({"bucket": [key[0].as_py()], "chunk": pa.array([key[1].as_py()], pa.int32()), "longest": [max(t["pn"].to_pylist())], "pids": row["pids"], "ps": row["ps"]})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).sort_by([("qn", "descending")])
+            for lo in range(0, len(rows), block):
+                some = rows.slice(lo, block).combine_chunks()
+                row = _packed(some.select(["qid", "qv"]), 0).drop_columns("part")
+                yield from row.append_column("qn", pa.array([some["qn"][0].as_py()])).to_batches()
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qid, q, pid, p = (batch.column(n)[row].values.to_numpy(zero_copy_only=False) for n in ("qids", "qs", "pids", "ps"))
+                yield from _reaching(qid, q.reshape(len(qid), -1), pid, p.reshape(len(pid), -1), theta)
+
+    held = materialize(p.groupBy("bucket", "chunk").applyInArrow(chunks, "bucket long, chunk int, longest double, pids array<bigint>, ps array<double>"))
+    q = joins.prepare(queries, "q", width=width).select("qid", "qv", "qn").mapInArrow(pack, "qids array<bigint>, qs array<double>, qn double")
+    bounds = F.broadcast(held.select("bucket", "chunk", "longest"))
+    met = q.join(bounds, F.col("qn") * F.col("longest") * joins.SLACK >= theta).join(held.drop("longest"), ["bucket", "chunk"])
+    # a row holds two blocks, so few rows make a batch
+    return met.select("qids", "qs", "pids", "ps").mapInArrow(reaching, "query_id long, probe_id long, score double")
 
 
 def top_k_sink(probes: DataFrame, k: int, path: str, **how) -> Callable[[DataFrame, int], None]:
@@ -80,6 +105,26 @@ def _best_of(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k:
         yield pa.RecordBatch.from_arrays([pa.array(qid[lo + i][at]), pa.array(pid[j][at]), pa.array(score[at])], ["query_id", "probe_id", "score"])
 
 
+def _reaching(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, theta: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose score is theta or more, some queries at a time."""
+    if q.shape[1] != p.shape[1]:
+        raise ValueError("vectors of different lengths")
+    qn, longest = np.sqrt((q * q).sum(1)), np.sqrt((p * p).sum(1).max())
+    stay = qn * longest * (1 + 1e-9) >= theta
+    qid, q, qn = qid[stay], q[stay], qn[stay]
+    step = max(1, kernels.PAIRS // len(pid))
+    axes = np.ascontiguousarray(q.T), np.ascontiguousarray(p.T)  # a coordinate's values lie together
+    for lo in range(0, len(qid), step):
+        need = theta - kernels.slack(np.float64(theta)) - 1e-12 * qn[lo : lo + step] * longest
+        i, j = np.nonzero(q[lo : lo + step] @ p.T >= need[:, None])
+        i += lo
+        score = np.zeros(len(i))
+        for x, y in zip(*axes):  # left to right, as the JVM's fold adds
+            score += x[i] * y[j]
+        ok = score >= theta
+        yield pa.RecordBatch.from_arrays([pa.array(qid[i[ok]]), pa.array(pid[j[ok]]), pa.array(score[ok])], ["query_id", "probe_id", "score"])
+
+
 class RunningTopK(StatefulProcessor):
     """One value a query: the k best probes that have come so far."""
 

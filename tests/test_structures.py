@@ -203,6 +203,30 @@ def test_only_the_best_of_the_leaves_leave_their_blocks(spark):
         assert sorted((-round(x.score, 9), x.probe_id) for x in found if x.query_id == r.qid)[:4] == want
 
 
+# streams against static probes ----------------------------------------------
+def test_streamed_queries_meet_blocks_of_probes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(joins, "BLOCK", 30)
+    monkeypatch.setattr(kernels, "PAIRS", 100)
+    rng = np.random.default_rng(19)
+    q, p = rng.integers(-3, 4, (90, 4)).astype(float), rng.integers(-3, 4, (200, 4)).astype(float)
+    a, b = frames(spark, q, p)
+    odd = spark.createDataFrame([(500, None), (501, [1.0, None, 1.0, 1.0]), (502, [math.nan, 1.0, 1.0, 1.0])], "id long, vec array<double>")
+    a.union(odd).repartition(3).write.parquet(f"{tmp_path}/in")
+    for theta in (14.0, -2.0):
+        stream = spark.readStream.schema("id long, vec array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        run = probing.stream_above_theta(stream, b.union(odd), theta).writeStream.format("parquet").option("path", f"{tmp_path}/{theta}")
+        run.option("checkpointLocation", f"{tmp_path}/state{theta}").trigger(availableNow=True).start().awaitTermination()
+        got = [(r.query_id, r.probe_id, r.score) for r in spark.read.parquet(f"{tmp_path}/{theta}").collect()]
+        s = q @ p.T
+        assert sorted(got) == [(i, j, s[i, j]) for i, j in np.argwhere(s >= theta).tolist()]
+    # no row a pair: both sides' vectors stand in no expression together
+    plan = probing.stream_above_theta(a, b, 14.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("qv#" in line and "pv#" in line for line in plan.splitlines())
+    assert probing.stream_above_theta(a, b.where("id < 0"), 1.0).count() == 0
+    with pytest.raises(PySparkException, match="different lengths"):
+        probing.stream_above_theta(frames(spark, q[:, :3])[0], b, 1.0).collect()
+
+
 # running results ------------------------------------------------------------
 def test_running_top_k_grows_and_survives_a_restart(spark, tmp_path):
     rng = np.random.default_rng(17)
