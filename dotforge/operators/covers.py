@@ -11,7 +11,7 @@ A query walks down level by level: children of the nodes it still holds stay if
 ip(q, centre) + |q| * radius can reach its bound; what it holds when there are no more
 children are leaves, whose probes it meets.  The join walks inside the kernel's groups, over
 the nodes of a block of whole nodes of at most COARSE probes, which are split on there to leaves
-(in_leaves, within_reach), so vectors are not copied a node; walk() does it over the tables of all nodes, as equi-joins on the parent, to count visits.
+(in_leaves, within_reach), so vectors are not copied a node; visits() walks over blocks of the tables' nodes.
 Nodes number a fraction of the probes and are joined, never collected.
 """
 
@@ -132,30 +132,62 @@ def within_reach(g) -> Callable[[slice], np.ndarray]:
     return look
 
 
-def walk(q: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
-    """((q.*, node) of the leaves that can hold a pair, (qid, node) of the visits of each level)."""
-    names = q.columns
-    at = q.withColumn("node", F.lit(1).cast("long"))
-    done, visits = [], []
-    for nodes in levels:
-        below = nodes.select(F.col("parent").alias("above"), F.col("node").alias("child"), "centre", "radius")
-        done.append(at.join(below.select("above").distinct(), F.col("node") == F.col("above"), "left_anti"))
-        reach = V.ip("qv", "centre") + F.col("qn") * F.col("radius")
-        met = at.join(below, F.col("node") == F.col("above")).where(reach + EPS * (1 + F.abs(reach)) >= F.col("bound"))
-        at = met.select(*names, F.col("child").alias("node"))
-        visits.append(at.select("qid", "node"))
-    return reduce(DataFrame.union, [*done, at]), visits
+def visits(q: DataFrame, p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
+    """(level, nodes, visits): how many nodes each level has and how often a query (qid, qv, qn, bound) holds one of them.
 
+    Nodes are dealt to blocks of about kernels.BLOCK in the order of their paths, so what a block
+    lacks is only what lies above its first node, which it gets as well.  Every block meets every block
+    of queries in one task, which walks down its nodes for PAIRS pairs at a time and counts.
+    """
+    from .kernels import BLOCK
 
-def visits(q: DataFrame, p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
-    """(level, nodes, visits): how many nodes each level has and how often a query holds one of them."""
     _, levels = build(p, leaf, fanout)
-    out = None
-    for level, (nodes, seen) in enumerate(zip(levels, walk(q, levels)[1]), 1):
-        row = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(seen.agg(F.count(F.lit(1)).alias("visits")))  # one row each
-        row = row.select(F.lit(level).alias("level"), "nodes", "visits")
-        out = row if out is None else out.union(row)
-    return out if out is not None else q.sparkSession.createDataFrame([], "level int, nodes long, visits long")
+    if not levels:
+        return q.sparkSession.createDataFrame([], "level int, nodes long, visits long")
+    # leaves under one node have its number as the first bits, whatever their level
+    nodes = reduce(DataFrame.union, levels).drop("probes").withColumn("path", F.call_function("shiftleft", "node", (LEVELS - F.col("level")) * 4))
+    nodes = numbered(nodes, "path", name="place")
+    count, parts = nodes.count(), max(1, -(-q.count() // BLOCK))
+    blocks = -(-count // BLOCK)
+    nodes = nodes.withColumn("block", F.floor(F.col("place") * blocks / count))
+    above = F.transform(F.sequence(F.lit(1), F.col("level")), lambda i: F.call_function("shiftright", F.col("node"), (i - 1) * 4))
+    needed = nodes.select("block", F.posexplode(above).alias("i", "node")).groupBy("block", "node").agg((F.min("i") == 0).alias("own"))
+    right = needed.join(nodes.select("level", "node", "parent", "centre", "radius"), "node")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = q.select("qv", "qn", "bound", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("c"))
+    pairs = PAIRS
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        seen = np.zeros(LEVELS + 1, np.int64)
+        if len(x) and len(y):
+            m, w = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t, c in ((x, "qv"), (y, "centre")))
+            qn, bound, radius = x["qn"].to_numpy(), x["bound"].to_numpy(), y["radius"].to_numpy()
+            level, own, place = y["level"].to_numpy(), y["own"].to_numpy(zero_copy_only=False), {n: i for i, n in enumerate(y["node"].to_pylist())}
+            up = np.array([place[n] if n > 1 else -1 for n in y["parent"].to_pylist()])
+            below = [np.flatnonzero(level == n) for n in range(2, level.max() + 1)]
+            close = 1e-12 * (1 + qn.max() * (np.sqrt((w * w).sum(1)) + radius).max())  # a product is rounded by far less
+            rows = max(1, pairs // len(y))
+            for lo in range(0, len(m), rows):
+                at = slice(lo, lo + rows)
+                reach = m[at] @ w.T + qn[at, None] * radius
+                i, j = np.nonzero(np.abs(reach + EPS * (1 + np.abs(reach)) - bound[at, None]) <= close)
+                if len(i):
+                    total = np.zeros(len(i))
+                    for k in range(m.shape[1]):  # left to right, as the JVM's fold adds
+                        total += m[at][i, k] * w[j, k]
+                    reach[i, j] = total + qn[at][i] * radius[j]
+                held = reach + EPS * (1 + np.abs(reach)) >= bound[at, None]
+                for these in below:
+                    held[:, these] &= held[:, up[these]]
+                seen += np.bincount(level[own], held[:, own].sum(0), LEVELS + 1).astype(np.int64)
+        some = np.flatnonzero(seen)
+        return pa.table({"level": pa.array(some, pa.int32()), "visits": pa.array(seen[some])})
+
+    # with a number of its own, so that a task walks one block on average
+    left, right = left.repartition(blocks * parts, "c", "d"), right.repartition(blocks * parts, "block", "part")
+    met = left.groupBy("c", "d").cogroup(right.groupBy("block", "part")).applyInArrow(run, "level int, visits long")
+    out = nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes")).join(met.groupBy("level").agg(F.sum("visits").alias("visits")), "level", "left")
+    return out.select("level", "nodes", F.coalesce("visits", F.lit(0).cast("long")).alias("visits")).orderBy("level")
 
 
 def near_pairs(df: DataFrame, radius: float, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:

@@ -125,6 +125,27 @@ def test_tree_prunes_and_near_pairs_are_whole(spark):
     assert {(r.id, r.other) for r in got} == {(i, j) for i, j in np.argwhere(apart <= 0.7).tolist() if i < j} and len(got) == len({(r.id, r.other) for r in got})
 
 
+def test_visits_are_counted_in_blocks_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 12)
+    monkeypatch.setattr(covers, "PAIRS", 50)
+    rng = np.random.default_rng(20)
+    m = np.vstack([rng.integers(-3, 4, (400, 3)).astype(float), np.zeros((60, 3))])
+    a, b = frames(spark, m[:50], m)
+    q, p = joins.prepare(a, "q").withColumn("bound", F.col("qid") % 4 * 4.0 - 3.0), joins.prepare(b, "p")
+    nodes = [r for lv in covers.build(p, leaf=10, fanout=4)[1] for r in lv.collect()]
+    held, want = {1: range(50)}, {}
+    for r in sorted(nodes, key=lambda r: r.level):
+        reach = [float(m[i] @ np.array(r.centre)) + math.sqrt(m[i] @ m[i]) * r.radius for i in range(50)]
+        held[r.node] = [i for i in held[r.parent] if reach[i] + 1e-9 * (1 + abs(reach[i])) >= i % 4 * 4.0 - 3.0]
+        n, seen = want.get(r.level, (0, 0))
+        want[r.level] = n + 1, seen + len(held[r.node])
+    out = covers.visits(q, p, leaf=10, fanout=4)
+    assert [(r.level, r.nodes, r.visits) for r in out.collect()] == [(n, *want[n]) for n in sorted(want)] and len(nodes) > 4 * 12
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") < 6 < 3 * len(want)  # not one or more a level
+    assert covers.visits(q.where("qid < 0"), p, leaf=10, fanout=4).agg(F.sum("visits")).first()[0] == 0
+    assert covers.visits(q, p.where("pid < 5"), leaf=10).count() == 0
+
+
 # postings and staged bounds -----------------------------------------------
 @pytest.mark.parametrize("seed", range(6))
 def test_prefix_kernel_loses_no_pair(seed):
