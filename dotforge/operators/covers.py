@@ -5,7 +5,7 @@ its distinct vectors, picked by a hash of their ids, are the centres of its chil
 every probe goes to the nearest of them.  So each level covers all probes by balls whose
 members lie in a ball of the level before, and each is one table: node, parent, centre,
 radius (the farthest member), probes.  A node is not split further if what is picked from
-it is one vector.
+it is one vector.  Nodes of up to WHOLE probes are split to their leaves in one task each.
 
 A query walks down level by level: children of the nodes it still holds stay if
 ip(q, centre) + |q| * radius can reach its bound; what it holds when there are no more
@@ -29,6 +29,7 @@ from ..functions import vectors as V
 from ..plans.shared import materialize, numbered
 
 LEAF = 256
+WHOLE = 4096  # probes of a node up to which one task splits it to its leaves
 COARSE = 2048  # probes of a node from which on a group splits it by itself
 NEAR = 8192  # vectors of a block of near_pairs()
 PAIRS = 1 << 20  # of them looked at together
@@ -45,12 +46,18 @@ def _share(level: int) -> Column:
 
 
 def build(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, balls: bool = True) -> tuple[DataFrame, list[DataFrame]]:
-    """((pid, node) of the leaves, the node table of each level below the root, if balls); p has pid and pv."""
+    """((pid, node) of the leaves, the node table of each level below the root, if balls); p has pid and pv.
+
+    Nodes of more than WHOLE probes are split level by level, as joins; one that has fewer is
+    split to its leaves in one task (grow()), with the same centres.
+    """
     held = materialize(p.select("pid", "pv", F.lit(1).cast("long").alias("node")))
-    leaves, levels = [], []
+    leaves, levels, aside, whole = [], [], [], max(leaf, WHOLE)
     for level in range(1, LEVELS + 1):
-        sizes = held.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        picked = held.join(sizes, "node").where((F.col("n") > leaf) & (_share(level) * F.col("n") < PICKS * fanout))
+        large = F.broadcast(held.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole))  # a row for WHOLE probes at most
+        aside.append(held.join(large, "node", "left_anti").select("pid", "pv", "node", F.lit(level).alias("level")))
+        held = held.join(large, "node")
+        picked = held.where(_share(level) * F.col("n") < PICKS * fanout)
         picked = picked.groupBy("node", "pv").agg(F.min(F.struct(_share(level).alias("s"), "pid")).alias("o"))
         nth = F.row_number().over(Window.partitionBy("node").orderBy("o"))  # some PICKS * fanout rows a node
         picked = picked.withColumn("i", nth).where(F.col("i") <= fanout)
@@ -68,9 +75,49 @@ def build(p: DataFrame, leaf: int = LEAF, fanout: int = FANOUT, balls: bool = Tr
             levels.append(materialize(centre.join(reach, "node").select(F.lit(level).alias("level"), "node", "parent", "centre", "radius", "probes")))
         held = moved.drop("far")
     leaves.append(held.select("pid", "node"))
+    types = {"pid": pa.int64(), "level": pa.int32(), "node": pa.int64(), "parent": pa.int64(), "centre": pa.list_(pa.float64()), "radius": pa.float64(), "probes": pa.int64()}
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        m, shares = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for c in ("pv", "shares"))
+        at, nodes = grow(t["pid"].to_numpy(), m, shares, key[0].as_py(), key[1].as_py(), leaf, fanout)
+        rows = pa.table({n: t["pid"] if n == "pid" else pa.array(at) if n == "node" else pa.nulls(len(t), x) for n, x in types.items()})
+        below = pa.table({n: pa.nulls(len(nodes), x) if n == "pid" else pa.array([row[n] for row in nodes], x) for n, x in types.items()})
+        return pa.concat_tables([rows, below]) if balls else rows
+
+    aside = reduce(DataFrame.union, aside).withColumn("shares", F.array(*map(_share, range(1, LEVELS + 1))))
+    grown = materialize(aside.groupBy("node", "level").applyInArrow(run, f"pid long, {NODE}"))
+    leaves.append(grown.where("pid IS NOT NULL").select("pid", "node"))
+    below = grown.where("pid IS NULL").drop("pid")
+    for level in range(1, (below.agg(F.max("level")).first()[0] or 0) + 1 if balls else 0):
+        some = below.where(F.col("level") == level)
+        levels[level - 1 : level] = [levels[level - 1].union(some) if level <= len(levels) else some]
     return materialize(reduce(DataFrame.union, leaves)), levels
 
 
+def grow(pid: np.ndarray, m: np.ndarray, shares: np.ndarray, node: int, level: int, leaf: int, fanout: int) -> tuple[np.ndarray, list[dict]]:
+    """(the leaf of each vector, the nodes below) of a node whose children are of that level, split as build() does; shares: a column a level."""
+    m, at, nodes, todo = m + 0.0, np.full(len(m), node), [], [(np.arange(len(m)), node, level)]  # no negative zeros
+    while todo:
+        rows, up, level = todo.pop()
+        if len(rows) <= leaf or level > LEVELS:
+            continue
+        picked = rows[shares[rows, level - 1] * len(rows) < PICKS * fanout]
+        picked = picked[np.lexsort((pid[picked], shares[picked, level - 1]))]
+        centres = m[picked[np.sort(np.unique(m[picked], axis=0, return_index=True)[1])[:fanout]]] if len(picked) else m[:0]
+        if len(centres) < 2:
+            continue
+        square = np.zeros((len(rows), len(centres)))
+        for x, c in zip(m[rows].T, centres.T):  # left to right, as the JVM's fold adds
+            square += (x[:, None] - c) ** 2
+        near, far = square.argmin(1), np.sqrt(square.min(1))
+        for i in np.unique(near).tolist():
+            its, child = near == i, up * 16 + 1 + i
+            at[rows[its]] = child
+            nodes.append({"level": level, "node": child, "parent": up, "centre": centres[i], "radius": far[its].max(), "probes": int(its.sum())})
+            todo.append((rows[its], child, level + 1))
+    return at, nodes
+
+
 def in_leaves(p: DataFrame, leaf: int = COARSE, fanout: int = FANOUT) -> DataFrame:
     """p with node, its leaf, and spread, which is one for the probes of a leaf unless they are more than a block."""
     from .kernels import BLOCK

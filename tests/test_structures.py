@@ -125,6 +125,28 @@ def test_tree_prunes_and_near_pairs_are_whole(spark):
     assert {(r.id, r.other) for r in got} == {(i, j) for i, j in np.argwhere(apart <= 0.7).tolist() if i < j} and len(got) == len({(r.id, r.other) for r in got})
 
 
+def test_small_nodes_are_split_in_one_task_as_level_by_level(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    m = np.vstack([rng.integers(-2, 3, (300, 3)) * 0.3, rng.normal(size=(300, 3)), np.zeros((80, 3)), np.full((5, 3), -0.0)])
+    p = joins.prepare(frames(spark, m)[0], "p")
+    want = None
+    for whole in (0, 60, 1000):  # level by level, both, in one task
+        monkeypatch.setattr(covers, "WHOLE", whole, raising=False)
+        members, levels = covers.build(p, leaf=12, fanout=4)
+        nodes = [sorted((r.level, r.node, r.parent, tuple(x + 0.0 for x in r.centre), r.radius, r.probes) for r in lv.collect()) for lv in levels]
+        got = sorted(map(tuple, members.collect())), nodes
+        want = want or got
+        assert got == want and len(levels) > 3 and all(r[0] == n for n, lv in enumerate(nodes, 1) for r in lv)
+    assert sorted(map(tuple, covers.build(p, leaf=12, fanout=4, balls=False)[0].collect())) == want[0]
+    none, levels = covers.build(p.where("pid < 0"))
+    assert none.count() == 0 and not levels
+    written = []
+    kept = covers.materialize
+    monkeypatch.setattr(covers, "materialize", lambda df: written.append(df.columns) or kept(df))
+    covers.build(p, leaf=12, fanout=4)
+    assert len(written) < 6  # it was three a level
+
+
 def test_visits_are_counted_in_blocks_of_nodes(spark, monkeypatch):
     monkeypatch.setattr(kernels, "BLOCK", 12)
     monkeypatch.setattr(covers, "PAIRS", 50)
